@@ -51,3 +51,10 @@ def partitions(spark: SparkSession) -> int:
 
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def tokenizer_path(name: str) -> str:
+    """A tokenizer file of the installed public collection; operators take any path instead."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
