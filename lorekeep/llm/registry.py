@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_topk", "sharding", "token_counts", "quality_rules", "packing")
+MODULES = ("exact_topk", "sharding", "token_counts", "quality_rules", "quality_model", "packing")
 
 
 def _gather(what: str) -> dict:
