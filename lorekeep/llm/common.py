@@ -58,3 +58,35 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table made by `written` that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
+def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """node, comp: each node of `edges` (a, b: long) with the smallest node that links lead to.
+
+    Alternates large-star and small-star steps, each an aggregation and a join on nodes, until the edges stay as they
+    are; every round is checkpointed. A node with very many edges is a skewed join key that adaptive execution splits.
+    """
+    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = None
+    for _ in range(most_rounds):
+        state = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        if (state.n, state.x) == seen:
+            break
+        seen = (state.n, state.x)
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        now = checkpointed(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
