@@ -251,6 +251,17 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return sized_docs.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, all their columns, whose doc_id is their component's smallest; of equal rows one stays.
+
+    A null doc_id ranks behind all others, as a number drawn from its text."""
+    key = F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64(text_or_empty()), F.lit(1 << 61)))
+    rows = docs.withColumn("_key", key)
+    classes = shingle_components(rows.select(F.col("_key").alias("doc_id"), "text"), words, percent)
+    chosen = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return rows.join(chosen, "_key", "left_semi").dropDuplicates(["_key", "text"]).drop("_key")
+
+
 def op9_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents"))
 

@@ -169,6 +169,18 @@ def score_documents(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> Da
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of `docs`, all their columns, whose score reaches the cutoff."""
+    place = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = np.array([statistics(t or "") for t in batch.column(place).to_pylist()], float).reshape(-1, N_STATISTICS)
+            yield batch.filter(pa.array(model.scores(stats) >= cutoff))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))

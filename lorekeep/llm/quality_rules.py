@@ -59,25 +59,25 @@ def _repeat_words(words: str) -> str:
         (a, p) -> named_struct('last', p, 'n', a.n + least(3, p - a.last)), a -> a.n))[0])[0] END"""
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """The documents' doc_id with the measurements of every rule; see `ledger`."""
+def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of the documents with the measurements of every rule; see `ledger`."""
     text = text_or_empty()
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     # an empty array of words for a text without words
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_BREAK))
-    measured = docs.select("doc_id", text.alias("_text"), words.alias("_words"))
+    measured = docs.select(*keep, text.alias("_text"), words.alias("_words"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     one = F.expr(f"transform(array(_words), w -> named_struct('n_words', size(w), 'n_repeat_words', {_repeat_words('w')}))[0]")
     two = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
     return measured.select(
-        "doc_id",
+        *keep,
         one.alias("_m"),
         F.char_length(F.regexp_replace("_text", WORD_BREAK, "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         two.cast("long").alias("n_dup_lines"),
         F.size(lines).cast("long").alias("n_lines"),
     ).select(
-        "doc_id",
+        *keep,
         F.col("_m.n_words").cast("long").alias("n_words"),
         "word_chars", "n_symbols", "n_dup_lines",
         F.col("_m.n_repeat_words").cast("long").alias("n_repeat_words"),
@@ -118,6 +118,12 @@ def apply_policy(rows: DataFrame, version: str = "v1") -> DataFrame:
     })
 
 
+def passing(docs: DataFrame, version: str = "v1", limits: Limits = Limits()) -> DataFrame:
+    """The rows of `docs`, all their columns, that the policy keeps; columns may have any name."""
+    rows = measures(docs.select(F.struct("*").alias("_row"), "text"), ("_row",)).withColumn("fail_bits", fail_bits(limits))
+    return apply_policy(rows, version).where("kept").select("_row.*")
+
+
 def ablations(rows: DataFrame, version: str = "v1") -> DataFrame:
     """For each rule of a policy: documents that fail it, that fail it alone (all of these the policy would win back
     without the rule), and those kept without it. The ledger is first reduced to one row for each set of failure bits."""

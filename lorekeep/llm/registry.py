@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_topk", "sharding", "token_counts", "quality_rules", "quality_model", "jaccard_join", "packing")
+MODULES = ("mixing", "exact_topk", "sharding", "token_counts", "quality_rules", "licenses", "token_files", "quality_model", "jaccard_join", "packing")
 
 
 def _gather(what: str) -> dict:
