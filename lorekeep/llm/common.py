@@ -60,14 +60,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def discard(df: DataFrame) -> None:
-    """Removes a table made by `written` that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
-
-
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """node, comp: each node of `edges` (a, b: long) with the smallest node that links lead to.
 

@@ -5,9 +5,12 @@ corpus holds the n-gram, by a count over all documents in a table of fixed size,
 only steers the work; any order gives the same links. Two sets that link share a token among the first tokens of each
 (the prefix filter). Sets that share such a token meet:
 
-1. each with the least set of its token, which is verified exactly; this already joins nearly all copies;
-2. tokens whose sets still lie in different components are searched whole: their sets, in tiles of bounded size, are
-   stored in a prefix tree and probed, sharing overlaps along its paths and pruning by what the remaining lengths allow.
+1. in blocks of bounded size with the least set of their token, which probes a prefix tree of the block; this already
+   joins nearly all copies;
+2. where the sets of a token still lie in different components, all with all, in tiles of bounded size.
+
+A prefix tree stores the ordered sets; a probe shares its overlaps along the paths and leaves out what the remaining
+lengths can't bring to a link. Before sets are fetched, sketches of a few bytes rule out pairs that can't share enough.
 
 Only links between sets not joined before are kept, which leaves the components of all links.
 """
@@ -18,17 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, table, text_or_empty, written
-from .tokens import Table
+from .common import components, table, text_or_empty, written
+from .tokens import slices
 
 WORDS = 5
 PERCENT = 75
 #: Sets of one side of a tile.
 BLOCK = 256
+#: Bins of a set's sketch.
+BINS = 256
 #: Slots of the table of counts that orders the tokens, and bits of the filter of the sets that are needed.
 SLOTS = 1 << 15
 FILTER_BITS = 1 << 23
@@ -40,24 +46,46 @@ class Shingler:
 
     def __init__(self, words: int = WORDS):
         self.n = words
-        self.hash = Table(xxhash.xxh3_64_intdigest).__getitem__
-
-    def tokens(self, text: str) -> np.ndarray:
-        # bytes.lower() changes A-Z alone and bytes.split() parts at \x20 and \x09-\x0D alone
-        words = text.encode().lower().split()
-        if not words:
-            return np.zeros(0, np.int64)
-        n = min(self.n, len(words))
-        h = np.fromiter(map(self.hash, words), np.uint64, len(words))
-        m = len(words) - n + 1
+
+    def sets(self, texts: list[str]) -> list[np.ndarray]:
+        return [x for s in slices(texts) for x in self._sets(texts[s])]
+
+    def _sets(self, texts: list[str]) -> list[np.ndarray]:
+        # ascii_lower changes A-Z alone and ascii_split_whitespace parts at \x20 and \x09-\x0D alone
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        coded = pc.dictionary_encode(words.flatten())
+        names = coded.dictionary.to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+        at = coded.indices.to_numpy()
+        bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+        # white space at an end leaves an empty word there
+        empty = np.array([x == "" for x in names], bool)[at] if "" in names else np.zeros(len(at), bool)
+        bounds = bounds - np.concatenate([[0], np.cumsum(empty)])[bounds]
+        h = hashes[at[~empty]]
+        whole = self._mixed(h, self.n)
+        out = []
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if high - low >= self.n:
+                x = whole[low : high - self.n + 1]
+            else:
+                x = self._mixed(h[low:high], high - low) if high > low else h[:0]
+            x = np.sort(x >> np.uint64(6))
+            keep = np.ones(len(x), bool)
+            keep[1:] = x[1:] != x[:-1]
+            out.append(x[keep].astype(np.int64))
+        return out
+
+    @staticmethod
+    def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+        """A hash of every n words that follow each other."""
+        m = max(len(h) - n + 1, 0)
+        x = np.full(m, n, np.uint64)
         with np.errstate(over="ignore"):
-            x = np.full(m, n, np.uint64)
             for k in range(n):
                 x = x * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m] * _ODD[k % 64]
                 x ^= x >> np.uint64(29)
             x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(32)
-        return np.unique(x >> np.uint64(6)).astype(np.int64)
+            return x ^ (x >> np.uint64(32))
 
 
 def _name(tokens: np.ndarray) -> int:
@@ -109,8 +137,11 @@ class Tree:
             at = stop
 
 
-def tree_links(sets: list[np.ndarray], groups: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Positions of linked sets, enough to join all that link and have no common group; sets ascend within."""
+def tree_links(sets: list[np.ndarray], groups: list[int], percent: int = PERCENT, probes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Positions of linked sets, enough to join all that link and have no common group; sets ascend within.
+
+    With `probes`, only links of these positions are sought.
+    """
     order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">i8").tobytes())
     sets, groups = [sets[k] for k in order], [groups[k] for k in order]
     root = Tree(sets, groups, 0, len(sets), 0)
@@ -123,12 +154,15 @@ def tree_links(sets: list[np.ndarray], groups: list[int], percent: int = PERCENT
         return g
 
     out = []
+    asked = None if probes is None else set(probes)
     for k, x in enumerate(sets):
+        if asked is not None and order[k] not in asked:
+            continue
         n = len(x)
         stack = [(root, 0, 0)]
         while stack:
             node, shared, at = stack.pop()
-            if node.high <= k + 1 or (node.group is not None and top(node.group) == top(groups[k])):
+            if (asked is None and node.high <= k + 1) or (node.group is not None and top(node.group) == top(groups[k])):
                 continue
             if len(node.edge):
                 places = np.searchsorted(x, node.edge)
@@ -139,13 +173,25 @@ def tree_links(sets: list[np.ndarray], groups: list[int], percent: int = PERCENT
             if (100 + percent) * (shared + min(n - at, length - node.depth)) < percent * (n + length):
                 continue
             for y in node.ends:
-                if y > k and top(groups[y]) != top(groups[k]) and 100 * shared >= percent * (n + len(sets[y]) - shared):
+                if (asked is not None or y > k) and y != k and top(groups[y]) != top(groups[k]) and 100 * shared >= percent * (n + len(sets[y]) - shared):
                     out.append((order[k], order[y]))
                     up[top(groups[y])] = top(groups[k])
             stack += [(child, shared, at) for child in node.children]
     return out
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Counts of the tokens over BINS bins: two sets share at most the sum of the smaller counts. A full bin says nothing."""
+    return np.minimum(np.bincount(tokens >> 20 & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def may_link(one: np.ndarray, two: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows of sketches of sets of n and m tokens leave room for a link."""
+    full = ((one == 255) | (two == 255)).any(-1)
+    bound = np.minimum(np.minimum(one, two).sum(-1, dtype=np.int64), np.minimum(n, m))
+    return full & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) | ((100 + percent) * bound >= percent * (n + m))
+
+
 def _first_seen(nodes: list[int], seen: set[int]) -> list[int]:
     """Positions of nodes that this task hasn't sent; the memory is emptied when it grows large."""
     if len(seen) > 1_000_000:
@@ -153,6 +199,65 @@ def _first_seen(nodes: list[int], seen: set[int]) -> list[int]:
     return [k for k, x in enumerate(nodes) if not (x in seen or seen.add(x))]
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys from sorted batches, with the runs' bounds."""
+    carry = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([carry, t]).combine_chunks() if carry is not None and carry.num_rows else t
+        if not t.num_rows:
+            continue
+        new = np.zeros(t.num_rows - 1, bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new |= x[1:] != x[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        yield t.slice(0, starts[-1]), starts
+        carry = t.slice(starts[-1])
+    if carry is not None and carry.num_rows:
+        yield carry, np.array([0, carry.num_rows])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (token, node) in order: the rows of tokens that two nodes or more hold, once each, with the least node."""
+    names = ["token", "node", "low"]
+    last_token = last_node = low = None
+    sent = True  # whether the first row of the run at hand was sent
+    for batch in batches:
+        token, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(token):
+            continue
+        same = np.concatenate([[token[0] == last_token], token[1:] == token[:-1]])
+        again = same & np.concatenate([[node[0] == last_node], node[1:] == node[:-1]])
+        starts = np.flatnonzero(~same)
+        run = np.cumsum(~same) - 1  # -1: the run carried over
+        lows = np.concatenate([node[starts], [0 if low is None else low]])[run]
+        more = same & ~again
+        heads = np.zeros(len(token), bool)
+        heads[starts[np.bincount(run[more & (run >= 0)], minlength=len(starts)) > 0]] = True
+        out = more | heads
+        t, n, l = token[out], node[out], lows[out]
+        if not sent and (more & (run < 0)).any():
+            t, n, l = np.concatenate([[last_token], t]), np.concatenate([[low], n]), np.concatenate([[low], l])
+            sent = True
+        if len(starts):
+            low, sent = node[starts[-1]], bool(heads[starts[-1]])
+        last_token, last_node = token[-1], node[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(l.astype(np.int64))], names)
+
+
+def _bits(nodes: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits of the nodes; what passes it by chance only costs a little."""
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    place = nodes.select(F.pmod("node", F.lit(FILTER_BITS)).alias("p"))
+    for r in place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect():
+        # place 0 lies in bucket 0 alone; bucket k holds places (k - 1) * 32768 + 1 to k * 32768
+        held = np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little"))
+        at = held + (r.bucket - 1) * 32768 + 1 if r.bucket else held * 0
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
 def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text).
 
@@ -163,87 +268,126 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     columns are not read; an empty table gives no rows. Sets and shingles are told apart by 64- and 58-bit hashes.
     """
     texts = docs.select("doc_id", text_or_empty().alias("text"))
+    # a bound copy for the tasks
+    bins = BINS
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingler(words), np.zeros(SLOTS, np.int64)
-        names = ["doc_id", "n", "node", "slot", "count"]
+        shingles, counts, seen = Shingler(words), np.zeros(SLOTS, np.int64), set()
+        names = ["doc_id", "n", "node", "sketch", "slot", "count"]
         for batch in batches:
-            sets = [shingles.tokens(t) for t in batch.column(1).to_pylist()]
+            sets = shingles.sets(batch.column(1).to_pylist())
             if sets:
                 counts += np.bincount(np.concatenate(sets) & (SLOTS - 1), minlength=SLOTS)
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+            n, nodes = len(sets), [_name(s) for s in sets]
+            new = set(_first_seen(nodes, seen))
+            sketches = [sketch(s) if k in new else None for k, s in enumerate(sets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
         slots = np.flatnonzero(counts).astype(np.int32)
         n = len(slots)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(slots), pa.array(counts[slots])], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(slots), pa.array(counts[slots])], names)
 
-    read = written(texts.mapInArrow(sized, "doc_id long, n long, node long, slot int, count long"), "sets")
+    read = written(texts.mapInArrow(sized, "doc_id long, n long, node long, sketch binary, slot int, count long"), "sets")
     sized_docs = read.where("slot IS NULL").select("doc_id", "n", "node")
+    sketches = read.where("sketch IS NOT NULL").select("node", "n", "sketch").dropDuplicates(["node"])
     # SLOTS rows at most, however many documents there are
     levels = _levels({r.slot: r.n for r in read.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("count").alias("n")).collect()})
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(words), set()
         for batch in batches:
-            sets = [s for t in batch.column(0).to_pylist() if len(s := shingles.tokens(t))]
+            sets = [s for s in shingles.sets(batch.column(0).to_pylist()) if len(s)]
             nodes = [_name(s) for s in sets]
             keep = _first_seen(nodes, seen)
             heads = [_ordered(sets[k], levels)[: len(sets[k]) - least_overlap(len(sets[k]), percent) + 1] for k in keep]
             lengths = [len(h) for h in heads]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *heads])), pa.array(np.repeat(np.array([nodes[k] for k in keep], np.int64), lengths))], ["token", "node"])
 
-    postings = written(texts.select("text").mapInArrow(prefixes, "token long, node long"), "postings")
-    shared = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "low")
-    met = written(postings.join(shared, "token").distinct(), "met")
-    discard(postings)
-
-    # a filter of FILTER_BITS bits; what passes it by chance only costs a little
-    place = F.pmod("node", F.lit(FILTER_BITS))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in met.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect():
-        # place 0 lies in bucket 0 alone; bucket k holds places (k - 1) * 32768 + 1 to k * 32768
-        held = np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little"))
-        at = held + (r.bucket - 1) * 32768 + 1 if r.bucket else held * 0
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingler(words), set()
+    postings = texts.select("text").mapInArrow(prefixes, "token long, node long")
+    met = written(postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_met, "token long, node long, low long"), "met")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """node, tokens of these nodes, and of few others."""
+        bits = _bits(nodes)
+
+        def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingles, seen = Shingler(words), set()
+            for batch in batches:
+                sets = shingles.sets(batch.column(0).to_pylist())
+                names = np.array([_name(s) for s in sets], np.int64)
+                place = names % FILTER_BITS
+                asked = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).tolist()
+                asked = [asked[k] for k in _first_seen(names[asked].tolist(), seen)]
+                yield pa.RecordBatch.from_arrays([pa.array(names[asked]), pa.array([_ordered(sets[k], levels) for k in asked], pa.list_(pa.int64()))], ["node", "tokens"])
+
+        return written(texts.select("text").mapInArrow(needed, "node long, tokens array<long>").dropDuplicates(["node"]), "needed")
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each run of (one, two): of its pivots with all others, or among all where it has no pivot."""
+        for t, bounds in _runs(batches, ["one", "two"]):
+            nodes, comps, pivot = t.column("node").to_numpy(), t.column("comp").to_pylist(), t.column("pivot").to_numpy()
+            found = []
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                part = t.column("tokens").slice(low, high - low).combine_chunks()
+                if isinstance(part, pa.ChunkedArray):
+                    part = part.chunk(0)
+                ends = part.offsets.to_numpy()
+                flat = part.values.to_numpy()
+                sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
+                probes = np.flatnonzero(pivot[low:high]).tolist() or None
+                found += [(int(nodes[low + x]), int(nodes[low + y])) for x, y in tree_links(sets, comps[low:high], percent, probes)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    def search(members: DataFrame) -> DataFrame:
+        sets = sets_of(members.select("node"))
+        rows = members.join(sets, "node").select("one", "two", "node", "comp", "pivot", "tokens")
+        return rows.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(searched, "a long, b long")
+
+    # 1. each set with the least set of its tokens, in blocks, where the sketches leave room
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles.tokens(t) for t in batch.column(0).to_pylist()]
-            nodes = np.array([_name(s) for s in sets], np.int64)
-            place = nodes % FILTER_BITS
-            asked = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).tolist()
-            asked = [asked[k] for k in _first_seen(nodes[asked].tolist(), seen)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[asked]), pa.array([_ordered(sets[k], levels) for k in asked], pa.list_(pa.int64()))], ["node", "tokens"])
-
-    sets = written(texts.select("text").mapInArrow(needed, "node long, tokens array<long>").dropDuplicates(["node"]), "needed")
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, bins) for c in ("s", "t"))
+            ok = may_link(one, two, batch.column("n").to_numpy(), batch.column("m").to_numpy(), percent)
+            yield batch.select(["low", "node"]).filter(pa.array(ok))
 
     pairs = met.where("node <> low").select("low", "node").distinct()
-    one, two = sets.select(F.col("node").alias("low"), F.col("tokens").alias("x")), sets.select("node", F.col("tokens").alias("y"))
-    both = pairs.join(two, "node").join(one, "low").where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
-    overlap = F.size(F.array_intersect("x", "y"))
-    links = both.where(100 * overlap >= percent * (F.size("x") + F.size("y") - overlap)).select(F.col("low").alias("a"), F.col("node").alias("b"))
-    joined = components(links)
-
-    placed = met.join(joined, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
-    placed = written(placed, "placed")
+    pairs = pairs.join(sketches.select("node", "n", F.col("sketch").alias("s")), "node").join(sketches.select(F.col("node").alias("low"), F.col("n").alias("m"), F.col("sketch").alias("t")), "low")
+    pairs = written(pairs.mapInArrow(plausible, "low long, node long"), "pairs")
+    blocks = pairs.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = pairs.join(blocks, "low").select(F.col("low").alias("one"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("two"), "node")
+    pivots = dealt.select("one", "two").distinct().select("one", "two", F.col("one").alias("node"), F.lit(True).alias("pivot"))
+    members = dealt.select("one", "two", "node", F.lit(False).alias("pivot")).union(pivots).withColumn("comp", F.col("node"))
+    joined = components(search(written(members, "members")))
+
+    # 2. tokens whose sets still lie apart, in tiles
+    placed = written(met.join(joined, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp")), "placed")
     apart = placed.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).where("c < d")
     # tokens with the same sets need one search
     apart = apart.groupBy("m", "x").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     tiles = (
         placed.join(apart, "token").select("token", "node", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("token", "node", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .select(F.col("token").alias("one"), (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("two"), "node", "comp")
     )
 
-    def searched(found: pa.Table) -> pa.Table:
-        nodes = found.column("node").to_pylist()
-        tokens = [np.array(x, np.int64) for x in found.column("tokens").to_pylist()]
-        pairs = tree_links(tokens, found.column("comp").to_pylist(), percent)
-        return pa.table({"a": pa.array([nodes[k] for k, _ in pairs], pa.int64()), "b": pa.array([nodes[k] for _, k in pairs], pa.int64())})
-
-    more = tiles.join(sets, "node").groupBy("token", "i", "j").applyInArrow(searched, "a long, b long")
-    joined = components(more.union(joined.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The members of each tile whose sketches leave room for a link with one of another component."""
+        for t, bounds in _runs(batches, ["one", "two"]):
+            comp, n = t.column("comp").to_numpy(), t.column("n").to_numpy()
+            s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, bins)
+            keep = np.zeros(len(n), bool)
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                for k in range(low, high - 1):
+                    other = np.arange(k + 1, high)
+                    other = other[(comp[other] != comp[k]) & (100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k]))]
+                    if len(other) and (ok := may_link(s[other], s[k], n[other], n[k], percent)).any():
+                        keep[k] = True
+                        keep[other[ok]] = True
+            yield from t.select(["one", "two", "node", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    tiles = tiles.join(sketches, "node").repartition("one", "two").sortWithinPartitions("one", "two")
+    tiles = written(tiles.mapInArrow(hopeful, "one long, two long, node long, comp long"), "tiles").withColumn("pivot", F.lit(False))
+    if not tiles.isEmpty():
+        joined = components(search(tiles).union(joined.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
     classes = sized_docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
