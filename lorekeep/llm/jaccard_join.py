@@ -7,7 +7,8 @@ only steers the work; any order gives the same links. Two sets that link share a
 
 1. in blocks of bounded size with the least set of their token, which probes a prefix tree of the block; this already
    joins nearly all copies;
-2. where the sets of a token still lie in different components, all with all, in tiles of bounded size.
+2. where the sets of a token still lie in different components, all with all, in tiles of bounded size. Sketches leave
+   few of them; those that they would join, over all tokens, are searched together.
 
 A prefix tree stores the ordered sets; a probe shares its overlaps along the paths and leaves out what the remaining
 lengths can't bring to a link. Before sets are fetched, sketches of a few bytes rule out pairs that can't share enough.
@@ -181,15 +182,70 @@ def tree_links(sets: list[np.ndarray], groups: list[int], percent: int = PERCENT
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Counts of the tokens over BINS bins: two sets share at most the sum of the smaller counts. A full bin says nothing."""
-    return np.minimum(np.bincount(tokens >> 20 & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """Counts of the tokens over bins, BINS or a power of two times as many where a bin would hold more than 4 on average.
+
+    Two sets share at most the sum of the smaller counts. A full bin says nothing."""
+    bins = BINS << max(0, (len(tokens) - 1).bit_length() - (4 * BINS).bit_length() + 1)
+    return np.minimum(np.bincount(tokens >> 20 & (bins - 1), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def _matrix(sketches: list[bytes], bins: int) -> np.ndarray:
+    """Sketches of one length as rows, folded to `bins` bins."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    while rows.shape[1] > bins:
+        half = rows.shape[1] // 2
+        rows = np.minimum(rows[:, :half].astype(np.int16) + rows[:, half:], 255).astype(np.uint8)
+    return rows
 
 
 def may_link(one: np.ndarray, two: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Whether rows of sketches of sets of n and m tokens leave room for a link."""
-    full = ((one == 255) | (two == 255)).any(-1)
-    bound = np.minimum(np.minimum(one, two).sum(-1, dtype=np.int64), np.minimum(n, m))
-    return full & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) | ((100 + percent) * bound >= percent * (n + m))
+    least = np.minimum(one, two)
+    bound = least.sum(-1, dtype=np.int64)
+    near = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return near & ((least == 255).any(-1) | ((100 + percent) * bound >= percent * (n + m)))
+
+
+def hopeful_pairs(low: list[bytes], high: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """`may_link` for pairs of sketches of any lengths."""
+    ok = np.zeros(len(low), bool)
+    a, b = np.array([len(x) for x in low], np.int64), np.array([len(x) for x in high], np.int64)
+    for x, y in set(zip(a.tolist(), b.tolist())):
+        at = np.flatnonzero((a == x) & (b == y))
+        bins = min(x, y)
+        for part in np.array_split(at, len(at) * max(x, y) // 10_000_000 + 1):
+            ok[part] = may_link(_matrix([low[k] for k in part], bins), _matrix([high[k] for k in part], bins), n[part], m[part], percent)
+    return ok
+
+
+def hopeful_groups(sketches: list[bytes], n: np.ndarray, comp: np.ndarray, percent: int) -> list[list[int]]:
+    """Sets that may link with another one of another component, grouped by what such links could join."""
+    up: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while up.setdefault(k, k) != k:
+            k = up[k]
+        return k
+
+    lengths = np.array([len(x) for x in sketches])
+    for bins in np.unique(lengths).tolist():
+        # sets that link differ in size by less than two, so in length of sketch by one doubling at most
+        own, longer = np.flatnonzero(lengths == bins), np.flatnonzero(lengths == 2 * bins)
+        rows = _matrix([sketches[k] for k in own], bins)
+        if len(longer):
+            rows = np.vstack([rows, _matrix([sketches[k] for k in longer], bins)])
+        at = np.concatenate([own, longer])
+        for k in range(len(own)):
+            other = np.arange(k + 1, len(at))
+            x, y = at[k], at[other]
+            other = other[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            if len(other):
+                for z in at[other[may_link(rows[other], rows[k], n[at[other]], n[x], percent)]].tolist():
+                    up[top(z)] = top(int(x))
+    out: dict[int, list[int]] = {}
+    for k in sorted(up):
+        out.setdefault(top(k), []).append(k)
+    return list(out.values())
 
 
 def _first_seen(nodes: list[int], seen: set[int]) -> list[int]:
@@ -268,8 +324,6 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     columns are not read; an empty table gives no rows. Sets and shingles are told apart by 64- and 58-bit hashes.
     """
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    # a bound copy for the tasks
-    bins = BINS
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts, seen = Shingler(words), np.zeros(SLOTS, np.int64), set()
@@ -345,8 +399,7 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # 1. each set with the least set of its tokens, in blocks, where the sketches leave room
     def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, bins) for c in ("s", "t"))
-            ok = may_link(one, two, batch.column("n").to_numpy(), batch.column("m").to_numpy(), percent)
+            ok = hopeful_pairs(batch.column("s").to_pylist(), batch.column("t").to_pylist(), batch.column("n").to_numpy(), batch.column("m").to_numpy(), percent)
             yield batch.select(["low", "node"]).filter(pa.array(ok))
 
     pairs = met.where("node <> low").select("low", "node").distinct()
@@ -362,32 +415,35 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     placed = written(met.join(joined, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp")), "placed")
     apart = placed.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).where("c < d")
     # tokens with the same sets need one search
-    apart = apart.groupBy("m", "x").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tiles = (
-        placed.join(apart, "token").select("token", "node", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(F.col("token").alias("one"), (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("two"), "node", "comp")
-    )
+    apart = apart.groupBy("m", "x").agg(F.min("token").alias("token")).select("token")
+
+    def tiled(rows: DataFrame, key: str) -> DataFrame:
+        """`rows` (key, node, comp) as members of tiles (one, two): any two rows of a key meet in a tile, which is bounded."""
+        blocks = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        return (
+            rows.join(blocks, key).select(F.col(key).alias("one"), "node", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            .select("one", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("two"), "node", "comp")
+        )
 
     def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The members of each tile whose sketches leave room for a link with one of another component."""
+        """Each tile's sets that may link: each with the first of its group."""
         for t, bounds in _runs(batches, ["one", "two"]):
-            comp, n = t.column("comp").to_numpy(), t.column("n").to_numpy()
-            s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, bins)
-            keep = np.zeros(len(n), bool)
-            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                for k in range(low, high - 1):
-                    other = np.arange(k + 1, high)
-                    other = other[(comp[other] != comp[k]) & (100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k]))]
-                    if len(other) and (ok := may_link(s[other], s[k], n[other], n[k], percent)).any():
-                        keep[k] = True
-                        keep[other[ok]] = True
-            yield from t.select(["one", "two", "node", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches()
-
-    tiles = tiles.join(sketches, "node").repartition("one", "two").sortWithinPartitions("one", "two")
-    tiles = written(tiles.mapInArrow(hopeful, "one long, two long, node long, comp long"), "tiles").withColumn("pivot", F.lit(False))
-    if not tiles.isEmpty():
-        joined = components(search(tiles).union(joined.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+            node, comp, n, s = t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), t.column("sketch").to_pylist()
+            pairs = [
+                (int(node[low + group[0]]), int(node[low + k]))
+                for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist())
+                for group in hopeful_groups(s[low:high], n[low:high], comp[low:high], percent)
+                for k in group[1:]
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+
+    tiles = tiled(placed.join(apart, "token"), "token").join(sketches, "node").repartition("one", "two").sortWithinPartitions("one", "two")
+    hope = components(tiles.mapInArrow(hopeful, "a long, b long"))
+    if not hope.isEmpty():
+        rest = hope.select("node", F.col("comp").alias("hope")).join(joined, "node", "left").select("hope", "node", F.coalesce("comp", "node").alias("comp"))
+        rest = written(tiled(rest, "hope").withColumn("pivot", F.lit(False)), "rest")
+        joined = components(search(rest).union(joined.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
     classes = sized_docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
