@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TRIMMED = " \t\n\r\0\x0b"
 # Names of fields that are never indexed, and of blocks and field types by their handling.
@@ -114,7 +115,7 @@ def clean_html(markup: str) -> str:
     return text.strip(TRIMMED)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(markup: pd.Series) -> pd.Series:
     """Spark has no function for entities, so Arrow batches go to Python."""
     return markup.map(clean_html, na_action="ignore")
@@ -123,7 +124,7 @@ def html_text(markup: pd.Series) -> pd.Series:
 def keyed_hash(secret: str):
     """HMAC-SHA-256 in hexadecimal, for which Spark has no function."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def hashed(values: pd.Series) -> pd.Series:
         return values.map(lambda v: hmac.new(secret.encode(), (v or "unknown").encode(), hashlib.sha256).hexdigest())
 

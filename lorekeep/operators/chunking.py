@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.texts import TRIMMED, chunk_normalized, with_title
 
 MOST_CHUNKS = 200
-_SENTENCE = re.compile(r"(?s:.*)[.!?][\s\u0085   -     　]")
+# the white space of Unicode, without the separators that only Python counts as such
+_SENTENCE = re.compile(r"(?s:.*)[.!?][^\S\x1c-\x1f]")
 
 
 def taken(text: str, offset: int, target: int) -> int:

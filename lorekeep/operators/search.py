@@ -73,7 +73,11 @@ def bm25(chunks: DataFrame, query: list[str], title_weight: float = 2.0, k1: flo
     One aggregation gives the statistics of all words; they are a single row."""
     terms = [L.fold_word(q) for q in query]
     rows = chunks.select("id", plain_words(F.col("title")).alias("t"), plain_words(F.col("chunk_text")).alias("x"))
-    counts = [F.size(F.filter("t", lambda w, q=q: F.startswith(w, F.lit(q)))) * title_weight + F.size(F.filter("x", lambda w, q=q: F.startswith(w, F.lit(q)))) for q in terms]
+
+    def hits(column: str, term: str) -> Column:
+        return F.size(F.filter(column, lambda w: F.startswith(w, F.lit(term))))
+
+    counts = [hits("t", q) * title_weight + hits("x", q) for q in terms]
     rows = rows.select("id", (F.size("t") + F.size("x")).alias("len"), *[c.cast("double").alias(f"f{k}") for k, c in enumerate(counts)])
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
     both = rows.join(F.broadcast(stats))

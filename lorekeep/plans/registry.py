@@ -1,11 +1,542 @@
-"""The queries of the retrieval operators and their SQL."""
+"""The queries of the retrieval operators, each with SQL that gives the same rows on the same tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import texts as T
+from ..functions import words as L
+from ..functions.vectors import cosine_from_distance, dot, normalized
+from ..operators import chunking, index, limits, queue, search
+from ..sources import tables as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(11))"
+DOCS = """docs AS (SELECT doc_id, 'page://' || doc_id AS page_key, source || '/' || doc_id AS page_id, '/' || source || '/' || doc_id AS url, source AS title,
+  coalesce(text, '') AS text, lang, sha1(source || chr(10) || coalesce(text, '')) AS content_hash FROM documents)"""
+CHUNKS = (
+    DOCS
+    + """, vecs AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
+chunks AS (SELECT doc_id AS id, page_key, page_id, url, title, 0 AS chunk_index, content_hash,
+  CASE WHEN trim(title) = '' OR starts_with(NT, trim(title)) THEN NT ELSE trim(title) || chr(10) || chr(10) || NT END AS chunk_text,
+  CASE WHEN n <= 0 THEN v ELSE list_transform(v, lambda x: x * (1 / n)) END AS e, len(v) AS dims, 1700000000 + doc_id AS page_modified, 1700000100 + doc_id AS indexed_at
+  FROM (SELECT *, NORMALTEXT AS NT FROM docs) JOIN vecs ON vec_id = doc_id)"""
+).replace("NORMALTEXT", NORMAL.format("text"))
+_STOP = "[" + ", ".join(f"'{w}'" for w in L.STOP_WORDS) + "]"
+_SUF = ", ".join(f"'{s}'" for s in L.SUFFIXES)
+
+
+def sql_tokens(x: str) -> str:
+    return f"list_filter(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]{{3,}}'), lambda t: NOT list_contains({_STOP}, t)), lambda t, i: list_position(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]{{3,}}'), lambda t: NOT list_contains({_STOP}, t)), t) = i)"
+
+
+def sql_fold(x: str) -> str:
+    return f"replace(translate(lower({x}), 'äöü', 'aou'), 'ß', 'ss')"
+
+
+def sql_match(a: str, b: str) -> str:
+    def stem(s: str, long: str) -> str:
+        return f"(length({s}) >= 6 AND length({long}) > length({s}) AND starts_with({long}, {s}) AND substr({long}, length({s}) + 1) IN ({_SUF}))"
+
+    return f"({a} = {b} OR {stem(a, b)} OR {stem(b, a)})"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+WORDS = ["thing", "enden", "nation", "kommen"]
+_W = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
+COVERAGE = f"len(list_filter({_W}, lambda q: len(list_filter(list_transform(regexp_extract_all(lower(title || chr(10) || chunk_text), '[\\p{{L}}\\p{{N}}]{{3,}}'), lambda t: {sql_fold('t')}), lambda t: {sql_match('q', 't')} )) > 0)) / {len(WORDS)}.0"
+
+
+def _vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
+    """The query's literal: one stored vector."""
+    r = S.table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
+    return [float(x) for x in r[0]] if r else []
+
+
+def _round(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+_Q0 = "q AS (SELECT CASE WHEN n <= 0 THEN v ELSE list_transform(v, lambda x: x * (1 / n)) END AS qe FROM vecs WHERE vec_id = 0)"
+
+
+@query("vector_topk", f"WITH {CHUNKS}, {_Q0} SELECT id, page_key, round(list_dot_product(e, qe), 6) AS similarity FROM chunks, q ORDER BY list_dot_product(e, qe) DESC, id LIMIT 5")
+def vector_topk(spark, d):
+    return _round(search.vector_search(S.chunks(spark, d), _vector(spark, d), 5).select("id", "page_key", "similarity"), "similarity")
+
+
+@query("vector_topk_threshold", f"WITH {CHUNKS}, {_Q0} SELECT * FROM (SELECT id, round(list_dot_product(e, qe), 6) AS similarity FROM chunks, q ORDER BY list_dot_product(e, qe) DESC, id LIMIT 20) WHERE similarity >= 0.25")
+def vector_topk_threshold(spark, d):
+    return _round(search.vector_search(S.chunks(spark, d), _vector(spark, d), 20, 0.25).select("id", "similarity"), "similarity")
+
+
+@query(
+    "vector_batch_topk",
+    f"WITH {CHUNKS}, s AS (SELECT b.vec_id AS query_id, c.id, list_dot_product(c.e, list_transform(b.v, lambda x: x * (1 / b.n))) AS s FROM chunks c, vecs b WHERE b.vec_id < 20), r AS (SELECT query_id, id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 5",
+)
+def vector_batch_topk(spark, d):
+    asked = S.table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _round(search.batch_vector_search(S.chunks(spark, d), asked, 5), "similarity")
+
+
+@query("vector_normalize", "SELECT vec_id, list_transform(list_transform(embedding::DOUBLE[], lambda x: x * (1 / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))))), lambda x: round(x, 6)) AS unit FROM embeddings")
+def vector_normalize(spark, d):
+    return S.table(spark, d, "embeddings").select("vec_id", F.transform(normalized("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query("cosine_from_l2", f"WITH {CHUNKS}, {_Q0} SELECT id, round(1 - pow(list_distance(e, qe), 2) / 2, 6) AS cosine FROM chunks, q")
+def cosine_from_l2(spark, d):
+    q = F.array(*map(F.lit, search.unit(_vector(spark, d))))
+    gap = F.zip_with(normalized("embedding"), q, lambda x, y: x - y)
+    return S.chunks(spark, d).select("id", F.round(cosine_from_distance(F.sqrt(dot(gap, gap))), 6).alias("cosine"))
+
+
+@query("query_tokens", f"SELECT conv_id, turn, array_to_string({sql_tokens('text')}, ' ') AS tokens FROM conversations WHERE role = 'user'")
+def query_tokens(spark, d):
+    return S.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(L.tokens(F.col("text")), " ").alias("tokens"))
+
+
+_TOKENS = "toks AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{3,}')) AS token FROM documents)"
+
+
+def _tokens(spark, d):
+    return S.table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(L.TOKEN), F.lit(0)))).alias("token")).distinct()
+
+
+@query("token_fold", f"WITH {_TOKENS} SELECT token, {sql_fold('token')} AS folded FROM toks")
+def token_fold(spark, d):
+    return _tokens(spark, d).select("token", L.folded(F.col("token")).alias("folded"))
+
+
+@query("inflection_match", f"WITH {_TOKENS}, f AS (SELECT token, {sql_fold('token')} AS g FROM toks) SELECT token, w AS word FROM f, (SELECT unnest({_W}) AS w) WHERE {sql_match('g', 'w')}")
+def inflection_match(spark, d):
+    words = F.explode(F.array(*map(F.lit, WORDS))).alias("word")
+    return _tokens(spark, d).select("token", words).where(L.match(F.col("token"), F.col("word")))
+
+
+@query("lexical_coverage", f"WITH {CHUNKS} SELECT id, round({COVERAGE}, 6) AS coverage FROM chunks")
+def lexical_coverage(spark, d):
+    return S.chunks(spark, d).select("id", F.round(search.coverage(WORDS), 6).alias("coverage"))
+
+
+@query("lexical_candidates", f"WITH {CHUNKS} SELECT id, round({COVERAGE}, 6) AS coverage FROM chunks WHERE {COVERAGE} > 0 ORDER BY {COVERAGE} DESC, id LIMIT 80")
+def lexical_candidates(spark, d):
+    return _round(search.lexical_candidates(S.chunks(spark, d), WORDS, 80).select("id", F.col("lexical").alias("coverage")), "coverage")
+
+
+HYBRID = f"""WITH {CHUNKS}, {_Q0}, scored AS (SELECT id, page_key, chunk_index, title, content_hash, page_id, url, chunk_text, list_dot_product(e, qe) AS sim, {COVERAGE} AS cov FROM chunks, q),
+sem AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY sim DESC, id) AS sr FROM scored) WHERE sr <= POOL AND sim >= THRESHOLD),
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY cov DESC, id) AS lr FROM scored WHERE cov > 0) WHERE lr <= POOL),
+merged AS (SELECT coalesce(s.id, l.id) AS id, coalesce(s.page_key, l.page_key) AS page_key, coalesce(s.page_id, l.page_id) AS page_id, coalesce(s.url, l.url) AS url, coalesce(s.title, l.title) AS title, coalesce(s.chunk_text, l.chunk_text) AS chunk_text,
+  coalesce(s.content_hash, l.content_hash) AS content_hash, coalesce(s.sim, l.sim) AS sim, coalesce(l.cov, 0) AS lexical, s.sr AS semantic_rank, coalesce(s.page_key, l.page_key) || chr(1) || coalesce(s.chunk_index, l.chunk_index) AS k FROM sem s FULL JOIN lex l ON s.id = l.id),
+ranked AS (SELECT *, CASE WHEN lexical > 0 THEN row_number() OVER (PARTITION BY lexical > 0 ORDER BY lexical DESC, sim DESC, k) END AS lexical_rank FROM merged),
+fused AS (SELECT *, coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) AS score FROM ranked),
+hits AS (SELECT *, row_number() OVER (ORDER BY score DESC, lexical DESC, sim DESC, k) AS rank FROM fused)"""
+_HIT = "SELECT id, page_key, round(sim, 6) AS similarity, round(lexical, 6) AS lexical, semantic_rank::INTEGER AS semantic_rank, lexical_rank::INTEGER AS lexical_rank, round(score, 9) AS score, rank::INTEGER AS rank FROM hits WHERE rank <= WANTED"
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("id", "page_key", F.round("similarity", 6).alias("similarity"), F.round("lexical", 6).alias("lexical"), "semantic_rank", "lexical_rank", F.round("score", 9).alias("score"), "rank")
+
+
+@query("hybrid_search", (HYBRID + _HIT).replace("POOL", "80").replace("THRESHOLD", "0.25").replace("WANTED", "20"))
+def hybrid_search(spark, d):
+    return _hits(search.hybrid_search(S.chunks(spark, d), _vector(spark, d), WORDS, 20, 0.25))
+
+
+@query("hybrid_lexical_only", (HYBRID + _HIT).replace("POOL", "20").replace("THRESHOLD", "2").replace("WANTED", "5"))
+def hybrid_lexical_only(spark, d):
+    return _hits(search.hybrid_search(S.chunks(spark, d), _vector(spark, d), WORDS, 5, 2.0))
+
+
+@query("hybrid_stopword_fallback", f"WITH {CHUNKS}, {_Q0} SELECT id, round(list_dot_product(e, qe), 6) AS similarity, row_number() OVER (ORDER BY list_dot_product(e, qe) DESC, id)::INTEGER AS rank FROM chunks, q WHERE list_dot_product(e, qe) >= 0.25 ORDER BY list_dot_product(e, qe) DESC, id LIMIT 20")
+def hybrid_stopword_fallback(spark, d):
+    return _round(search.hybrid_search(S.chunks(spark, d), _vector(spark, d), [], 20, 0.25).select("id", "similarity", "rank"), "similarity")
+
+
+_PLAIN = "regexp_extract_all(translate(lower({0}), '" + search._ACCENTS[0] + "', '" + search._ACCENTS[1] + "'), '[\\p{{L}}\\p{{N}}]+')"
+_BM = " UNION ALL ".join(
+    f"SELECT id, len, 2.0 * len(list_filter(t, lambda w: starts_with(w, '{w}'))) + len(list_filter(x, lambda w: starts_with(w, '{w}'))) AS f, '{w}' AS term FROM base" for w in WORDS
+)
+BM25 = f"""base AS (SELECT id, {_PLAIN.format('title')} AS t, {_PLAIN.format('chunk_text')} AS x, len({_PLAIN.format('title')}) + len({_PLAIN.format('chunk_text')}) AS len FROM chunks),
+freq AS ({_BM}), stats AS (SELECT count(*) AS n, avg(len) AS al FROM base), per AS (SELECT term, count(*) FILTER (f > 0) AS nt FROM freq GROUP BY term),
+bm AS (SELECT id, min(-greatest(ln((n - nt + 0.5) / (nt + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / al))) AS bm25 FROM freq JOIN per USING (term), stats WHERE f > 0 GROUP BY id)"""
+
+
+@query("bm25_mode", f"WITH {CHUNKS}, {BM25} SELECT id, round(bm25, 6) AS bm25 FROM bm")
+def bm25_mode(spark, d):
+    return _round(search.bm25(S.chunks(spark, d), WORDS), "bm25")
+
+
+@query("content_hash", f"WITH {DOCS} SELECT doc_id, content_hash FROM docs")
+def content_hash(spark, d):
+    return S.extracted(spark, d).select("doc_id", "content_hash")
+
+
+@query("min_length_filter", f"WITH {DOCS} SELECT doc_id FROM docs WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11))) >= 80")
+def min_length_filter(spark, d):
+    return S.extracted(spark, d).where(F.char_length(T.trimmed(F.col("text"))) >= index.MIN_CHARS).select("doc_id")
+
+
+PAGES = "pages_ AS (SELECT d.*, doc_id % 13 = 0 AS is_draft, doc_id % 3 <> 0 AS is_listed, CASE WHEN doc_id % 17 = 0 THEN 'error' ELSE 'default' END AS template, coalesce(l.toxic, 0) = 1 AS exclude FROM docs d LEFT JOIN (SELECT DISTINCT doc_id AS ld, toxic FROM labels) l ON ld = doc_id)"
+
+
+def _pages(spark, d):
+    toxic = S.table(spark, d, "labels").select("doc_id", "toxic").distinct()
+    return S.extracted(spark, d).join(toxic, "doc_id", "left").withColumns({
+        "is_draft": F.col("doc_id") % 13 == 0, "is_listed": F.col("doc_id") % 3 != 0, "template": F.when(F.col("doc_id") % 17 == 0, "error").otherwise("default"), "exclude": F.col("toxic") == 1,
+    })
+
+
+_POLICY = "NOT is_draft AND template NOT IN ('fabby-settings', 'error') AND NOT exclude"
+
+
+@query("policy_filter", f"WITH {DOCS}, {PAGES} SELECT doc_id FROM pages_ WHERE {_POLICY} AND is_listed")
+def policy_filter(spark, d):
+    return _pages(spark, d).where(index.indexable(listed_only=True)).select("doc_id")
+
+
+@query("chunk_normalize", f"WITH {DOCS} SELECT doc_id, md5({NORMAL.format('text')}) AS normal FROM docs")
+def chunk_normalize(spark, d):
+    return S.extracted(spark, d).select("doc_id", F.md5(T.chunk_normalized(F.col("text")).cast("binary")).alias("normal"))
+
+
+@query("title_prefix", f"WITH {CHUNKS} SELECT id, md5(chunk_text) AS chunk FROM chunks")
+def title_prefix(spark, d):
+    return S.chunks(spark, d).select("id", F.md5(F.col("chunk_text").cast("binary")).alias("chunk"))
+
+
+CUT = f"""WITH RECURSIVE {DOCS}, n AS (SELECT doc_id, title, {NORMAL.format('text')} AS t FROM docs),
+cut AS (SELECT doc_id, title, t, 0::BIGINT AS off, 0::BIGINT AS took, 0 AS i FROM n
+  UNION ALL SELECT doc_id, title, t, off + CASE WHEN i = 0 THEN 0 WHEN took >= length(t) - off THEN length(t) ELSE greatest(1, took - 200) END AS off2,
+  CASE WHEN length(t) - off2 <= 1200 THEN length(t) - off2 ELSE 720 + coalesce(
+    nullif(length(regexp_extract(substr(t, off2 + 721, least(1380, length(t) - off2) - 720), '^(?s:.*)' || chr(10) || chr(10))), 0),
+    nullif(length(regexp_extract(substr(t, off2 + 721, least(1380, length(t) - off2) - 720), '^(?s:.*)[.!?][\\s\\p{{Z}}]')), 0), 480) END, i + 1
+  FROM cut WHERE i < 200 AND (CASE WHEN i = 0 THEN 0 WHEN took >= length(t) - off THEN length(t) ELSE off + greatest(1, took - 200) END) < length(t)),
+piece AS (SELECT doc_id, title, i, trim(substr(t, off + 1, took), ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS p FROM cut WHERE i > 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index FROM piece WHERE p <> '')
+SELECT doc_id, chunk_index::INTEGER AS chunk_index, md5(CASE WHEN title = '' OR starts_with(p, title) THEN p ELSE title || chr(10) || chr(10) || p END) AS chunk FROM numbered"""
+
+
+@query("chunk_documents", CUT)
+def chunk_documents(spark, d):
+    return chunking.chunked(S.extracted(spark, d)).select("doc_id", "chunk_index", F.md5(F.col("chunk_text").cast("binary")).alias("chunk"))
+
+
+STORED = "stored AS (SELECT *, CASE WHEN id % 7 = 0 THEN 'old' ELSE content_hash END AS stored_hash, CASE WHEN id % 5 = 0 THEN 'other' ELSE 'fixture' END AS fp FROM chunks)"
+
+
+def _stored(spark, d):
+    return S.chunks(spark, d).withColumns({"content_hash": F.when(F.col("id") % 7 == 0, "old").otherwise(F.col("content_hash")), "index_fingerprint": F.when(F.col("id") % 5 == 0, "other").otherwise("fixture")})
+
+
+def _live(spark, d):
+    return S.extracted(spark, d).where("doc_id % 11 <> 0")
+
+
+@query("change_detection", f"WITH {CHUNKS}, {STORED}, live AS (SELECT * FROM docs WHERE doc_id % 11 <> 0) SELECT coalesce(l.page_key, s.page_key) AS page_key, CASE WHEN s.page_key IS NULL THEN 'new' WHEN l.page_key IS NULL THEN 'stale' WHEN s.stored_hash = l.content_hash THEN 'unchanged' ELSE 'changed' END AS change FROM live l FULL JOIN stored s ON l.page_key = s.page_key")
+def change_detection(spark, d):
+    return index.changes(_live(spark, d), _stored(spark, d))
+
+
+@query("stale_pages", f"WITH {CHUNKS} SELECT page_key, page_id FROM chunks WHERE id % 11 = 0")
+def stale_pages(spark, d):
+    return index.stale_pages(_stored(spark, d), _live(spark, d))
+
+
+@query("indexed_pages", f"WITH {CHUNKS} SELECT page_key, min(page_id) AS page_id FROM chunks GROUP BY page_key")
+def indexed_pages(spark, d):
+    return index.indexed_pages(S.chunks(spark, d))
+
+
+STATS = "stats AS (SELECT count(*) AS chunks, count(DISTINCT page_key) AS pages, count(*) FILTER (fp = 'fixture') AS compatible_chunks, count(DISTINCT page_key) FILTER (fp = 'fixture') AS compatible_pages, max(indexed_at) AS last_indexed, array_to_string(list_sort(list(DISTINCT fp)), ',') AS fingerprints, count(DISTINCT page_key) - count(DISTINCT page_key) FILTER (fp = 'fixture') AS incompatible_pages FROM stored)"
+
+
+@query("index_stats", f"WITH {CHUNKS}, {STORED}, {STATS} SELECT * FROM stats")
+def index_stats(spark, d):
+    return index.statistics(_stored(spark, d), "fixture").withColumn("fingerprints", F.array_join("fingerprints", ",")).drop("models", "dims")
+
+
+@query("index_state", f"WITH {CHUNKS}, {STORED}, {STATS} SELECT CASE WHEN incompatible_pages > 0 THEN 'error' ELSE 'incomplete' END AS state, least(100, round(100.0 * compatible_pages / e.n))::INTEGER AS percent FROM stats, (SELECT count(*) AS n FROM docs) e")
+def index_state(spark, d):
+    eligible = S.extracted(spark, d).agg(F.count(F.lit(1)).alias("eligible"))
+    facts = {"configured": F.lit(True), "lifecycle_error": F.lit(False), "pending": F.lit(0), "failed": F.lit(0), "stale": F.lit(0)}
+    one = index.statistics(_stored(spark, d), "fixture").join(F.broadcast(eligible)).withColumns(facts)
+    return one.select(index.index_state().alias("state"), index.percent(F.col("compatible_pages"), F.col("eligible")).alias("percent"))
+
+
+_SNAP = "SELECT id, page_key, chunk_index, stored_hash AS content_hash FROM stored"
+
+
+def _snap(df):
+    return df.select("id", "page_key", "chunk_index", "content_hash")
+
+
+@query("replace_page_snapshot", f"WITH {CHUNKS}, {STORED} SELECT id, page_key, chunk_index, CASE WHEN id % 7 = 0 THEN content_hash ELSE stored_hash END AS content_hash FROM stored")
+def replace_page_snapshot(spark, d):
+    return _snap(index.replaced(_stored(spark, d), S.chunks(spark, d).where("id % 7 = 0")))
+
+
+@query("delete_page_snapshot", f"WITH {CHUNKS}, {STORED} {_SNAP} WHERE id % 11 <> 0")
+def delete_page_snapshot(spark, d):
+    return _snap(index.deleted(_stored(spark, d), S.extracted(spark, d).where("doc_id % 11 = 0")))
+
+
+@query("truncate_snapshot", f"WITH {CHUNKS}, {STORED} {_SNAP} WHERE false")
+def truncate_snapshot(spark, d):
+    return _snap(index.truncated(_stored(spark, d)))
+
+
+@query("metadata_refresh", f"WITH {CHUNKS} SELECT id, CASE WHEN id % 4 = 0 THEN 'moved/' || id ELSE page_id END AS page_id, CASE WHEN id % 4 = 0 THEN '/moved/' || id ELSE url END AS url, page_modified FROM chunks")
+def metadata_refresh(spark, d):
+    new = S.extracted(spark, d).where("doc_id % 4 = 0").select("page_key", F.concat(F.lit("moved/"), "doc_id").alias("page_id"), F.concat(F.lit("/moved/"), "doc_id").alias("url"), "title", F.lit(None).cast("long").alias("page_modified"))
+    return index.refreshed(S.chunks(spark, d), new).select("id", "page_id", "url", "page_modified")
+
+
+@query("meta_upsert", "SELECT key, arg_max(value, seq) AS value FROM (SELECT 'user-' || user_id AS key, event_type AS value, event_id AS seq FROM events UNION ALL SELECT 'user-0', 'kept', -1 UNION ALL SELECT 'schema', '4', -1) GROUP BY key")
+def meta_upsert(spark, d):
+    new = S.table(spark, d, "events").select(F.concat(F.lit("user-"), "user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
+    return S.upserted_meta(spark.createDataFrame([("user-0", "kept"), ("schema", "4")], "key string, value string"), new)
+
+
+EVENTS = "ev AS (SELECT 'page://' || user_id AS page_key, 'p/' || event_id AS page_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS operation, floor(epoch(ts))::BIGINT AS enqueued_at, event_id AS seq, event_type, value FROM events)"
+DEBOUNCED = "q AS (SELECT page_key, arg_max(page_id, enqueued_at * 1000000000 + seq) AS page_id, arg_max(operation, enqueued_at * 1000000000 + seq) AS operation, max(enqueued_at) AS enqueued_at, (hash_ % 5)::INTEGER AS attempts, count(*)::INTEGER AS revision, min(seq) AS first_seq FROM (SELECT *, substr(page_key, 8)::BIGINT AS hash_ FROM ev) GROUP BY page_key, hash_)"
+_QCOLS = "page_key, page_id, operation, enqueued_at, attempts, revision"
+
+
+def _events(spark, d):
+    e = S.table(spark, d, "events")
+    return e.select(
+        F.concat(F.lit("page://"), "user_id").alias("page_key"), F.concat(F.lit("p/"), "event_id").alias("page_id"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("operation"),
+        F.unix_timestamp("ts").alias("enqueued_at"), F.col("event_id").alias("seq"),
+    )
+
+
+def _queue(spark, d):
+    return queue.debounced(_events(spark, d)).withColumn("attempts", (F.substring("page_key", 8, 20).cast("long") % 5).cast("int"))
+
+
+def _q(df):
+    return df.select("page_key", "page_id", "operation", "enqueued_at", "attempts", "revision")
+
+
+@query("queue_debounce", f"WITH {EVENTS}, {DEBOUNCED} SELECT page_key, page_id, operation, enqueued_at, 0 AS attempts, revision FROM q")
+def queue_debounce(spark, d):
+    return _q(queue.debounced(_events(spark, d)))
+
+
+@query("queue_enqueue_more", f"WITH {EVENTS}, {DEBOUNCED} SELECT page_key, page_id, operation, enqueued_at, 0 AS attempts, revision FROM q")
+def queue_enqueue_more(spark, d):
+    e = _events(spark, d)
+    first = e.join(e.agg(F.percentile("enqueued_at", 0.5).alias("mid")), how="cross")
+    return _q(queue.enqueued(queue.debounced(first.where("enqueued_at <= mid").drop("mid")), first.where("enqueued_at > mid").drop("mid")))
+
+
+@query("queue_transition", "SELECT unnest([struct_pack(k := 'page://' || user_id, p := 'old/' || event_id, o := 'delete', a := floor(epoch(ts))::BIGINT), struct_pack(k := 'page://' || (user_id + 1000), p := 'new/' || event_id, o := 'upsert', a := floor(epoch(ts))::BIGINT + 1)], recursive := true) FROM events".replace("k :=", "page_key :=").replace("p :=", "page_id :=").replace("o :=", "operation :=").replace("a :=", "enqueued_at :="))
+def queue_transition(spark, d):
+    e = S.table(spark, d, "events")
+    return queue.transitions(e.select(F.concat(F.lit("page://"), "user_id").alias("old_key"), F.concat(F.lit("old/"), "event_id").alias("old_id"), F.concat(F.lit("page://"), (F.col("user_id") + 1000).cast("string")).alias("new_key"), F.concat(F.lit("new/"), "event_id").alias("new_id"), F.unix_timestamp("ts").alias("at")))
+
+
+@query("queue_insert_missing", f"WITH {EVENTS}, {DEBOUNCED}, {DOCS} SELECT {_QCOLS} FROM q UNION ALL SELECT page_key, page_id, 'upsert', 5, 0, 1 FROM docs WHERE page_key NOT IN (SELECT page_key FROM q)")
+def queue_insert_missing(spark, d):
+    new = S.extracted(spark, d).select("page_key", "page_id", F.lit("upsert").alias("operation"), F.lit(5).cast("long").alias("enqueued_at"), F.lit(0).alias("attempts"), F.lit(1).alias("revision"))
+    return queue.inserted_missing(_q(_queue(spark, d)), new)
+
+
+@query("queue_claim", f"WITH {EVENTS}, {DEBOUNCED} SELECT {_QCOLS} FROM q WHERE attempts < 3 ORDER BY CASE operation WHEN 'delete' THEN 0 ELSE 1 END, enqueued_at, first_seq LIMIT 50")
+def queue_claim(spark, d):
+    return _q(queue.claimed(_queue(spark, d), 50))
+
+
+@query("queue_complete", f"WITH {EVENTS}, {DEBOUNCED} SELECT {_QCOLS} FROM q WHERE revision % 2 = 0")
+def queue_complete(spark, d):
+    q = _q(_queue(spark, d))
+    return queue.completed(q, q.select("page_key", (F.col("revision") + F.when(F.col("revision") % 2 == 0, -1).otherwise(0)).alias("revision")))
+
+
+@query("queue_fail", f"WITH {EVENTS}, {DEBOUNCED} SELECT page_key, attempts + CASE WHEN revision % 2 = 1 THEN 1 ELSE 0 END AS attempts, CASE WHEN revision % 2 = 1 THEN repeat('e', 500) END AS last_error FROM q")
+def queue_fail(spark, d):
+    q = _queue(spark, d)
+    bad = q.select("page_key", (F.col("revision") + F.when(F.col("revision") % 2 == 0, -1).otherwise(0)).alias("revision"), F.repeat(F.lit("e"), 600).alias("error"))
+    return queue.failed(q, bad).select("page_key", "attempts", "last_error")
+
+
+@query("queue_counts", f"WITH {EVENTS}, {DEBOUNCED} SELECT count(*) FILTER (attempts < 3) AS pending, count(*) FILTER (attempts >= 3) AS failed FROM q")
+def queue_counts(spark, d):
+    return queue.counts(_queue(spark, d))
+
+
+@query("queue_failures", f"WITH {EVENTS}, {DEBOUNCED} SELECT {_QCOLS} FROM q WHERE attempts >= 3 ORDER BY enqueued_at DESC, page_key LIMIT 20")
+def queue_failures(spark, d):
+    return _q(queue.latest_failures(_queue(spark, d), 20))
+
+
+@query("rebuild_plan", f"WITH {CHUNKS} SELECT page_key, 'delete' AS operation FROM chunks WHERE id % 11 = 0 UNION ALL (SELECT page_key, 'upsert' FROM docs WHERE doc_id % 11 <> 0 ORDER BY page_key LIMIT 500)")
+def rebuild_plan(spark, d):
+    return queue.rebuild_plan(_stored(spark, d), _live(spark, d), index.MOST_PAGES)
+
+
+@query("lifecycle_events", "SELECT unnest(CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 0 THEN [struct_pack(page_key := 'old://' || doc_id, operation := 'delete', enqueued_at := doc_id), struct_pack(page_key := 'page://' || doc_id, operation := 'delete', enqueued_at := doc_id)] WHEN doc_id % 5 = 0 THEN [struct_pack(page_key := 'page://' || doc_id, operation := 'delete', enqueued_at := doc_id)] WHEN doc_id % 2 = 0 THEN [struct_pack(page_key := 'old://' || doc_id, operation := 'delete', enqueued_at := doc_id), struct_pack(page_key := 'page://' || doc_id, operation := 'upsert', enqueued_at := doc_id + 1)] ELSE [struct_pack(page_key := 'page://' || doc_id, operation := 'upsert', enqueued_at := doc_id)] END, recursive := true) FROM documents")
+def lifecycle_events(spark, d):
+    key = F.concat(F.lit("page://"), "doc_id")
+    rows = S.table(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("old://"), "doc_id")).otherwise(key).alias("old_key"), F.lit("o").alias("old_id"), key.alias("new_key"), F.lit("n").alias("new_id"), (F.col("doc_id") % 5 != 0).alias("allowed"), F.col("doc_id").alias("at"))
+    return queue.lifecycle_events(rows).select("page_key", "operation", "enqueued_at")
+
+
+@query("subtree_rekey", f"WITH {DOCS} SELECT page_id, 'moved/src1' || substr(page_id, 5) AS old_id FROM docs WHERE starts_with(page_id, 'src1/')")
+def subtree_rekey(spark, d):
+    return queue.rekeyed(S.extracted(spark, d), "moved/src1", "src1")
+
+
+@query("fresh_hits", (HYBRID + "SELECT id, rank::INTEGER AS rank FROM hits WHERE rank <= 20 AND id % 7 <> 0").replace("POOL", "80").replace("THRESHOLD", "0.25"))
+def fresh_hits(spark, d):
+    live = S.extracted(spark, d).withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "new").otherwise(F.col("content_hash")))
+    return search.fresh_hits(search.hybrid_search(S.chunks(spark, d), _vector(spark, d), WORDS, 20, 0.25), live).select("id", "rank")
+
+
+_EX = "CASE WHEN length(x) <= 1600 THEN x ELSE rtrim(substr(x, 1, 1600)) || '…' END"
+
+
+@query("excerpt", f"WITH {DOCS}, t AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) AS x FROM docs) SELECT doc_id, md5({_EX}) AS excerpt FROM t")
+def excerpt(spark, d):
+    return S.extracted(spark, d).select("doc_id", F.md5(T.excerpt(F.col("text")).cast("binary")).alias("excerpt"))
+
+
+@query("context_budget", (HYBRID + f", texts AS (SELECT id, rank, trim(regexp_replace(chunk_text, '[\\s\\p{{Z}}]+', ' ', 'g')) AS x FROM hits WHERE rank <= 20), sums AS (SELECT id, rank, sum(length({_EX})) OVER (ORDER BY rank) AS chars FROM texts) SELECT id, chars::BIGINT AS chars FROM sums WHERE rank = 1 OR chars <= 4000").replace("POOL", "80").replace("THRESHOLD", "0.25"))
+def context_budget(spark, d):
+    hits = search.hybrid_search(S.chunks(spark, d), _vector(spark, d), WORDS, 20, 0.25)
+    return search.within_budget(hits.withColumn("entry", T.excerpt(F.col("chunk_text")))).select("id", "chars")
+
+
+@query("knowledge_search")
+def knowledge_search(spark, d):
+    return search.knowledge_search(S.chunks(spark, d), S.extracted(spark, d), _vector(spark, d), WORDS)
+
+
+@query("related_summaries", f"WITH {DOCS}, l AS (SELECT page_key, unnest([doc_id + 1, doc_id + 3, doc_id + 2]) AS o, unnest([0, 1, 2]) AS pos FROM docs) SELECT l.page_key, string_agg(p.title || ': ' || substr(p.text, 1, 500), chr(10) ORDER BY pos) AS summaries FROM l JOIN docs p ON p.doc_id = o GROUP BY l.page_key")
+def related_summaries(spark, d):
+    pages = S.extracted(spark, d)
+    links = pages.select("page_key", F.transform(F.array(F.lit(1), F.lit(3), F.lit(2)), lambda k: F.concat(F.lit("page://"), (F.col("doc_id") + k).cast("string"))).alias("related"))
+    return index.related_summaries(links, pages.withColumn("summary", F.col("text")))
+
+
+_FIELDS = ["title", "keywords", "apiKey", "text", "uuid", "Passwort", "access_token", "sort", "intro"]
+
+
+@query("secret_field_filter", "SELECT doc_id, f AS field FROM documents, (SELECT unnest(" + str(_FIELDS) + ") AS f) WHERE NOT regexp_matches(f, '(?i)key|secret|token|password|passwort') AND f NOT IN ('uuid', 'template', 'slug', 'num', 'sort', 'fabby_exclude')")
+def secret_field_filter(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", F.explode(F.array(*map(F.lit, _FIELDS))).alias("field")).where(T.allowed_field(F.col("field")))
+
+
+@query("site_query_rewrite", "SELECT conv_id, turn, trim(regexp_replace(text || ' site:x.org more', '\\s*site:\\S+', '', 'g')) || ' (site:a.org OR site:b.org/x)' AS query FROM conversations")
+def site_query_rewrite(spark, d):
+    return S.table(spark, d, "conversations").select("conv_id", "turn", T.site_query(F.concat("text", F.lit(" site:x.org more")), ["https://a.org/", "b.org/x"]).alias("query"))
+
+
+@query("absolute_url", "SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://') THEN url ELSE 'https://e.org/' || ltrim(url, '/') END AS url, 'https://e.org/p/' || page_id AS relative FROM pages")
+def absolute_url(spark, d):
+    return S.table(spark, d, "pages").select("page_id", T.absolute_url("https://e.org/", F.col("url")).alias("url"), T.absolute_url("https://e.org/", F.concat(F.lit("/p/"), "page_id")).alias("relative"))
+
+
+@query("split_lines", "SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\n|\\r'), lambda x: trim(x, ' ' || chr(9) || chr(11)) <> '')) AS n FROM documents")
+def split_lines(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", F.size(T.lines(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
+
+
+@query("page_key_fallback", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'page://' || doc_id ELSE 'page-id://' || source || '/' || doc_id END AS page_key FROM documents")
+def page_key_fallback(spark, d):
+    return S.extracted(spark, d).select("doc_id", T.page_key(F.when(F.col("doc_id") % 2 == 0, F.col("page_key")).otherwise(""), F.col("page_id")).alias("page_key"))
+
+
+@query("first_summary", "SELECT doc_id, substr(CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN source ELSE coalesce(nullif(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11)), ''), NULL) END, 1, 500) AS summary FROM documents")
+def first_summary(spark, d):
+    k = F.col("doc_id") % 3
+    return S.table(spark, d, "documents").select("doc_id", T.first_summary(F.when(k == 0, F.col("lang")).otherwise(" "), F.when(k == 1, F.col("source")).when(k == 2, "[1]").otherwise(""), F.when(k == 2, F.coalesce("text", F.lit("")))).alias("summary"))
+
+
+@query("blocks_text", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || chr(10) || lang || chr(10) || chr(10) || lang ELSE source || chr(10) || lang END AS text FROM documents")
+def blocks_text(spark, d):
+    def block(kind, hidden, *parts):
+        return F.struct(F.lit(kind).alias("type"), hidden.alias("hidden"), F.array(*parts).alias("parts"))
+
+    blocks = F.array(block("text", F.lit(False), F.col("source"), F.lit(" "), F.col("lang")), block("code", F.lit(False), F.lit("x = 1")), block("list", F.col("doc_id") % 2 == 1, F.col("lang")))
+    return S.table(spark, d, "documents").select("doc_id", T.blocks_text(blocks).alias("text"))
+
+
+@query("html_clean")
+def html_clean(spark, d):
+    return S.table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query("hmac_keys")
+def hmac_keys(spark, d):
+    return S.table(spark, d, "events").select("event_id", T.keyed_hash("secret")(F.col("user_id").cast("string")).alias("key"))
+
+
+@query("run_results", "SELECT sum(1)::BIGINT AS indexed, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS failed, bool_or(user_id = 3) AS busy FROM events")
+def run_results(spark, d):
+    rows = S.table(spark, d, "events").select(F.lit(1).alias("indexed"), F.lit(0).alias("skipped"), F.lit(0).alias("deleted"), (F.col("event_type") == "error").cast("int").alias("failed"), F.lit(0).alias("chunks"), F.array().cast("array<string>").alias("errors"), (F.col("user_id") == 3).alias("busy"))
+    return index.merged_results(rows).select("indexed", "failed", "busy")
+
+
+def _requests(spark, d):
+    return S.table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.unix_timestamp("ts").alias("at"), F.lit("chat").alias("action"), F.col("user_id").cast("string").alias("session"), (F.col("user_id") % 40).cast("string").alias("ip"))
+
+
+@query("rate_limit_single", "SELECT request_id, row_number() OVER (PARTITION BY session, floor(at / 86400) ORDER BY at, request_id) <= 5 AS allowed FROM (SELECT event_id AS request_id, floor(epoch(ts))::BIGINT AS at, user_id AS session FROM events)")
+def rate_limit_single(spark, d):
+    return limits.single_limit(_requests(spark, d), "session", 86400, 5).select("request_id", "allowed")
+
+
+@query("rate_limit_coupled")
+def rate_limit_coupled(spark, d):
+    return limits.coupled_limits(_requests(spark, d), 1, 1, 300)
+
+
+@query("tumbling_counts", "SELECT user_id, floor(epoch(ts) / 86400)::BIGINT AS day, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_counts(spark, d):
+    return S.table(spark, d, "events").groupBy("user_id", F.floor(F.unix_timestamp("ts") / 86400).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("upcoming_events", "SELECT event_id FROM events WHERE ts::DATE > DATE '2024-01-15'")
+def upcoming_events(spark, d):
+    return S.table(spark, d, "events").where(F.to_date("ts") > F.lit("2024-01-15").cast("date")).select("event_id")
+
+
+@query("setting_chain", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN lang ELSE 'env' END AS value FROM documents")
+def setting_chain(spark, d):
+    k = F.col("doc_id") % 3
+    return S.table(spark, d, "documents").select("doc_id", S.setting(F.when(k == 0, F.col("source")).otherwise(" "), F.when(k == 1, F.col("lang")), F.lit("env")).alias("value"))
+
+
+@query("enabled_tools", "SELECT name, arg_max(definition, pos) AS definition FROM (SELECT event_type AS name, event_id % 2 = 0 AS on_, event_id AS pos, 'd' || event_id AS definition FROM events) WHERE on_ GROUP BY name")
+def enabled_tools(spark, d):
+    return S.enabled_tools(S.table(spark, d, "events").select(F.col("event_type").alias("name"), (F.col("event_id") % 2 == 0).cast("string").alias("enabled"), F.col("event_id").alias("pos"), F.concat(F.lit("d"), "event_id").alias("definition")))
+
+
+@query("embed_documents")
+def embed_documents(spark, d):
+    return S.embedded(S.extracted(spark, d).select("doc_id", F.col("text").alias("chunk_text")), S.HashedEmbeddings()).select("doc_id", "dims", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
