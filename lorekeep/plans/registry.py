@@ -498,7 +498,7 @@ def _requests(spark, d):
     return S.table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.unix_timestamp("ts").alias("at"), F.lit("chat").alias("action"), F.col("user_id").cast("string").alias("session"), (F.col("user_id") % 40).cast("string").alias("ip"))
 
 
-@query("rate_limit_single", "SELECT request_id, row_number() OVER (PARTITION BY session, floor(at / 86400) ORDER BY at, request_id) <= 5 AS allowed FROM (SELECT event_id AS request_id, floor(epoch(ts))::BIGINT AS at, user_id AS session FROM events)")
+@query("rate_limit_single", "SELECT request_id, row_number() OVER (PARTITION BY session, floor(t / 86400) ORDER BY t, request_id) <= 5 AS allowed FROM (SELECT event_id AS request_id, floor(epoch(ts))::BIGINT AS t, user_id AS session FROM events)")
 def rate_limit_single(spark, d):
     return limits.single_limit(_requests(spark, d), "session", 86400, 5).select("request_id", "allowed")
 
