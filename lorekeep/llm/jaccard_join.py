@@ -35,7 +35,7 @@ PERCENT = 75
 #: Sets of one side of a tile.
 BLOCK = 256
 #: Bins of a set's sketch.
-BINS = 256
+BINS = 128
 #: Slots of the table of counts that orders the tokens, and bits of the filter of the sets that are needed.
 SLOTS = 1 << 15
 FILTER_BITS = 1 << 23
@@ -182,10 +182,10 @@ def tree_links(sets: list[np.ndarray], groups: list[int], percent: int = PERCENT
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Counts of the tokens over bins, BINS or a power of two times as many where a bin would hold more than 4 on average.
+    """Counts of the tokens over bins, BINS or a power of two times as many where a bin would hold more than 8 on average.
 
     Two sets share at most the sum of the smaller counts. A full bin says nothing."""
-    bins = BINS << max(0, (len(tokens) - 1).bit_length() - (4 * BINS).bit_length() + 1)
+    bins = BINS << max(0, (len(tokens) - 1).bit_length() - (8 * BINS).bit_length() + 1)
     return np.minimum(np.bincount(tokens >> 20 & (bins - 1), minlength=bins), 255).astype(np.uint8).tobytes()
 
 
@@ -412,8 +412,10 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     joined = components(search(written(members, "members")))
 
     # 2. tokens whose sets still lie apart, in tiles
-    placed = written(met.join(joined, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp")), "placed")
-    apart = placed.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).where("c < d")
+    placed = written(met.join(joined, "node", "left").join(sketches.select("node", "n"), "node").select("token", "node", F.coalesce("comp", "node").alias("comp"), "n"), "placed")
+    apart = placed.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("n").alias("short"), F.max("n").alias("long")).where("c < d")
+    # two sets alone can't link if their sizes are too far apart
+    apart = apart.where((F.col("m") > 2) | (100 * F.col("short") >= percent * F.col("long")))
     # tokens with the same sets need one search
     apart = apart.groupBy("m", "x").agg(F.min("token").alias("token")).select("token")
 
@@ -438,7 +440,7 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
             ]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
-    tiles = tiled(placed.join(apart, "token"), "token").join(sketches, "node").repartition("one", "two").sortWithinPartitions("one", "two")
+    tiles = tiled(placed.drop("n").join(apart, "token"), "token").join(sketches, "node").repartition("one", "two").sortWithinPartitions("one", "two")
     hope = components(tiles.mapInArrow(hopeful, "a long, b long"))
     if not hope.isEmpty():
         rest = hope.select("node", F.col("comp").alias("hope")).join(joined, "node", "left").select("hope", "node", F.coalesce("comp", "node").alias("comp"))
