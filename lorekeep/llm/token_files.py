@@ -33,7 +33,7 @@ FRAME_IDS = 2_000_000
 LANES = 2048
 BLOCK_IDS = (256, 2048)
 MAGIC = b"LKF1"
-SLOTS = 4096
+SLOTS = 1024
 CLASSES = 16
 _U = np.uint64
 _HALF = _U(1 << 16)
