@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, text_or_empty, written
+from .common import components, small_batches, table, text_or_empty, written
 from .tokens import slices
 
 WORDS = 5
@@ -250,7 +250,7 @@ def hopeful_groups(sketches: list[bytes], n: np.ndarray, comp: np.ndarray, perce
 
 def _first_seen(nodes: list[int], seen: set[int]) -> list[int]:
     """Positions of nodes that this task hasn't sent; the memory is emptied when it grows large."""
-    if len(seen) > 1_000_000:
+    if len(seen) > 200_000:
         seen.clear()
     return [k for k, x in enumerate(nodes) if not (x in seen or seen.add(x))]
 
@@ -323,7 +323,7 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     Repeated rows give a row each. A null doc_id takes its component's smallest doc_id, null if there is none. Other
     columns are not read; an empty table gives no rows. Sets and shingles are told apart by 64- and 58-bit hashes.
     """
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    texts = small_batches(docs.select("doc_id", text_or_empty().alias("text")))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts, seen = Shingler(words), np.zeros(SLOTS, np.int64), set()

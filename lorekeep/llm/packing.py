@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_or_empty, tokenizer_path
+from .common import small_batches, table, text_or_empty, tokenizer_path
 from .tokens import encoder, slices
 
 LENGTH = 4096
@@ -165,7 +165,7 @@ def pack_documents(docs: DataFrame, path: str, end: int = END, length: int = LEN
         yield from out()
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(packed, ", ".join(f"{c} long" for c in columns))
+    return small_batches(rows).mapInArrow(packed, ", ".join(f"{c} long" for c in columns))
 
 
 def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

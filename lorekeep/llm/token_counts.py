@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, tokenizer_path
+from .common import small_batches, table, text_or_empty, tokenizer_path
 from .tokens import Encoder, Table, encoder, slices
 
 LIMIT = 1024
@@ -60,7 +60,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     text = text_or_empty()
     rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return small_batches(rows).mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op4_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_path, table, text_or_empty, tokenizer_path
+from .common import partitions, shared_path, small_batches, table, text_or_empty, tokenizer_path
 from .tokens import encoder, slices
 
 END = 0
@@ -246,7 +246,7 @@ def write_token_files(docs: DataFrame, path: str, to: str, end: int = END, frame
 
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("_tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    frames = ordered.mapInArrow(framed, "part int, frame int, n_ids long, doc_ids array<long>, doc_tokens array<long>, data binary")
+    frames = small_batches(ordered).mapInArrow(framed, "part int, frame int, n_ids long, doc_ids array<long>, doc_tokens array<long>, data binary")
     frames.write.option("compression", "none").parquet(to)
 
 
@@ -271,7 +271,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     ["part", "frame", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    docs = frames.select("part", "frame", "doc_ids", "doc_tokens", "data").mapInArrow(decoded, "part int, frame int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = small_batches(frames.select("part", "frame", "doc_ids", "doc_tokens", "data")).mapInArrow(decoded, "part int, frame int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return docs.join(starts, ["part", "frame"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -21,7 +21,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words or pre-tokens kept by a worker's table before it is emptied.
-TABLE_ROWS = 500_000
+TABLE_ROWS = 200_000
 #: Longer words are encoded but not kept.
 KEPT_CHARS = 48
 
