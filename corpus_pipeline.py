@@ -35,7 +35,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The drawn documents' token ids as pieces of training sequences."""
-    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), slice_chars=2_000_000)
 
 
 STAGES = [("quality", quality), ("rules", rules), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packing", packing)]

@@ -49,7 +49,7 @@ class Shingler:
         self.n = words
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
-        return [x for s in slices(texts) for x in self._sets(texts[s])]
+        return [x for s in slices(texts, 2_000_000) for x in self._sets(texts[s])]
 
     def _sets(self, texts: list[str]) -> list[np.ndarray]:
         # ascii_lower changes A-Z alone and ascii_split_whitespace parts at \x20 and \x09-\x0D alone

@@ -24,6 +24,8 @@ LENGTH = 4096
 END = 2
 #: Levels of the array: fills are counted in steps of LENGTH / LEVELS.
 LEVELS = 64
+#: Characters that a worker encodes at once: fewer take less memory and more time.
+SLICE_CHARS = 6_000_000
 #: Sequences of one task; its ids start at its partition's number times this.
 PER_TASK = 1 << 40
 
@@ -115,7 +117,7 @@ class Packer:
             self._close(runs)
 
 
-def pack_documents(docs: DataFrame, path: str, end: int = END, length: int = LENGTH, levels: int = LEVELS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end: int = END, length: int = LENGTH, levels: int = LEVELS, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece of each document.
 
     A document's ids are those of its whole text and then `end`, so a null or empty text has one id. Every id lies in
@@ -150,7 +152,7 @@ def pack_documents(docs: DataFrame, path: str, end: int = END, length: int = LEN
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s in slices(texts):
+            for s in slices(texts, slice_chars):
                 flat, sizes = enc.ids(texts[s])
                 at = 0
                 for doc_id, size in zip(doc_ids[s], sizes.tolist()):
