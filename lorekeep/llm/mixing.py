@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import checkpointed, table, text_or_empty
 
 OTHER = "other"
 AXES = ("source", "lang", "topic")
@@ -108,7 +108,7 @@ def probabilities(mass: np.ndarray, shares: np.ndarray, keep: float) -> np.ndarr
     return out
 
 
-def mixed(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
+def mixed(docs: DataFrame, mix: Mix = PRODUCTION, whole_rows: bool = True) -> DataFrame:
     """All rows and columns of `docs` (doc_id, text, lang, source) under `row`, a struct, with source, lang, topic (the
     classes), n_tokens (words of the text), weight (target over present share of the cell), probability and sampled.
 
@@ -124,6 +124,7 @@ def mixed(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
         _class(topic_of(text), t.topic).alias("topic"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"),
     )
+    rows = rows if whole_rows else checkpointed(rows.drop("row"))
     names = [[*dict.fromkeys([*getattr(t, a), OTHER])] for a in AXES]
     mass = np.zeros([len(n) for n in names])
     # one row a cell, and the targets bound the cells
@@ -138,11 +139,11 @@ def mixed(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
         "source string, lang string, topic string, weight double, probability double",
     )
     draw = (F.pmod(F.xxhash64("doc_id", F.lit(mix.seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return rows.join(F.broadcast(cells), list(AXES)).select("row", "doc_id", *AXES, "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("sampled"))
+    return rows.join(F.broadcast(cells), list(AXES)).select(*["row"] * whole_rows, "doc_id", *AXES, "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("sampled"))
 
 
 def op1_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents")).drop("row")
+    return mixed(table(spark, sf_dir, "documents"), whole_rows=False)
 
 
 QUERIES = {"op1_raked_mixture": op1_raked_mixture}
