@@ -161,7 +161,9 @@ def train(paragraphs: list[str], variants: int = 60, rounds: int = 400, decay: f
 def sample_paragraphs(docs: DataFrame) -> list[str]:
     """Paragraphs of the SAMPLE_DOCUMENTS documents whose doc_ids have the smallest hashes; for training alone."""
     few = F.transform(F.slice(F.split(text_or_empty(), "\n"), 1, SAMPLE_PARAGRAPHS), lambda p: F.substring(p, 1, SAMPLE_CHARS))
-    found = docs.select(F.xxhash64("doc_id").alias("h"), few.alias("p")).orderBy("h").limit(SAMPLE_DOCUMENTS).collect()
+    # the ids are chosen first, so tasks send texts of chosen documents alone
+    chosen = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE_DOCUMENTS)
+    found = docs.join(F.broadcast(chosen.distinct()), "doc_id").select("h", few.alias("p")).orderBy("h").limit(SAMPLE_DOCUMENTS).collect()
     return [p for r in found for p in r.p if p.strip()]
 
 
