@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 TRIMMED = " \t\n\r\0\x0b"
 # Names of fields that are never indexed, and of blocks and field types by their handling.
 SECRET = r"(?i)key|secret|token|password|passwort"
-SKIP_PAGE_FIELDS = ["uuid", "template", "slug", "num", "sort", "fabby_exclude"]
+SKIP_PAGE_FIELDS = ["uuid", "template", "slug", "num", "sort", "search_exclude"]
 SKIP_BLOCK_FIELDS = ["bgcolor", "color", "defaultopen", "icon", "id", "ishidden", "lighttext", "showvisualizer", "theme"]
 CODE_BLOCKS = ["code", "codeembed"]
 PROSE_TYPES = ["markdown", "textarea", "writer"]

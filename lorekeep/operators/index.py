@@ -13,8 +13,8 @@ def indexable(listed_only: bool = False) -> Column:
     """Whether a page (is_draft, is_listed, template, page_id, exclude) may be indexed; missing flags don't forbid it."""
     listed = F.lit(True) if not listed_only else F.coalesce("is_listed", F.lit(False))
     return (
-        ~F.coalesce("is_draft", F.lit(False)) & listed & ~F.coalesce("template", F.lit("")).isin("fabby-settings", "error")
-        & (F.coalesce("page_id", F.lit("")) != "fabby-settings") & ~F.coalesce("exclude", F.lit(False))
+        ~F.coalesce("is_draft", F.lit(False)) & listed & ~F.coalesce("template", F.lit("")).isin("search-settings", "error")
+        & (F.coalesce("page_id", F.lit("")) != "search-settings") & ~F.coalesce("exclude", F.lit(False))
     )
 
 

@@ -202,7 +202,7 @@ def _pages(spark, d):
     })
 
 
-_POLICY = "NOT is_draft AND template NOT IN ('fabby-settings', 'error') AND NOT exclude"
+_POLICY = "NOT is_draft AND template NOT IN ('search-settings', 'error') AND NOT exclude"
 
 
 @query("policy_filter", f"WITH {DOCS}, {PAGES} SELECT doc_id FROM pages_ WHERE {_POLICY} AND is_listed")
@@ -438,7 +438,7 @@ def related_summaries(spark, d):
 _FIELDS = ["title", "keywords", "apiKey", "text", "uuid", "Passwort", "access_token", "sort", "intro"]
 
 
-@query("secret_field_filter", "SELECT doc_id, f AS field FROM documents, (SELECT unnest(" + str(_FIELDS) + ") AS f) WHERE NOT regexp_matches(f, '(?i)key|secret|token|password|passwort') AND f NOT IN ('uuid', 'template', 'slug', 'num', 'sort', 'fabby_exclude')")
+@query("secret_field_filter", "SELECT doc_id, f AS field FROM documents, (SELECT unnest(" + str(_FIELDS) + ") AS f) WHERE NOT regexp_matches(f, '(?i)key|secret|token|password|passwort') AND f NOT IN ('uuid', 'template', 'slug', 'num', 'sort', 'search_exclude')")
 def secret_field_filter(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.explode(F.array(*map(F.lit, _FIELDS))).alias("field")).where(T.allowed_field(F.col("field")))
 
