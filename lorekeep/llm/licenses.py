@@ -1,7 +1,7 @@
 """Licence scan by a trained paragraph classifier (operator 6).
 
-A logistic regression on sparse word n-grams tells licence families and "unknown" apart, paragraph by paragraph. It is
-trained on variants of short licence notices and on paragraphs of a bounded sample of documents; its probabilities are
+A logistic regression on sparse word n-grams tells licence families and "unknown" apart, line by line and over windows of
+lines that no blank line parts, as notices are usually wrapped. It is trained on variants of short licence notices and on paragraphs of a bounded sample of documents; its probabilities are
 calibrated by a temperature on variants kept aside. A prediction stands only where a template of the family confirms it.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ UNKNOWN = "unknown"
 SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS, SAMPLE_CHARS = 300, 20, 2000
 MIN_PROBABILITY = 0.5
 MIN_SIMILARITY = 0.6
+#: A wrapped notice lies within so many times the words of its template.
+WINDOW = 1.5
 SEED = 6
 
 #: Notices of each family, as their licences or common usage word them.
@@ -77,6 +80,15 @@ class Scanner:
     temperature: float
     templates: list[tuple[str, str, frozenset]]
 
+    @cached_property
+    def holders(self) -> dict:
+        """The templates (by place in the list) that hold each pair of words."""
+        found: dict = {}
+        for k, (_, _, pairs) in enumerate(self.templates):
+            for pair in pairs:
+                found.setdefault(pair, []).append(k)
+        return found
+
     def features(self, words: list[str]) -> list[int]:
         found = map(self.vocabulary.get, grams(words))
         return [f for f in found if f is not None]
@@ -94,6 +106,47 @@ class Scanner:
         pairs = set(zip(words, words[1:]))
         return max((len(pairs & t) / len(t), name) for f, name, t in self.templates if f == family)
 
+    def wrapped(self, lines: list[list[str]], min_similarity: float) -> list[tuple[int, int, list[str]]]:
+        """First line, last line and words of each place where a run of lines holds `min_similarity` of a template's pairs
+        within WINDOW times its words. `lines` are words by line, none for a blank one, which no window crosses."""
+        words = [w for line in lines for w in line]
+        of_line = [k for k, line in enumerate(lines) for _ in line]
+        places: list[list[tuple[int, tuple]]] = [[] for _ in self.templates]
+        for at, pair in enumerate(zip(words, words[1:])):
+            if (held := self.holders.get(pair)) and of_line[at + 1] - of_line[at] < 2:
+                for t in held:
+                    places[t].append((at, pair))
+        found = []
+        for (_, _, pairs), hits in zip(self.templates, places):
+            need, width = min_similarity * len(pairs), int(WINDOW * (len(pairs) + 1))
+            if len({pair for _, pair in hits}) < need:
+                continue
+            for k, (start, _) in enumerate(hits):
+                seen: set = set()
+                end = line = start
+                for m in range(k, len(hits)):
+                    at, pair = hits[m]
+                    if at + 2 - start > width or self._parted(lines, of_line[line], of_line[at]):
+                        break
+                    line = at
+                    if pair not in seen:
+                        seen.add(pair)
+                        end = at + 1
+                if len(seen) >= need and of_line[start] != of_line[end]:
+                    found.append((len(seen), len(seen) / len(pairs), start, end))
+        # the most pairs first, so that a window that is mostly within a better one goes
+        taken: dict[int, list[tuple[int, int]]] = {}
+        most = int(WINDOW * (1 + max(len(pairs) for _, _, pairs in self.templates)))
+        for _, _, start, end in sorted(found, key=lambda x: (-x[0], -x[1], x[3] - x[2], x[2])):
+            near = [x for b in (-1, 0, 1) for x in taken.get(start // most + b, [])]
+            if all(2 * (min(end, e) - max(start, s) + 1) <= min(end - start, e - s) + 1 for s, e in near):
+                taken.setdefault(start // most, []).append((start, end))
+        return [(of_line[s], of_line[e], words[s : e + 1]) for s, e in sorted(x for b in taken.values() for x in b)]
+
+    @staticmethod
+    def _parted(lines: list[list[str]], first: int, last: int) -> bool:
+        return last - first > 1 and not all(lines[first + 1 : last])
+
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
     e = np.exp(scores - scores.max(1, keepdims=True))
@@ -172,17 +225,41 @@ def scan(docs: DataFrame, scanner: Scanner, min_probability: float = MIN_PROBABI
     whose likeliest class is a family, at `min_probability`), n_confirmed, families (the confirmed ones, ascending) and
     `found`: paragraph (its line from 0), family, probability, template, similarity, confirmed of each predicted one.
 
+    A notice wrapped over lines that no blank line parts is one more paragraph, in n_predicted, n_confirmed and `found`
+    (by its first line) where a template confirms it. It gives way to a confirmed line of its family, and takes the
+    place of lines of other families that it holds whole. n_paragraphs counts lines alone.
+
     Null, empty and wordless texts have no paragraphs. Repeated rows and null doc_ids give a row each; other columns are
     not read; an empty table gives no rows. Whole texts are scanned.
     """
     names = ["doc_id", "n_paragraphs", "found"]
     item = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("template", pa.string()), ("similarity", pa.float64()), ("confirmed", pa.bool_())])
 
+    def with_wrapped(found: list[dict], lines: list[list[str]]) -> list[dict]:
+        windows = scanner.wrapped(lines, min_similarity)
+        if not windows:
+            return found
+        p = scanner.probabilities([scanner.features(w) for _, _, w in windows])
+        for (first, last, words), row in zip(windows, p):
+            k = int(row.argmax())
+            family = _FAMILIES[k]
+            if family == UNKNOWN or row[k] < min_probability:
+                continue
+            similarity, template = scanner.similarity(words, family)
+            inside = [x for x in found if x["confirmed"] and first <= x["paragraph"] <= last]
+            if similarity < min_similarity or any(x["family"] == family for x in inside):
+                continue
+            gone = [x for x in inside if scanner.similarity(words, x["family"])[0] >= x["similarity"]]
+            found = [x for x in found if x not in gone]
+            found.append({"paragraph": first, "family": family, "probability": float(row[k]), "template": template, "similarity": similarity, "confirmed": True})
+        return sorted(found, key=lambda x: x["paragraph"])
+
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, out = [], []
             for text in batch.column(1).to_pylist():
-                places = [(k, w) for k, p in enumerate(text.split("\n")) if (w := words_of(p))]
+                lines = [words_of(p) for p in text.split("\n")]
+                places = [(k, w) for k, w in enumerate(lines) if w]
                 counts.append(len(places))
                 found = []
                 if places:
@@ -192,6 +269,8 @@ def scan(docs: DataFrame, scanner: Scanner, min_probability: float = MIN_PROBABI
                         family = _FAMILIES[best[k]]
                         similarity, template = scanner.similarity(places[k][1], family)
                         found.append({"paragraph": places[k][0], "family": family, "probability": float(p[k, best[k]]), "template": template, "similarity": similarity, "confirmed": similarity >= min_similarity})
+                if len(places) > 1:
+                    found = with_wrapped(found, lines)
                 out.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(out, pa.list_(item))], names)
 

@@ -147,6 +147,53 @@ def test_licenses(odd, docs):
     assert scanner.probabilities([scanner.features(words)])[0].argmax() == len(licenses.TEMPLATES)
 
 
+WRAPPED = {
+    "mit": """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "bsd": """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "gpl": """ * A tool.
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or""",
+    "cc-by-nc": "A text.\n\nThis work is licensed under a Creative Commons Attribution\nNonCommercial 4.0 International License.",
+}
+FIRST = {"mit": 4, "bsd": 2, "gpl": 2, "cc-by-nc": 2}
+
+
+def test_wrapped_licenses(spark, docs):
+    prose = [f"Once upon a time in the town of {w} the people\nwalked to the market under the trees of the\nold square and talked about the terms" for w in ("a", "b", "c")]
+    scanner = licenses.train(licenses.sample_paragraphs(docs))
+    rows, want = [], {}
+
+    def add(text, families, first=None):
+        rows.append((len(rows), text))
+        want[len(rows) - 1] = (families, first)
+
+    for family, text in WRAPPED.items():
+        add(text, [family], FIRST[family])
+        add("\n".join([*prose, text, *prose]), [family], FIRST[family] + 9)  # no blank line around the notice
+        add(text.replace("\n", "\r\n"), [family], FIRST[family])
+        add(re.sub(r"(?<=\w) (?=\w)", "\n", text), [family])  # a word a line
+    add("\n\n".join(WRAPPED.values()), sorted(WRAPPED))
+    add("\n".join(WRAPPED.values()), sorted(WRAPPED))
+    # a blank line parts paragraphs, and words of notices in plain prose are none
+    add("Permission is hereby granted, free of charge, to any person obtaining\n\na copy of this software and associated documentation\n\nfiles, to deal in the Software", [])
+    add("\n".join(prose * 5), [])
+    for k, r in by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner)).items():
+        families, first = want[k]
+        assert r.families == families and r.n_confirmed == len(families), rows[k]
+        assert first is None or [x.paragraph for x in r.found if x.confirmed] == [first]
+
+
 def test_frames():
     rng = np.random.default_rng(5)
     for ids in (rng.integers(0, 50257, 5000), np.tile(rng.integers(0, 50257, 9), 300), np.zeros(700, int), rng.integers(0, 65535, 1)):
