@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +15,8 @@ from ..functions.vectors import dot, normalized
 
 RRF = 60
 MOST_CHARS = 4000
+#: Rows of a shard of chunks and of a block of queries in batch search, and numbers in either.
+SHARD_ROWS, TILE_ROWS, BLOCK_VALUES = 1024, 256, 1 << 17
 
 
 def pool_size(wanted: int) -> int:
@@ -40,12 +46,59 @@ def vector_search(chunks: DataFrame, vector: list[float], k: int, threshold: flo
     return found if threshold is None else found.where(F.col("similarity") >= threshold)
 
 
-def batch_vector_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, id, similarity, rank: the k nearest chunks of each row of `queries` (query_id, vector), a small table.
-
-    Windows limited by rank are cut before the shuffle, so each task hands on k rows a query at most."""
-    pairs = chunks.select("id", normalized("embedding").alias("e")).join(F.broadcast(queries.select("query_id", normalized("vector").alias("q"))))
-    scored = pairs.select("query_id", "id", dot("e", "q").alias("similarity"))
+def _blocks(rows: DataFrame, key: str, vector: str, most: int, name: str) -> DataFrame:
+    """Rows with a whole vector in blocks of at most `most`, by length of vector: <name>_ids and <name>_matrix, row-major doubles."""
+    whole = rows.select(key, normalized(vector).alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    names = ["dim", "ids", "matrix"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1)
+            offsets = vectors.offsets.to_numpy()
+            dims, values = np.diff(offsets), vectors.values.to_numpy()
+            for dim in np.unique(dims):
+                own = np.flatnonzero(dims == dim)
+                size = max(1, min(most, BLOCK_VALUES // max(int(dim), 1)))
+                for at in range(0, len(own), size):
+                    part = own[at : at + size]
+                    ids = batch.column(0).take(pa.array(part))
+                    matrix = values[offsets[part][:, None] + np.arange(dim)].astype("<f8").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), ids), pa.array([matrix], pa.binary())], names)
+
+    kind = rows.schema[key].dataType.simpleString()
+    return whole.mapInArrow(pack, f"dim int, ids array<{kind}>, matrix binary").withColumnsRenamed({n: f"{name}_{n}" for n in names})
+
+
+def _best_of_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best chunks of a block for each query of a block; products are summed in order, as `dot` does."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            cell = {n: batch.column(j)[row] for j, n in enumerate(batch.schema.names)}
+            q_ids, c_ids = cell["q_ids"].values, cell["c_ids"].values
+            q = np.frombuffer(cell["q_matrix"].as_py(), "<f8").reshape(len(q_ids), -1)
+            c = np.frombuffer(cell["c_matrix"].as_py(), "<f8").reshape(len(c_ids), -1)
+            scores = np.zeros((len(q), len(c)))
+            for j in range(min(q.shape[1], c.shape[1])):
+                scores += q[:, j, None] * c[None, :, j]
+            down = -np.where(np.isnan(scores), np.inf, scores)
+            by_id = np.broadcast_to(c_ids.to_numpy(zero_copy_only=False), down.shape)
+            at = np.lexsort((by_id, down), axis=1)[:, :k]
+            of = np.repeat(np.arange(len(q)), at.shape[1])
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(of)), c_ids.take(pa.array(at.ravel())), pa.array(scores[of, at.ravel()])], ["query_id", "id", "similarity"])
+
+
+def batch_vector_search(chunks: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """query_id, id, similarity, rank: the k nearest chunks of each row of `queries` (query_id, vector), a table of any size.
+
+    Blocks of queries meet shards of chunks, and each such cell keeps k rows a query, so no row is made for a pair. Every
+    shard lies in one branch and blocks of queries are copied to all. Rows without a vector take no part."""
+    # shards are full however many files or partitions the chunks come in, as each gives k rows a query
+    n = max(1, min(-(-chunks.select("id").count() // shard_rows), int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    shards = _blocks(chunks.select("id", "embedding").repartition(n), "id", "embedding", shard_rows, "c").withColumn("branch", F.pmod(F.xxhash64("c_ids", "c_dim"), F.lit(n)).cast("int"))
+    tiles = _blocks(queries, "query_id", "vector", tile_rows, "q").withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    cells = shards.join(tiles.hint("merge"), "branch").select("q_ids", "q_matrix", "c_ids", "c_matrix")
+    kinds = [f"{to} {df.schema[c].dataType.simpleString()}" for to, c, df in (("query_id", "query_id", queries), ("id", "id", chunks))]
+    scored = cells.mapInArrow(lambda batches: _best_of_cells(batches, k), f"{', '.join(kinds)}, similarity double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

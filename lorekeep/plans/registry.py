@@ -93,6 +93,12 @@ def vector_batch_topk(spark, d):
     return _round(search.batch_vector_search(S.chunks(spark, d), asked, 5), "similarity")
 
 
+@query("vector_batch_topk_every20", SQL["vector_batch_topk"].replace("b.vec_id < 20", "b.vec_id % 20 = 0"))
+def vector_batch_topk_every20(spark, d):
+    asked = S.table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _round(search.batch_vector_search(S.chunks(spark, d), asked, 5), "similarity")
+
+
 @query("vector_normalize", "SELECT vec_id, list_transform(list_transform(embedding::DOUBLE[], lambda x: x * (1 / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))))), lambda x: round(x, 6)) AS unit FROM embeddings")
 def vector_normalize(spark, d):
     return S.table(spark, d, "embeddings").select("vec_id", F.transform(normalized("embedding"), lambda x: F.round(x, 6)).alias("unit"))

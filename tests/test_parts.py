@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import texts, words
 from lorekeep.operators import chunking, limits, queue, search
+from lorekeep.plans import registry
 from lorekeep.sources import tables
 from lorekeep.streaming import jobs
 
@@ -66,6 +67,40 @@ def test_lexical_hit_below_threshold(spark):
     assert search.vector_search(c, [], 5).count() == 0
 
 
+def test_batch_search(spark):
+    rng = random.Random(4)
+
+    def unit(v):
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v] if n else v
+
+    rows = [(k, [float(rng.randint(-2, 2)) for _ in range(4)]) for k in range(80)] + [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [2.0, 1.0])]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = chunks.where("id % 3 = 0 OR id >= 900").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = search.batch_vector_search(chunks, asked, 5, shard_rows=7, tile_rows=4)
+    good = [(k, unit(v)) for k, v in rows if v and None not in v]
+    want = {}
+    for q, a in good:
+        if q % 3 == 0 or q >= 900:
+            best = sorted((-round(sum(x * y for x, y in zip(a, b)), 9), k) for k, b in good)
+            want[q] = [-s for s, _ in best[:5]]
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(round(r.similarity, 9))
+    assert got == want and found.count() == 5 * len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the same rows from one shard as from many
+    many = search.batch_vector_search(chunks.repartition(40), asked, 5, shard_rows=100)
+    assert sorted(map(tuple, many.collect()), key=str) == sorted(map(tuple, found.collect()), key=str)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "BroadcastExchange" not in plan
+
+
+def test_batch_query_takes_every_20th(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {r.vec_id for r in tables.table(spark, sf, "embeddings").where("vec_id % 20 = 0").collect()}
+    assert len(want) > 20 and {r.query_id for r in registry.QUERIES["vector_batch_topk_every20"](spark, sf).collect()} == want
+
+
 def test_coupled_limits(spark):
     rng = random.Random(2)
     rows = [(k, rng.randint(0, 300), "a", str(rng.randint(0, 3)), str(rng.randint(0, 2))) for k in range(200)]
