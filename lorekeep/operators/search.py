@@ -39,10 +39,11 @@ def similarity(vector: list[float]) -> Column:
 
 
 def vector_search(chunks: DataFrame, vector: list[float], k: int, threshold: float | None = None) -> DataFrame:
-    """The k chunks nearest to the vector, at the threshold or above: all columns and similarity. An empty vector or k < 1 finds none."""
+    """The k chunks nearest to the vector, at the threshold or above: all columns and similarity. An empty vector or k < 1 finds none,
+    and chunks without an embedding are never found."""
     if not vector or k < 1:
         return chunks.withColumn("similarity", F.lit(0.0)).limit(0)
-    found = chunks.withColumn("similarity", similarity(vector)).orderBy(F.desc("similarity"), "id").limit(k)
+    found = chunks.where("embedding IS NOT NULL").withColumn("similarity", similarity(vector)).orderBy(F.desc("similarity"), "id").limit(k)
     return found if threshold is None else found.where(F.col("similarity") >= threshold)
 
 
@@ -146,7 +147,7 @@ def bm25(chunks: DataFrame, query: list[str], title_weight: float = 2.0, k1: flo
 def hybrid_search(chunks: DataFrame, vector: list[float], query: list[str], wanted: int, threshold: float, ranked: DataFrame | None = None) -> DataFrame:
     """Hits of both lists by reciprocal rank fusion: all columns, similarity, lexical, bm25, semantic_rank, lexical_rank, score, rank.
 
-    `query` are tokens; without any it is a vector search. The threshold admits to the semantic list only. `ranked`
+    Chunks without an embedding are found by their words alone; their similarity is null. `query` are tokens; without any it is a vector search. The threshold admits to the semantic list only. `ranked`
     (id, bm25) breaks ties of coverage. Windows run over the two cut lists, never over the corpus."""
     if not query:
         found = vector_search(chunks, vector, wanted, threshold)

@@ -188,6 +188,35 @@ def bm25_mode(spark, d):
     return _round(search.bm25(S.chunks(spark, d), WORDS), "bm25")
 
 
+def _every(sql: str) -> str:
+    """The SQL with a chunk for every document; only the semantic list asks for a vector."""
+    return sql.replace(") JOIN vecs ON vec_id = doc_id)", ") LEFT JOIN vecs ON vec_id = doc_id)")
+
+
+@query("lexical_coverage_every", _every(SQL["lexical_coverage"]))
+def lexical_coverage_every(spark, d):
+    return S.chunks(spark, d, every=True).select("id", F.round(search.coverage(WORDS), 6).alias("coverage"))
+
+
+@query("lexical_candidates_every", _every(SQL["lexical_candidates"]))
+def lexical_candidates_every(spark, d):
+    return _round(search.lexical_candidates(S.chunks(spark, d, every=True), WORDS, 80).select("id", F.col("lexical").alias("coverage")), "coverage")
+
+
+@query("bm25_mode_every", _every(SQL["bm25_mode"]))
+def bm25_mode_every(spark, d):
+    return _round(search.bm25(S.chunks(spark, d, every=True), WORDS), "bm25")
+
+
+# a null similarity sorts last, here as in Spark
+_HYBRID_EVERY = HYBRID.replace("FROM chunks, q)", "FROM chunks LEFT JOIN q ON true)").replace("sim DESC", "sim DESC NULLS LAST")
+
+
+@query("hybrid_search_every", _every(_HYBRID_EVERY + _HIT).replace("POOL", "80").replace("THRESHOLD", "0.25").replace("WANTED", "20"))
+def hybrid_search_every(spark, d):
+    return _hits(search.hybrid_search(S.chunks(spark, d, every=True), _vector(spark, d), WORDS, 20, 0.25))
+
+
 @query("content_hash", f"WITH {DOCS} SELECT doc_id, content_hash FROM docs")
 def content_hash(spark, d):
     return S.extracted(spark, d).select("doc_id", "content_hash")
@@ -226,6 +255,11 @@ def title_prefix(spark, d):
     return S.chunks(spark, d).select("id", F.md5(F.col("chunk_text").cast("binary")).alias("chunk"))
 
 
+@query("title_prefix_every", _every(SQL["title_prefix"]))
+def title_prefix_every(spark, d):
+    return S.chunks(spark, d, every=True).select("id", F.md5(F.col("chunk_text").cast("binary")).alias("chunk"))
+
+
 CUT = f"""WITH RECURSIVE {DOCS}, n AS (SELECT doc_id, title, {NORMAL.format('text')} AS t FROM docs),
 cut AS (SELECT doc_id, title, t, 0::BIGINT AS off, 0::BIGINT AS took, 0 AS i FROM n
   UNION ALL SELECT doc_id, title, t, off + CASE WHEN i = 0 THEN 0 WHEN took >= length(t) - off THEN length(t) ELSE greatest(1, took - 200) END AS off2,

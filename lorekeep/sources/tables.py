@@ -34,12 +34,12 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("content_hash", content_hash(F.col("title"), F.col("text")))
 
 
-def chunks(spark: SparkSession, sf_dir: str, model: str = "fixture", fingerprint: str = "fixture") -> DataFrame:
-    """One chunk a document that has a vector, in the chunk table's columns."""
+def chunks(spark: SparkSession, sf_dir: str, model: str = "fixture", fingerprint: str = "fixture", every: bool = False) -> DataFrame:
+    """One chunk a document that has a vector, in the chunk table's columns; with `every` one a document, its embedding and dims null where it has no vector."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return extracted(spark, sf_dir).join(vectors, "doc_id").select(
+    return extracted(spark, sf_dir).join(vectors, "doc_id", "left" if every else "inner").select(
         F.col("doc_id").alias("id"), "page_key", "page_id", "url", "title", F.lit(0).alias("chunk_index"),
-        with_title(F.col("title"), chunk_normalized(F.col("text"))).alias("chunk_text"), "embedding", F.size("embedding").alias("dims"),
+        with_title(F.col("title"), chunk_normalized(F.col("text"))).alias("chunk_text"), "embedding", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"),
         F.lit(model).alias("embedding_model"), F.lit(fingerprint).alias("index_fingerprint"), "content_hash",
         (F.lit(1_700_000_000) + F.col("doc_id")).alias("page_modified"), (F.lit(1_700_000_100) + F.col("doc_id")).alias("indexed_at"),
     )

@@ -1,6 +1,8 @@
 import random
 import sqlite3
 
+import duckdb
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -101,6 +103,35 @@ def test_batch_query_takes_every_20th(spark):
     assert len(want) > 20 and {r.query_id for r in registry.QUERIES["vector_batch_topk_every20"](spark, sf).collect()} == want
 
 
+def test_documents_without_vectors_are_searched(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id for r in tables.extracted(spark, sf).select("doc_id").collect()}
+    held = {r.id for r in tables.chunks(spark, sf).select("id").collect()}
+    for name in ("lexical_coverage_every", "title_prefix_every"):
+        found = [r.id for r in registry.QUERIES[name](spark, sf).select("id").collect()]
+        assert set(found) == docs and len(found) == len(docs) > len(held)
+    assert {r.id for r in registry.QUERIES["bm25_mode_every"](spark, sf).collect()} - held
+    c = spark.createDataFrame([(1, "p", 0, "t", "workshop here", None), (2, "q", 1, "t", "nothing", [1.0, 0.0])], "id long, page_key string, chunk_index int, title string, chunk_text string, embedding array<float>")
+    hits = search.hybrid_search(c, [1.0, 0.0], ["workshop"], 5, 0.5).orderBy("id").collect()
+    assert [(r.id, r.similarity, r.semantic_rank, r.lexical_rank) for r in hits] == [(1, None, None, 1), (2, 1.0, 1, None)]
+    assert [r.id for r in search.hybrid_search(c, [1.0, 0.0], [], 5, -1.0).collect()] == [2]
+
+
+@pytest.mark.parametrize("name", sorted(n for n in registry.SQL if n.endswith("_every")))
+def test_every_as_sql(spark, name):
+    # sf0.001 has a vector for every document, so the SQL is compared where documents lack one
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    want = con.sql(registry.SQL[name])
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.01").select(*[f"`{c}`" for c in want.columns])
+
+    def plain(rows):
+        return sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+
+    assert plain(got.collect()) == plain(want.fetchall())
+
+
 def test_coupled_limits(spark):
     rng = random.Random(2)
     rows = [(k, rng.randint(0, 300), "a", str(rng.randint(0, 3)), str(rng.randint(0, 2))) for k in range(200)]
