@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset, only a local session has one, in
+    its warehouse; a cluster's executors wouldn't see a folder of the driver's own, so that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lorekeep-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
@@ -49,6 +53,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about `most_bytes`, which bounds what a worker makes of one, however long the texts are."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most_bytes // max(batch.nbytes, 1))
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def in_arrow(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """`rows` mapped by a function of small Arrow batches."""
+    return rows.mapInArrow(lambda batches: function(small(batches)), schema)
+
+
 def small_batches(rows: DataFrame) -> DataFrame:
     """`rows`, to be sent to Python in batches whose size bounds a worker's memory, however long the texts are."""
     conf = rows.sparkSession.conf

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, table, text_or_empty, written
+from .common import components, in_arrow, table, text_or_empty, written
 from .tokens import slices
 
 WORDS = 5
@@ -323,7 +323,7 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     Repeated rows give a row each. A null doc_id takes its component's smallest doc_id, null if there is none. Other
     columns are not read; an empty table gives no rows. Sets and shingles are told apart by 64- and 58-bit hashes.
     """
-    texts = small_batches(docs.select("doc_id", text_or_empty().alias("text")))
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts, seen = Shingler(words), np.zeros(SLOTS, np.int64), set()
@@ -340,7 +340,7 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         n = len(slots)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(slots), pa.array(counts[slots])], names)
 
-    read = written(texts.mapInArrow(sized, "doc_id long, n long, node long, sketch binary, slot int, count long"), "sets")
+    read = written(in_arrow(texts, sized, "doc_id long, n long, node long, sketch binary, slot int, count long"), "sets")
     sized_docs = read.where("slot IS NULL").select("doc_id", "n", "node")
     sketches = read.where("sketch IS NOT NULL").select("node", "n", "sketch").dropDuplicates(["node"])
     # SLOTS rows at most, however many documents there are
@@ -356,7 +356,7 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
             lengths = [len(h) for h in heads]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *heads])), pa.array(np.repeat(np.array([nodes[k] for k in keep], np.int64), lengths))], ["token", "node"])
 
-    postings = texts.select("text").mapInArrow(prefixes, "token long, node long")
+    postings = in_arrow(texts.select("text"), prefixes, "token long, node long")
     met = written(postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_met, "token long, node long, low long"), "met")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -373,7 +373,7 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
                 asked = [asked[k] for k in _first_seen(names[asked].tolist(), seen)]
                 yield pa.RecordBatch.from_arrays([pa.array(names[asked]), pa.array([_ordered(sets[k], levels) for k in asked], pa.list_(pa.int64()))], ["node", "tokens"])
 
-        return written(texts.select("text").mapInArrow(needed, "node long, tokens array<long>").dropDuplicates(["node"]), "needed")
+        return written(in_arrow(texts.select("text"), needed, "node long, tokens array<long>").dropDuplicates(["node"]), "needed")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of each run of (one, two): of its pivots with all others, or among all where it has no pivot."""

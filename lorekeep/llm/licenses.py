@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_or_empty
+from .common import in_arrow, table, text_or_empty
 
 UNKNOWN = "unknown"
 #: Documents whose paragraphs teach what no licence looks like, paragraphs of each, and characters of each.
@@ -275,7 +275,7 @@ def scan(docs: DataFrame, scanner: Scanner, min_probability: float = MIN_PROBABI
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(out, pa.list_(item))], names)
 
     fields = "paragraph int, family string, probability double, template string, similarity double, confirmed boolean"
-    rows = small_batches(docs.select("doc_id", text_or_empty().alias("text"))).mapInArrow(scanned, f"doc_id long, n_paragraphs long, found array<struct<{', '.join(x.replace(' ', ':') for x in fields.split(', '))}>>")
+    rows = in_arrow(docs.select("doc_id", text_or_empty().alias("text")), scanned, f"doc_id long, n_paragraphs long, found array<struct<{', '.join(x.replace(' ', ':') for x in fields.split(', '))}>>")
     confirmed = F.filter("found", lambda x: x["confirmed"])
     return rows.select(
         "doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_predicted"), F.size(confirmed).cast("long").alias("n_confirmed"),

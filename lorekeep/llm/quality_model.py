@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, table, text_or_empty
+from .common import checkpointed, in_arrow, table, text_or_empty
 
 #: Labelled rows that a fit uses at most, those whose doc_ids have the smallest hashes.
 MAX_LABELLED = 20_000
@@ -114,7 +114,7 @@ def _with_statistics(rows: DataFrame, keep: str) -> DataFrame:
             stats = pa.array([statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], stats], [*batch.schema.names[:-1], "stats"])
 
-    return small_batches(rows).mapInArrow(measured, f"{keep}, stats array<double>")
+    return in_arrow(rows, measured, f"{keep}, stats array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
@@ -165,7 +165,7 @@ def score_documents(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> Da
             stats = np.array([statistics(t) for t in batch.column(1).to_pylist()], float).reshape(-1, N_STATISTICS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(stats))], ["doc_id", "score"])
 
-    rows = small_batches(docs.select("doc_id", text_or_empty().alias("text"))).mapInArrow(scored, "doc_id long, score double")
+    rows = in_arrow(docs.select("doc_id", text_or_empty().alias("text")), scored, "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
 
 
@@ -178,7 +178,7 @@ def accepted(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame
             stats = np.array([statistics(t or "") for t in batch.column(place).to_pylist()], float).reshape(-1, N_STATISTICS)
             yield batch.filter(pa.array(model.scores(stats) >= cutoff))
 
-    return small_batches(docs).mapInArrow(kept, docs.schema)
+    return in_arrow(docs, kept, docs.schema)
 
 
 def op8_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
