@@ -1,11 +1,12 @@
 """Token counts by the whole-token shortcut (operator 4).
 
 `whole_tokens` proves, once and offline, which strings of the vocabulary are one pre-token and encode alone as one
-token. A pre-token found among them counts one without any merge; only the rest are merged, once each for a worker.
+token. A pre-token found among them counts one without any merge; only the rest are merged.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,26 +14,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_or_empty, tokenizer_path
-from .tokens import Encoder, Table, encoder, slices
+from .common import in_arrow, table, text_or_empty, tokenizer_path
+from .tokens import SEP, encoder, slices
 
 LIMIT = 1024
 
 
-def whole_tokens(enc: Encoder) -> frozenset[str]:
-    """The vocabulary's strings that the splitting rule leaves whole and the merges turn into one token."""
-    byte_of = {letter: byte for byte, letter in enumerate(enc.letters)}
-    proven = set()
-    for letters in enc.tokenizer.get_vocab(with_added_tokens=False):
-        if not all(c in byte_of for c in letters):
-            continue
-        try:
-            text = bytes(byte_of[c] for c in letters).decode()
-        except UnicodeDecodeError:
-            continue
-        if enc.split(text) == [text] and len(enc.piece_ids(text)) == 1:
-            proven.add(text)
-    return frozenset(proven)
+_PROVEN: dict[tuple[str, int], frozenset[str]] = {}
+
+
+def whole_tokens(path: str) -> frozenset[str]:
+    """The vocabulary's strings that the splitting rule leaves whole and the merges turn into one token; kept for each file."""
+    key = (path, os.stat(path).st_mtime_ns)
+    if key not in _PROVEN:
+        enc = encoder(path)
+        byte_of = {letter: byte for byte, letter in enumerate(enc.letters)}
+        texts = []
+        for letters in enc.tokenizer.get_vocab(with_added_tokens=False):
+            try:
+                texts.append(bytes(map(byte_of.__getitem__, letters)).decode())
+            except UnicodeDecodeError:
+                pass
+        texts = [t for t in texts if t and SEP not in t and enc.split(t) == [t]]
+        _PROVEN[key] = frozenset(t for t, n in zip(texts, enc.merged(pa.array(texts, pa.large_string()))[1].tolist()) if n == 1)
+    return _PROVEN[key]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -43,24 +48,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     Rows with a null doc_id or repeated rows give a row each; other columns are not read; an empty table gives no rows.
     """
     # one string for each vocabulary entry at most, so the size is fixed by the tokenizer
-    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(encoder(path)))
+    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, known = encoder(path), whole.value
-        merged = Table(lambda piece: len(enc.piece_ids(piece)))
-
-        def of_key(key: str) -> int:
-            return sum(1 if piece in known else merged[piece] for piece in enc.split(enc.normal(enc.word_of(key))))
-
-        words = Table(of_key)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            counts = np.concatenate([np.zeros(0, np.int64), *(enc.counts(texts[s], words) for s in slices(texts))])
+            counts = np.concatenate([np.zeros(0, np.int64), *(enc.counts(texts[s], known) for s in slices(texts))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
 
     text = text_or_empty()
     rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return small_batches(rows).mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return in_arrow(rows, counted, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op4_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

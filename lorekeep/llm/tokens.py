@@ -1,10 +1,13 @@
-"""Token ids of whole texts through a table of words (used by operators 4, 7 and 10).
+"""Token ids of whole texts (used by operators 4, 7 and 10).
 
-A byte-pair tokenizer never merges across pre-tokens, so the ids of a text are the ids of its pre-tokens joined. Where
-single spaces and line feeds part the words of a text, pre-tokens never reach over them; `Encoder` then looks each word
-up with the break before it, and splits and merges only words that its table lacks. Other texts are split by the
-tokenizer's own rule. Texts that hold the string of an added token, or a character on whose class the library's regular
-expressions and Python's may differ, go to the library whole.
+A byte-pair tokenizer never merges across pre-tokens, and for both kinds of file below no pre-token reaches from a word
+over the white space behind it. So a text is cut before each run of white space; the ids of a text are those of these
+pieces, its keys, joined. A worker's table holds the ids of keys that come again. The other keys of a slice of texts are
+split by the tokenizer's own pattern and merged together in one call, parted by a character that no such text holds.
+
+Merges run on the file's own vocabulary, whose ids stand in the order of its merges. Only texts that hold the string of
+an added token, or a character on whose class the library's regular expressions and these may differ, go to the library
+whole; `Encoder.left_out` counts them.
 """
 
 from __future__ import annotations
@@ -17,40 +20,31 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words or pre-tokens kept by a worker's table before it is emptied.
-TABLE_ROWS = 200_000
-#: Longer words are encoded but not kept.
+#: Keys kept by a worker's table before it is emptied.
+TABLE_ROWS = 300_000
+#: Longer keys are encoded but not kept.
 KEPT_CHARS = 48
-
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters on whose classes the library's tables and Python's agree; a text that holds any other is left to the library.
+#: Parts keys and pre-tokens; no plain text holds it.
+SEP = "\x7f"
+
+# The splitting rules of the two kinds of file; SEP is told apart from punctuation and from what follows white space.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x7f]+|\s+(?![^\s\x7f])|\s+|\x7f"
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| "
+WORD_END = "</w>"
+#: Characters on whose classes the library's tables and the others' agree; a text that holds any other is left to the library.
 _PLAIN = re.compile(
     "[\\x00-\\x1b\\x20-\\x7e\u00a0-\u0377\u0384-\u0386\u0388-\u038a\u038e-\u03a1\u03a3-\u052f\u0e01-\u0e3a"
     "\u2010-\u2027\u2030-\u205e\u20a0-\u20ba\u2190-\u23cf\u2500-\u26ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fcb\uac00-\ud7a3"
     "\U0001f300-\U0001f320\U0001f600-\U0001f64f]*"
 )
-#: The white space among those characters but for space and line feed.
-_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\u00a0]")
-
-
-class Table(dict):
-    """Word to what `made` gives for it; fills itself."""
-
-    def __init__(self, made):
-        super().__init__()
-        self.made = made
-
-    def __missing__(self, piece: str):
-        found = self.made(piece)
-        if len(piece) <= KEPT_CHARS:
-            if len(self) >= TABLE_ROWS:
-                self.clear()
-            self[piece] = found
-        return found
+#: Where one of these is in a text, its white space isn't single spaces and line feeds alone.
+_UNEVEN = ("  ", "\n\n", "\n ", " \n", "\t", "\x0b", "\x0c", "\r", "\u00a0")
+_SPACES = re.compile(r"\s+")
+_CUT = re.compile(r"(?<=\S)\s")
 
 
 def _byte_letters() -> list[str]:
@@ -60,6 +54,31 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(0x100 + other.index(b)) for b in range(256)]
 
 
+def parts(text: str, most: int) -> list[str]:
+    """The text cut before white space into runs of about `most` characters, so that a very long text isn't keyed at once."""
+    out, at = [], 0
+    while len(text) - at > most and (m := _CUT.search(text, at + most)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
+
+class Table:
+    """Runs of ids by key, as arrays, so that a slice's keys are looked up in one call. `first` stays when it is emptied."""
+
+    def __init__(self, first: pa.Array, ids: np.ndarray, sizes: np.ndarray):
+        self.first = (first, ids, sizes)
+        self.names, self.ids, self.sizes = self.first
+
+    def find(self, names: pa.Array) -> np.ndarray:
+        """The place of each key, or -1."""
+        return pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy().astype(np.int64)
+
+    def add(self, names: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        old = self.first if len(self.names) + len(names) > TABLE_ROWS else (self.names, self.ids, self.sizes)
+        self.names, self.ids, self.sizes = pa.concat_arrays([old[0], names]), np.concatenate([old[1], ids]), np.concatenate([old[2], sizes])
+
+
 class Encoder:
     """ids(text) equals Tokenizer.encode(text, add_special_tokens=False).ids for byte_bpe_50k.json and word_bpe_49k.json."""
 
@@ -68,76 +87,105 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = self.tokenizer.normalizer is not None
-        self.normal = self.tokenizer.normalizer.normalize_str if self.drops_space else str
-        self.split = regex.compile(WORD_PATTERN if self.drops_space else BYTE_PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.merged = self.tokenizer.model.tokenize
-        self.piece_table = Table(lambda piece: np.array(self.piece_ids(piece), "<u4").tobytes())
-        self.table = Table(self._packed)
-
-    def piece_ids(self, piece: str) -> list[int]:
-        """Merges one pre-token with the library's model."""
-        return [t.id for t in self.merged("".join(map(self.letters.__getitem__, piece.encode())))]
-
-    def _packed(self, word: str) -> bytes:
-        return np.array([i for piece in self.split(self.normal(word)) for i in self.piece_ids(piece)], "<u4").tobytes()
+        byte_of = {letter: byte for byte, letter in enumerate(self.letters)}
+        ranks = {}
+        for letters, rank in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            ended = self.drops_space and letters.endswith(WORD_END)
+            name = bytes(map(byte_of.__getitem__, letters[: -len(WORD_END)] if ended else letters))
+            ranks[name + SEP.encode() * ended] = rank
+        # of word files SEP is the end of a word, so that merges with it come first, as their ids are the lowest
+        pattern = f"[^{SEP}]+{SEP}" if self.drops_space else BYTE_PATTERN
+        self.merge = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.stop = ranks[b" " + SEP.encode()] if self.drops_space else ranks[SEP.encode()]
+        self.split = regex.compile(WORD_PATTERN if self.drops_space else BYTE_PATTERN).findall
+        self.table = Table(pa.array([""], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64))
+        self.count_tables: dict[int, Table] = {}
+        self.left_out = self.seen = 0
 
     def library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def plain(self, text: str) -> bool:
-        """Whether words can be encoded one by one."""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return False
+        return bool(_PLAIN.fullmatch(text)) and not any(s in text for s in self.special)
+
+    def merged(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of keys, none of them empty, joined, and each key's number of ids."""
+        if not len(keys):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        joined = (" " if self.drops_space else SEP).join(keys.to_pylist())
         if self.drops_space:
-            return True
-        # one space or one line feed between two words, and no other white space
-        uneven = "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n"
-        return not uneven and "\0" not in text and not _OTHER_SPACE.search(text)
+            joined = SEP.join(self.split(self.tokenizer.normalizer.normalize_str(joined))) + f"{SEP} "
+        found = np.array(self.merge(joined + SEP), "<u4")
+        stops = found == self.stop
+        return found[~stops], np.diff(np.flatnonzero(stops), prepend=-1) - 1
 
     def keyed(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """The words of plain texts, each with the break before it (`first` words begin with NUL), and each text's first word's place."""
+        """The keys of plain texts, and where in them each text begins."""
         if self.drops_space:
-            words = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+            keys = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
         else:
-            words = pc.split_pattern(pa.array(["\0" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
-        return pc.dictionary_encode(words.flatten()), words.offsets.to_numpy() - words.offsets[0].as_py()
-
-    def word_of(self, key: str) -> str:
-        """The text that a key stands for."""
-        if self.drops_space or key[:1] == "\n":
-            return key
-        return key[1:] if key[:1] == "\0" else " " + key
-
-    def _packed(self, key: str) -> bytes:
-        return b"".join(map(self.piece_table.__getitem__, self.split(self.normal(self.word_of(key)))))
-
-    def library(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+            keys = pc.split_pattern(pa.array(map(_marked, texts), pa.large_string()), SEP)
+        return pc.dictionary_encode(keys.flatten()), keys.offsets.to_numpy() - keys.offsets[0].as_py()
+
+    def _looked_up(self, keys: pa.DictionaryArray, table: Table, made) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each of the dictionary's keys starts and how many it has, by the table or else by `made`."""
+        names = keys.dictionary
+        found = table.find(names)
+        lost = np.flatnonzero(found < 0)
+        rest = names.take(pa.array(lost))
+        ids, counts = made(rest)
+        ends = np.cumsum(table.sizes)
+        starts, sizes = (ends - table.sizes)[found], table.sizes[found]
+        starts[lost], sizes[lost] = len(table.ids) + np.cumsum(counts) - counts, counts
+        values = np.concatenate([table.ids, ids])
+        # keys that come again in this slice are likely to come again in others
+        again = np.bincount(keys.indices.to_numpy(), minlength=len(names))[lost] > 1
+        kept = np.flatnonzero(again & (pc.utf8_length(rest).to_numpy() <= KEPT_CHARS))
+        table.add(rest.take(pa.array(kept)), _ragged(values, starts, sizes, lost[kept]) if len(ids) else ids, counts[kept])
+        return values, starts, sizes
+
+    def _by_text(self, texts: list[str], most: int) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
+        """Which texts are plain, the keys of these, and the bounds of each one's keys."""
+        plain = np.fromiter(map(self.plain, texts), bool, len(texts))
+        self.seen += len(texts)
+        self.left_out += len(texts) - int(plain.sum())
+        cut = [parts(t, most) for t, p in zip(texts, plain) if p]
+        keys, bounds = self.keyed([x for c in cut for x in c])
+        return plain, keys, bounds[np.cumsum([0, *map(len, cut)])]
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, texts: list[str], most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts as unsigned 32-bit integers, and each text's number of ids."""
-        plain = np.fromiter(map(self.plain, texts), bool, len(texts))
-        keys, bounds = self.keyed([t for t, p in zip(texts, plain) if p])
-        found = [self.table[k] for k in keys.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        plain, keys, bounds = self._by_text(texts, most)
+        values, starts, sizes = self._looked_up(keys, self.table, self.merged)
         at = keys.indices.to_numpy()
-        flat = _ragged(np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, sizes, at)
+        flat = _ragged(values, starts, sizes, at)
         ends = np.concatenate([[0], np.cumsum(sizes[at])])[bounds]
         if plain.all():
             return flat, np.diff(ends)
-        parts, inner, counts = [], iter(zip(ends[:-1], ends[1:])), np.zeros(len(texts), np.int64)
+        out, inner, counts = [np.zeros(0, "<u4")], iter(zip(ends[:-1], ends[1:])), np.zeros(len(texts), np.int64)
         for k, (text, p) in enumerate(zip(texts, plain)):
-            parts.append(flat[slice(*next(inner))] if p else np.array(self.library(text), "<u4"))
-            counts[k] = len(parts[-1])
-        return np.concatenate(parts), counts
-
-    def counts(self, texts: list[str], count: Table) -> np.ndarray:
-        """Each text's number of ids; `count` gives that of a key."""
-        plain = np.fromiter(map(self.plain, texts), bool, len(texts))
-        keys, bounds = self.keyed([t for t, p in zip(texts, plain) if p])
-        sizes = np.array([count[k] for k in keys.dictionary.to_pylist()], np.int64)
+            out.append(flat[slice(*next(inner))] if p else np.array(self.library(text), "<u4"))
+            counts[k] = len(out[-1])
+        return np.concatenate(out), counts
+
+    def counts(self, texts: list[str], whole: frozenset[str], most: int = 2_000_000) -> np.ndarray:
+        """Each text's number of ids; keys and pre-tokens in `whole` are one id, and only the rest is merged."""
+
+        def made(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            pieces = self.split(SEP.join(keys.to_pylist()) + SEP) if len(keys) else []
+            one = np.array([p in whole for p in pieces], np.int64)
+            stops = np.array([p == SEP for p in pieces], bool)
+            unknown = np.flatnonzero((one == 0) & ~stops)
+            one[unknown] = self.merged(pa.array([pieces[k] for k in unknown.tolist()], pa.large_string()))[1]
+            return np.zeros(0, "<u4"), np.diff(np.cumsum(one * ~stops)[stops], prepend=0)
+
+        if id(whole) not in self.count_tables:
+            proven = sorted(whole)
+            self.count_tables = {id(whole): Table(pa.array(["", *proven], pa.large_string()), np.zeros(0, "<u4"), np.array([0, *[1] * len(proven)], np.int64))}
+        plain, keys, bounds = self._by_text(texts, most)
+        sizes = self._looked_up(keys, self.count_tables[id(whole)], made)[2]
         out = np.zeros(len(texts), np.int64)
         out[plain] = np.diff(np.concatenate([[0], np.cumsum(sizes[keys.indices.to_numpy()])])[bounds])
         for k in np.flatnonzero(~plain):
@@ -145,6 +193,13 @@ class Encoder:
         return out
 
 
+def _marked(text: str) -> str:
+    """SEP before each run of white space."""
+    if any(x in text for x in _UNEVEN):
+        return _SPACES.sub(SEP + r"\g<0>", text)
+    return text.replace(" ", f"{SEP} ").replace("\n", f"{SEP}\n")
+
+
 def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The runs values[starts[i] : starts[i] + sizes[i]] of each i in `at`, joined."""
     own = sizes[at]
