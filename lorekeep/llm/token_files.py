@@ -3,13 +3,18 @@
 Documents are put in ascending doc_id order and encoded to token ids. A task joins whole documents to frames; a frame's
 ids are cut into blocks, each coded from a fresh model and checked by sums of its own, so any block can be read alone.
 
-The model mixes three predictions of the next id: order 2 and order 1 give the id last seen after the same two ids and
-the same one (hashed contexts), each weighted by how often it has lately been right; order 0 spreads the rest over ids by
-the block's counts of their bit lengths. The mixture is one interval of 2**31, which drives a 64-bit range coder. All
-blocks of a frame advance together, an id of each block at a step, so the arithmetic runs on arrays.
-
-A frame is: b"LKF1", then as little-endian unsigned 32-bit integers its number of ids, of ids a block and of blocks; for
-each block its number of 16-bit words, the crc32 of its ids and the crc32 of its words; then the words. Frames are the
+The model mixes three predictions of the next id. Order 0 counts the ids of the block so far. Order 1 and order 2 hold an
+id for the last id and for the last two (hashed), with a confidence that grows with each hit and falls with each miss.
+How much of the interval the two get is learned: for each pair of confidences, and whether both name the same id, the
+block counts how often each was right. The rest goes to order 0. The mixture is one interval that drives a range coder.
+
+A block is cut into lanes of equal length. All lanes of a block advance together and share its model, which learns from
+all of them after each step; so the arithmetic runs on arrays, and a block of half a million ids fills its tables.
+
+A frame is: b"LKF2", then as little-endian unsigned 32-bit integers its number of ids, of blocks, of lanes of a block, of
+steps of a lane, of different ids, the number of bytes and the crc32 of their list; for each block its number of bytes,
+the crc32 of its ids' places in the list and the crc32 of its bytes; then the list, differences of ascending ids under
+zlib; then the blocks: for each lane its number of 16-bit words, then the words, all as 16-bit integers. Frames are the
 rows of a Parquet table, so Spark's committers make the files whole and any store can hold them.
 """
 
@@ -25,186 +30,229 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_path, small_batches, table, text_or_empty, tokenizer_path
+from .common import in_arrow, partitions, shared_path, table, text_or_empty, tokenizer_path
 from .tokens import encoder, slices
 
 END = 0
 FRAME_IDS = 2_000_000
-LANES = 2048
-BLOCK_IDS = (256, 2048)
-MAGIC = b"LKF1"
-SLOTS = 1024
-CLASSES = 16
+BLOCK_IDS = 1 << 19
+LANES = 1024
+#: Least steps of a lane; smaller blocks have fewer lanes.
+STEPS = 256
+MAGIC = b"LKF2"
+#: Slots of the table of order 2 of a block, and bits and levels of confidence.
+SLOTS = 1 << 18
+BITS = 3
+SURE = 1 << BITS
+#: What an id adds to its count of order 0; ids not seen yet count 1.
+GAIN = 16
 _U = np.uint64
-_HALF = _U(1 << 16)
 _LOW = _U(1 << 48)
-_EVERY = 32
-_CLASS = np.array([(v + 1).bit_length() - 1 for v in range(65535)] + [15], np.intp)
 
 
 class _Model:
-    """The predictions of all blocks of a frame for their next ids."""
-
-    def __init__(self, lanes: int):
-        self.rows = np.arange(lanes)
-        self.base = self.rows * SLOTS
-        self.two, self.one = np.zeros(lanes * SLOTS, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
-        self.q2, self.q1 = np.full(lanes, 8192, np.int64), np.full(lanes, 8192, np.int64)
-        self.counts = np.full(lanes * CLASSES, 2, np.int64)
-        self.lanes = lanes
-        self.p1 = self.p2 = np.zeros(lanes, np.int64)
-        self.steps = 0
-        self._classes()
-
-    def _classes(self) -> None:
-        counts = self.counts.reshape(CLASSES, -1)
-        room = 65536 - 64 * CLASSES
-        self.cum = np.zeros((CLASSES + 1, counts.shape[1]), np.int32)
-        np.cumsum(64 + counts * room // counts.sum(0), axis=0, out=self.cum[1:])
-        self.cum[-1] = 65536
-        self.flat = self.cum.ravel()
+    """The predictions for the next id of every lane; lanes of a block learn in common."""
+
+    def __init__(self, blocks: int, lanes: int, known: int):
+        self.of = np.repeat(np.arange(blocks), lanes)
+        self.blocks, self.known = blocks, known
+        self.base1, self.base2, self.base0 = self.of * known, self.of * SLOTS, self.of * (known + 1)
+        self.states = 2 * SURE * SURE
+        self.base_state = self.of * self.states
+        # an entry is an id times SURE plus its confidence
+        self.one, self.two = np.zeros(blocks * known, np.int32), np.zeros(blocks * SLOTS, np.int32)
+        #: How often order 2, order 1 and order 0 were right in each state; small first counts speak for order 0.
+        self.right = np.tile(np.array([1.0, 1.0, 6.0]), (blocks * self.states, 1))
+        self.counts = np.ones((blocks, known), np.int64)
+        self.late: list[np.ndarray] = []
+        self.p1 = self.p2 = np.zeros(blocks * lanes, np.int64)
+        self.steps, self.next = 0, 1
+        self._weigh()
+        self._count()
+
+    def _weigh(self) -> None:
+        share = self.right * (65536 / self.right.sum(1, keepdims=True))
+        # where both orders name the same id, order 2 has it
+        self.f2 = np.clip(share[:, 0], 16, 60000).astype(np.int64)
+        self.f1 = np.clip(share[:, 1], 16, 65536 - 2048 - self.f2).astype(np.int64)
+        self.f1[1::2] = 0
+
+    def _count(self) -> None:
+        if self.late:
+            self.counts += GAIN * np.bincount(np.concatenate(self.late), minlength=self.counts.size).reshape(self.counts.shape)
+            self.late = []
+        cum = np.zeros((self.blocks, self.known + 1), np.int64)
+        np.cumsum(self.counts, axis=1, out=cum[:, 1:])
+        self.cum = cum.ravel()
+        self.sums = cum[:, -1][self.of]
 
     def predict(self) -> None:
-        self.at1 = self.base + ((self.p1 * 40503 >> 3) & (SLOTS - 1))
-        self.at2 = self.base + ((self.p1 * 2654435761 + self.p2 * 40503 >> 7) & (SLOTS - 1))
-        self.id2, self.id1 = self.two.take(self.at2).astype(np.int64), self.one.take(self.at1).astype(np.int64)
-        self.f2 = np.clip(self.q2, 64, 57344)
-        rest = 65536 - self.f2
-        self.f1 = np.where(self.id1 == self.id2, 0, np.clip(self.q1 * rest >> 16, 16, rest - 4096))
-        self.skip = self.f2 + self.f1
+        self.at1 = self.base1 + self.p1
+        self.at2 = self.base2 + ((self.p1 * 0x9E3779B1 + self.p2 * 0x85EBCA6B >> 12) & (SLOTS - 1))
+        e1, e2 = self.one.take(self.at1), self.two.take(self.at2)
+        self.id1, self.sure1, self.id2, self.sure2 = e1 >> BITS, e1 & (SURE - 1), e2 >> BITS, e2 & (SURE - 1)
+        self.state = self.base_state + (2 * SURE * self.sure2 + 2 * self.sure1 + (self.id1 == self.id2))
+        self.w2, self.w1 = self.f2.take(self.state), self.f1.take(self.state)
+        self.skip = self.w2 + self.w1
         self.room = 65536 - self.skip
+        self.total = self.sums << 16
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the ids' intervals within 2**31."""
-        k = _CLASS.take(ids)
-        at = k * self.lanes + self.rows
-        low, high = self.flat.take(at) * self.room >> 16, self.flat.take(at + self.lanes) * self.room >> 16
-        width = (high - low) << (15 - k)
-        start = ((self.skip + low) << 15) + (ids + 1 - (1 << k)) * width
-        hit2, hit1 = ids == self.id2, (ids == self.id1) & (self.f1 > 0)
-        start = np.where(hit2, 0, np.where(hit1, self.f2 << 15, start))
-        return start, np.where(hit2, self.f2 << 15, np.where(hit1, self.f1 << 15, width))
+        """Start and width of the ids' intervals within `total`."""
+        low = self.cum.take(self.base0 + ids)
+        wide = self.cum.take(self.base0 + ids + 1) - low
+        self.hit2 = ids == self.id2
+        self.hit1 = (ids == self.id1) & ~self.hit2
+        start = np.where(self.hit2, 0, np.where(self.hit1, self.w2 * self.sums, self.skip * self.sums + low * self.room))
+        return start, np.where(self.hit2, self.w2 * self.sums, np.where(self.hit1, self.w1 * self.sums, wide * self.room))
 
     def id_at(self, value: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the values."""
-        high = value >> 15
-        # cum * room >> 16 <= y just where cum <= ((y + 1 << 16) - 1) // room
-        y = (((np.maximum(high - self.skip, 0) + 1 << 16) - 1) // self.room).astype(np.int32)
-        k = np.minimum((self.cum[1:] <= y).sum(0, dtype=np.uint8), CLASSES - 1).astype(np.intp)
-        at = k * self.lanes + self.rows
-        low, top = self.flat.take(at) * self.room >> 16, self.flat.take(at + self.lanes) * self.room >> 16
-        width = (top - low) << (15 - k)
-        ids = (1 << k) - 1 + (value - ((self.skip + low) << 15)) // np.maximum(width, 1)
-        return np.where(high < self.f2, self.id2, np.where(high < self.skip, self.id1, ids))
+        high = value // self.sums
+        ids = np.where(high < self.w2, self.id2, self.id1).astype(np.int64)
+        rest = np.flatnonzero(high >= self.skip)
+        y = (value[rest] - self.skip[rest] * self.sums[rest]) // self.room[rest]
+        cum = self.cum.reshape(self.blocks, -1)
+        bounds = np.searchsorted(self.of[rest], np.arange(self.blocks + 1)).tolist()
+        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            ids[rest[a:b]] = np.searchsorted(cum[k], y[a:b], side="right") - 1
+        return ids
 
     def learn(self, ids: np.ndarray) -> None:
-        hit2, hit1 = ids == self.id2, ids == self.id1
-        self.q2 += np.where(hit2, 65535 - self.q2, -self.q2) >> 5
-        self.q1 += np.where(hit1, 65535 - self.q1, -self.q1) >> 5
-        self.two[self.at2] = ids
-        self.one[self.at1] = ids
-        self.counts[_CLASS.take(ids) * self.lanes + self.rows] += 1
+        which = np.where(self.hit2, 0, np.where(self.hit1, 1, 2))
+        self.right += np.bincount(self.state * 3 + which, minlength=self.right.size).reshape(self.right.shape)
+        for entries, at, held, sure in ((self.two, self.at2, self.id2, self.sure2), (self.one, self.at1, self.id1, self.sure1)):
+            hit = ids == held
+            stays = hit | (sure > 1)
+            entries[at] = np.where(stays, held, ids) * SURE + np.where(hit, np.minimum(sure + 1, SURE - 1), np.where(stays, sure >> 1, 1))
+        self.late.append(self.base1 + ids)
         self.p2, self.p1 = self.p1, ids
         self.steps += 1
-        if self.steps % _EVERY == 0 or self.steps in (4, 8, 16):
-            self._classes()
-
-
-def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
-    """The words of each row of `ids`, blocks of equal length."""
-    lanes, length = ids.shape
-    model, out, at = _Model(lanes), np.zeros((lanes, 2 * length + 8), np.uint16), np.zeros(lanes, np.intp)
-    low, span = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-    columns = np.ascontiguousarray(ids.T.astype(np.int64))
-    for t in range(length):
-        model.predict()
-        start, width = model.interval(columns[t])
-        r = span >> _U(31)
-        add = start.astype(_U) * r
-        low = low + add
-        carried = np.flatnonzero(low < add)
+        if self.steps == self.next:
+            self._count()
+            self.next = self.steps + 1 + self.steps // 8
+        if self.steps < 32 or self.steps % 8 == 0:
+            self._weigh()
+
+
+def encode_blocks(ids: np.ndarray, known: int) -> list[list[np.ndarray]]:
+    """The words of each lane of each block of `ids` (blocks, lanes, steps)."""
+    blocks, lanes, steps = ids.shape
+    n = blocks * lanes
+    model, out, at = _Model(blocks, lanes, known), np.zeros((n, 3 * steps + 8), np.uint16), np.zeros(n, np.intp)
+    low, span, rows = np.zeros(n, _U), np.full(n, 2**64 - 1, _U), np.arange(n)
+    columns = np.ascontiguousarray(ids.reshape(n, steps).T.astype(np.int64))
+
+    def carry(carried: np.ndarray) -> None:
         back = at[carried] - 1
         while len(carried):
             out[carried, back] += np.uint16(1)
             on = out[carried, back] == 0
             carried, back = carried[on], back[on] - 1
-        span = width.astype(_U) * r
+
+    for t in range(steps):
+        model.predict()
+        start, width = model.interval(columns[t])
+        r = span // model.total.view(_U)
+        add = start.view(_U) * r
+        low = low + add
+        carry(np.flatnonzero(low < add))
+        span = width.view(_U) * r
         while len(full := np.flatnonzero(span < _LOW)):
             out[full, at[full]] = low[full] >> _U(48)
             at[full] += 1
             low[full] <<= _U(16)
             span[full] <<= _U(16)
         model.learn(columns[t])
-    for _ in range(4):
-        out[model.rows, at] = low >> _U(48)
-        at += 1
-        low <<= _U(16)
-    return [out[k, :n] for k, n in enumerate(at)]
-
-
-def decode_blocks(blocks: list[np.ndarray], length: int) -> np.ndarray:
-    """The ids of blocks of `length` ids each, a row for a block."""
-    lanes = len(blocks)
-    words = np.zeros((lanes, max(map(len, blocks)) + 4), np.uint16)
-    for k, b in enumerate(blocks):
-        words[k, : len(b)] = b
-    model, at = _Model(lanes), np.full(lanes, 4, np.intp)
+    # one word more names a number within the interval that ends in zeros
+    add = (~low + _U(1)) & _U((1 << 48) - 1)
+    low = low + add
+    carry(np.flatnonzero(low < add))
+    out[rows, at] = low >> _U(48)
+    words = [out[k, : m + 1] for k, m in enumerate(at.tolist())]
+    return [words[k : k + lanes] for k in range(0, n, lanes)]
+
+
+def decode_blocks(blocks: list[list[np.ndarray]], steps: int, known: int) -> np.ndarray:
+    """The ids of blocks (blocks, lanes, steps) from the words of their lanes."""
+    lanes = [words for block in blocks for words in block]
+    n, sizes = len(lanes), np.array([len(x) for x in lanes])
+    words = np.zeros((n, int(sizes.max()) + 5), np.uint16)
+    words[np.arange(words.shape[1]) < sizes[:, None]] = np.concatenate(lanes)
+    model, at, last = _Model(len(blocks), n // len(blocks), known), np.full(n, 4, np.intp), words.shape[1] - 1
     code = sum(words[:, k].astype(_U) << _U(48 - 16 * k) for k in range(4))
-    span = np.full(lanes, 2**64 - 1, _U)
-    out = np.zeros((length, lanes), np.int64)
-    for t in range(length):
+    span = np.full(n, 2**64 - 1, _U)
+    out = np.zeros((steps, n), np.int64)
+    for t in range(steps):
         model.predict()
-        r = span >> _U(31)
-        ids = model.id_at(np.minimum(code // r, _U(2**31 - 1)).astype(np.int64))
+        total = model.total.view(_U)
+        r = span // total
         # a damaged block may decode to anything; its checksum tells
-        ids = np.clip(ids, 0, 65534)
+        ids = np.clip(model.id_at(np.minimum(code // r, total - _U(1)).view(np.int64)), 0, known - 1)
         start, width = model.interval(ids)
-        code = code - start.astype(_U) * r
-        span = width.astype(_U) * r
+        code = code - start.view(_U) * r
+        span = width.view(_U) * r
         while len(full := np.flatnonzero(span < _LOW)):
-            code[full] = (code[full] << _U(16)) | words[full, np.minimum(at[full], words.shape[1] - 1)]
+            code[full] = (code[full] << _U(16)) | words[full, np.minimum(at[full], last)]
             at[full] += 1
             span[full] = np.maximum(span[full], _U(1)) << _U(16)
         model.learn(ids)
         out[t] = ids
-    return np.ascontiguousarray(out.T)
+    return np.ascontiguousarray(out.T).reshape(len(blocks), -1, steps)
 
 
 def encode_frame(ids: np.ndarray) -> bytes:
-    """The file format's bytes for a run of ids below 65535."""
-    length = int(np.clip(-(-len(ids) // LANES), *BLOCK_IDS))
-    blocks = -(-len(ids) // length)
-    padded = np.zeros(blocks * length, "<u4")
-    padded[: len(ids)] = ids
-    rows = padded.reshape(blocks, length)
-    words = encode_blocks(rows) if blocks else []
-    head = [len(ids), length, blocks]
-    for row, w in zip(rows, words):
-        head += [len(w), zlib.crc32(row.tobytes()), zlib.crc32(w.astype("<u2").tobytes())]
-    return MAGIC + np.array(head, "<u4").tobytes() + b"".join(w.astype("<u2").tobytes() for w in words)
-
-
-def decode_frame(data: bytes) -> np.ndarray:
-    """The ids of a frame; raises ValueError where the format or a checksum is wrong."""
-    if data[:4] != MAGIC:
+    """The file format's bytes for a run of ids; the model codes their places in the frame's own list of ids."""
+    n = len(ids)
+    blocks = -(-n // BLOCK_IDS)
+    lanes = min(LANES, max(1, n // max(blocks, 1) // STEPS))
+    steps = -(-n // max(blocks * lanes, 1))
+    there = np.bincount(ids) > 0
+    listed = np.flatnonzero(there)
+    places = (np.cumsum(there) - 1)[ids]
+    names = zlib.compress(np.diff(listed, prepend=0).astype("<u4").tobytes())
+    padded = np.zeros(blocks * lanes * steps, "<u4")
+    padded[:n] = places
+    cube = padded.reshape(blocks, lanes, steps)
+    head, bodies = [n, blocks, lanes, steps, len(listed), len(names), zlib.crc32(names)], []
+    for block, words in zip(cube, encode_blocks(cube, len(listed)) if n else []):
+        bodies.append(np.concatenate([np.array([len(w) for w in words], "<u2"), *words]).astype("<u2").tobytes())
+        head += [len(bodies[-1]), zlib.crc32(block.tobytes()), zlib.crc32(bodies[-1])]
+    return MAGIC + np.array(head, "<u4").tobytes() + names + b"".join(bodies)
+
+
+def decode_frame(data: bytes, only: int | None = None) -> np.ndarray:
+    """The ids of a frame, or of one block of it; raises ValueError where the format or a checksum is wrong."""
+    if data[:4] != MAGIC or len(data) < 32:
         raise ValueError("not a frame")
-    n, length, blocks = np.frombuffer(data, "<u4", 3, 4).tolist()
-    head = np.frombuffer(data, "<u4", 3 * blocks, 16).reshape(blocks, 3)
-    ends = np.cumsum(head[:, 0])
-    words = np.frombuffer(data, "<u2", offset=16 + 12 * blocks)
-    if not blocks:
-        return np.zeros(0, "<u4")
-    if len(words) != ends[-1]:
+    n, blocks, lanes, steps, known, name_bytes, name_crc = np.frombuffer(data, "<u4", 7, 4).tolist()
+    begin = 32 + 12 * blocks
+    if len(data) < begin + name_bytes:
+        raise ValueError("a frame of the wrong length")
+    names = data[begin : begin + name_bytes]
+    head = np.frombuffer(data, "<u4", 3 * blocks, 32).reshape(blocks, 3)
+    ends = begin + name_bytes + np.cumsum(head[:, 0], dtype=np.int64)
+    if len(data) != (ends[-1] if blocks else begin + name_bytes):
         raise ValueError("a frame of the wrong length")
-    parts = np.split(words, ends[:-1])
-    for k, (part, crc) in enumerate(zip(parts, head[:, 2].tolist())):
-        if zlib.crc32(part.tobytes()) != crc:
+    if zlib.crc32(names) != name_crc:
+        raise ValueError("the list of ids is damaged")
+    listed = np.cumsum(np.frombuffer(zlib.decompress(names), "<u4"), dtype=np.int64).astype("<u4")
+    asked = range(blocks) if only is None else [only]
+    found = []
+    for k in asked:
+        body = data[int(ends[k]) - int(head[k, 0]) : int(ends[k])]
+        if zlib.crc32(body) != head[k, 2]:
             raise ValueError(f"block {k} is damaged")
-    rows = decode_blocks(parts, length).astype("<u4")
-    for k, (row, crc) in enumerate(zip(rows, head[:, 1].tolist())):
-        if zlib.crc32(row.tobytes()) != crc:
+        sizes = np.frombuffer(body, "<u2", lanes).astype(np.int64)
+        found.append(np.split(np.frombuffer(body, "<u2", offset=2 * lanes), np.cumsum(sizes)[:-1]))
+    if not found:
+        return np.zeros(0, "<u4")
+    rows = decode_blocks(found, steps, known).astype("<u4")
+    for k, row in zip(asked, rows):
+        if zlib.crc32(row.tobytes()) != head[k, 1]:
             raise ValueError(f"block {k} decodes to other ids")
-    return rows.ravel()[:n]
+    size = lanes * steps
+    return listed[rows.ravel()[: n if only is None else max(0, min(size, n - only * size))]]
 
 
 def write_token_files(docs: DataFrame, path: str, to: str, end: int = END, frame_ids: int = FRAME_IDS) -> None:
@@ -246,7 +294,7 @@ def write_token_files(docs: DataFrame, path: str, to: str, end: int = END, frame
 
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("_tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    frames = small_batches(ordered).mapInArrow(framed, "part int, frame int, n_ids long, doc_ids array<long>, doc_tokens array<long>, data binary")
+    frames = in_arrow(ordered, framed, "part int, frame int, n_ids long, doc_ids array<long>, doc_tokens array<long>, data binary")
     frames.write.option("compression", "none").parquet(to)
 
 
@@ -271,7 +319,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     ["part", "frame", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    docs = small_batches(frames.select("part", "frame", "doc_ids", "doc_tokens", "data")).mapInArrow(decoded, "part int, frame int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = frames.select("part", "frame", "doc_ids", "doc_tokens", "data").mapInArrow(decoded, "part int, frame int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return docs.join(starts, ["part", "frame"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
