@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import html
-import json
 import re
 
 import pandas as pd
@@ -80,8 +78,8 @@ def allowed_field(name: Column) -> Column:
 
 
 def first_label(labels: Column) -> Column:
-    """The German label of a map, or its first."""
-    return F.coalesce(F.try_element_at(labels, F.lit("de")), F.get(F.map_values(labels), F.lit(0)))
+    """The German label of a map, or its first, or none."""
+    return F.coalesce(F.try_element_at(labels, F.lit("de")), F.get(F.map_values(labels), F.lit(0)), F.lit(""))
 
 
 def labelled(label: Column, value: Column) -> Column:
@@ -116,31 +114,72 @@ def clean_html(markup: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def html_text(markup: pd.Series) -> pd.Series:
-    """Spark has no function for entities, so Arrow batches go to Python."""
-    return markup.map(clean_html, na_action="ignore")
+def _decoded(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: _ENTITY.sub(lambda m: html.unescape(m[0]), t), na_action="ignore")
 
 
-def keyed_hash(secret: str):
-    """HMAC-SHA-256 in hexadecimal, for which Spark has no function."""
+def html_text(markup: Column) -> Column:
+    """`clean_html` as an expression: patterns run in Spark, and only entities, for which it has no function, go to Python, for rows that hold one."""
+    text = F.regexp_replace(F.regexp_replace(markup, "(?i)" + _BREAK.pattern, "\n"), "(?s)" + _TAG.pattern, "")
+    # a row without an entity sends a null
+    held = text.rlike(_ENTITY.pattern)
+    return chunk_normalized(F.when(held, _decoded(F.when(held, text))).otherwise(text))
 
-    @F.pandas_udf(StringType())
-    def hashed(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: hmac.new(secret.encode(), (v or "unknown").encode(), hashlib.sha256).hexdigest())
 
-    return hashed
+def keyed_hash(secret: str, value: Column) -> Column:
+    """HMAC-SHA-256 in hexadecimal; a null or empty value counts as "unknown"."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in key).hex())) for pad in (0x36, 0x5C))
+    text = F.coalesce(F.nullif(value, F.lit("")), F.lit("unknown")).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text), 256))), 256)
 
 
-def normalized_url(url: str) -> str:
-    """Scheme and host in lower case, no slash at the end."""
-    m = re.match(r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)(.*)$", url.strip())
-    return (f"{m[1].lower()}://{m[2].lower()}{m[3]}" if m else url.strip()).rstrip("/")
+#: German names of the months.
+MONTHS = ["Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"]
 
 
-def index_fingerprint(base_url: str, dimensions: int, model: str, chunk_chars: int, overlap: int, extractor: int = 2) -> str:
-    """What makes stored chunks comparable, as a hash of its JSON."""
-    settings = {
-        "chunk_chars": chunk_chars, "chunk_overlap": overlap, "embedding_base_url": normalized_url(base_url),
-        "embedding_dimensions": dimensions, "embedding_model": model, "extractor_version": extractor,
-    }
-    return hashlib.sha256(json.dumps(settings, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+def day_text(date: Column) -> Column:
+    """A date as day.month.year."""
+    return F.date_format(date, "dd.MM.yyyy")
+
+
+def long_day_text(date: Column) -> Column:
+    """A date as its day, the German name of its month and its year."""
+    return F.concat(F.dayofmonth(date).cast("string"), F.lit(". "), F.element_at(F.array(*map(F.lit, MONTHS)), F.month(date)), F.lit(" "), F.year(date).cast("string"))
+
+
+def raw_url(text: Column) -> Column:
+    """Percent-encoding of all but letters, digits, '-', '_', '.' and '~'."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def base64_text(text: Column) -> Column:
+    return F.replace(F.replace(F.base64(text.cast("binary")), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
+
+
+def normalized_url(url: Column) -> Column:
+    """Scheme and host in lower case, no slash at the end of the path, no fragment; what is no address only loses slashes at its end."""
+    t = F.rtrim(F.trim(url), F.lit("/"))
+    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#@]*@)?([^/?#@]+)([^?#]*)(\?[^#]*)?(?:#.*)?$"
+    scheme, user, host, path, query = (F.regexp_extract(t, pattern, k) for k in range(1, 6))
+    whole = F.concat(F.lower(scheme), F.lit("://"), user, F.lower(host), F.rtrim(path, F.lit("/")), query)
+    return F.when(t.rlike(pattern), whole).otherwise(t)
+
+
+def index_fingerprint(base_url: Column, dimensions: Column, model: Column, chunk_chars: Column, overlap: Column, extractor: int = 2) -> Column:
+    """What makes stored chunks comparable, as a hash of its JSON. Names and models are taken as ASCII."""
+    parts = [
+        ("embedding_base_url", _json(normalized_url(base_url))), ("embedding_dimensions", dimensions.cast("string")), ("embedding_model", _json(model)),
+        ("extractor_version", F.lit(str(extractor))), ("chunk_chars", chunk_chars.cast("string")), ("chunk_overlap", overlap.cast("string")),
+    ]
+    fields = [F.concat(F.lit(f'"{name}":'), value) for name, value in parts]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).cast("binary"), 256)
+
+
+def _json(text: Column) -> Column:
+    """A string as JSON without escapes of slashes or letters."""
+    return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))

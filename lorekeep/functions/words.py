@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +54,34 @@ def forms(word: str) -> list[str]:
     return sorted(out)
 
 
+def stems(word: str) -> list[str]:
+    """The folded word and what is left of it without each suffix, where that is a stem: terms of a prefix search."""
+    w = fold_word(word)
+    return [*dict.fromkeys([w, *(w[: -len(s)] for s in SUFFIXES if w.endswith(s) and len(w) - len(s) >= MIN_STEM)])]
+
+
+def _spellings(form: str) -> list[list[str]]:
+    """What each letter, or run of s, of a folded form may be folded from."""
+    letters = {"a": ["a", "ä"], "o": ["o", "ö"], "u": ["u", "ü"]}
+
+    def runs(n: int) -> list[str]:
+        return [""] if n == 0 else ["s" + x for x in runs(n - 1)] + (["ß" + x for x in runs(n - 2)] if n > 1 else [])
+
+    return [runs(len(m[0])) if m[0][0] == "s" else letters.get(m[0], [m[0]]) for m in re.finditer("s+|[^s]", form)]
+
+
+def word_pattern(word: str) -> str:
+    """A pattern (RE2) for lower-cased texts that finds a token which `match` accepts for this word."""
+    found = forms(word)
+    if any(len(f) <= 3 for f in found) or any(fold_word(w) in found for w in STOP_WORDS):
+        # a token has three characters at least and is no stop word, so what folds to a form is listed
+        tokens = ("".join(x) for f in found for x in itertools.product(*_spellings(f)))
+        out = [re.escape(t) for t in tokens if len(t) >= 3 and t not in STOP_WORDS] or [r"[^\s\S]"]
+    else:
+        out = ["".join("(?:" + "|".join(map(re.escape, x)) + ")" if len(x) > 1 else re.escape(x[0]) for x in _spellings(f)) for f in found]
+    return r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(out) + r")(?:$|[^\p{L}\p{N}])"
+
+
 def coverage(query: list[str], words: Column) -> Column:
     """The share of query words that match a word of the array; a small set of forms for each stands for the pairwise test."""
     if not query:

@@ -33,8 +33,11 @@ def indexed_pages(stored: DataFrame) -> DataFrame:
     return stored.groupBy("page_key").agg(F.min("page_id").alias("page_id"))
 
 
-def replaced(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The snapshot after all chunks of the pages in `fresh` were replaced."""
+def replaced(stored: DataFrame, fresh: DataFrame, dims: int | None = None) -> DataFrame:
+    """The snapshot after all chunks of the pages in `fresh` were replaced. With `dims`, a chunk without a vector of that length fails the job."""
+    if dims is not None:
+        wrong = F.col("embedding").isNull() | (F.size("embedding") != dims)
+        fresh = fresh.withColumn("embedding", F.when(wrong, F.raise_error(F.lit("a chunk has no vector of the right length"))).otherwise(F.col("embedding")))
     return stored.join(fresh.select("page_key").distinct(), "page_key", "left_anti").select(*stored.columns).unionByName(fresh)
 
 
@@ -64,13 +67,16 @@ def statistics(stored: DataFrame, fingerprint: str) -> DataFrame:
 
 
 def index_state() -> Column:
-    """The state of (configured, lifecycle_error, eligible, compatible_pages, incompatible_pages, pending, failed, stale)."""
+    """The state of (pages, compatible_pages, eligible, pending, failed, stale, lifecycle_error: a text): the first that holds of
+
+    error (a lifecycle error, failed jobs, stale pages or pages of another configuration), ready (all eligible pages are
+    indexed and nothing waits), updating (jobs wait), empty (nothing eligible or stored), not_configured (nothing stored), incomplete."""
     c = F.col
-    indexed = F.least("eligible", "compatible_pages")
-    whole = (c("eligible") > 0) & (indexed == c("eligible")) & (c("pending") == 0) & (c("failed") == 0) & (c("stale") == 0) & (c("incompatible_pages") == 0)
+    wrong = (F.coalesce("lifecycle_error", F.lit("")) != "") | (c("failed") > 0) | (c("stale") > 0) | (c("pages") > c("compatible_pages"))
+    whole = (c("eligible") > 0) & (F.least("eligible", "compatible_pages") == c("eligible")) & (c("pending") == 0)
     return (
-        F.when(~c("configured"), "not_configured").when(c("lifecycle_error") | (c("failed") > 0) | (c("stale") > 0) | (c("incompatible_pages") > 0), "error")
-        .when(whole, "ready").when(c("pending") > 0, "updating").when(c("eligible") == 0, "empty").otherwise("incomplete")
+        F.when(wrong, "error").when(whole, "ready").when(c("pending") > 0, "updating")
+        .when((c("eligible") == 0) & (c("pages") == 0), "empty").when(c("pages") == 0, "not_configured").otherwise("incomplete")
     )
 
 
@@ -78,15 +84,25 @@ def percent(indexed: Column, eligible: Column) -> Column:
     return F.when(eligible < 1, 0).otherwise(F.least(F.lit(100), F.round(100 * indexed / eligible).cast("int")))
 
 
+#: Error texts that a report holds; `n_errors` counts all.
+MOST_ERRORS = 100
+
+
 def merged_results(results: DataFrame) -> DataFrame:
-    """Run results (indexed, skipped, deleted, failed, chunks, errors, busy) as one."""
+    """Run results (indexed, skipped, deleted, failed, chunks, errors, busy) as one row, with the number of errors; `run_errors` has their texts."""
     sums = [F.sum(c).alias(c) for c in ("indexed", "skipped", "deleted", "failed", "chunks")]
-    return results.agg(*sums, F.sort_array(F.flatten(F.collect_list("errors"))).alias("errors"), F.bool_or("busy").alias("busy"))
+    return results.agg(*sums, F.sum(F.size(F.coalesce("errors", F.array()))).alias("n_errors"), F.bool_or("busy").alias("busy"))
+
+
+def run_errors(results: DataFrame, most: int = MOST_ERRORS) -> DataFrame:
+    """error: the first `most` error texts of all runs, in order; a report of bounded size, as any number of runs may fail."""
+    return results.select(F.explode("errors").alias("error")).orderBy("error").limit(most)
 
 
-def related_summaries(links: DataFrame, pages: DataFrame, most: int = 500) -> DataFrame:
-    """page_key, summaries: those of each page's related pages (array `related`), in order, without pages that aren't there."""
+def related_summaries(links: DataFrame, pages: DataFrame, most: int = 500, policy: Column | None = None) -> DataFrame:
+    """page_key, summaries: those of each page's related pages (array `related`), in order, without pages that aren't there or that `policy` hides."""
+    shown = pages if policy is None else pages.where(policy)
     each = links.select("page_key", F.posexplode("related").alias("pos", "other"))
-    found = each.join(pages.select(F.col("page_key").alias("other"), F.concat(F.col("title"), F.lit(": "), F.substring("summary", 1, most)).alias("s")), "other")
+    found = each.join(shown.select(F.col("page_key").alias("other"), F.concat(F.col("title"), F.lit(": "), F.substring("summary", 1, most)).alias("s")), "other")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"])
     return found.groupBy("page_key").agg(F.array_join(texts, "\n").alias("summaries"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,15 +39,35 @@ class Buckets:
 def coupled_limits(requests: DataFrame, session: int, ip: int, daily: int) -> DataFrame:
     """Requests (request_id, at, action, session, ip) with allowed and retry_after.
 
-    What one request may do depends on all earlier ones of its action and day, as all share the daily counter; so that
-    group is folded in order. With no daily limit, groups are minutes instead."""
-    span = 86400 if daily > 0 else 60
+    A denied request counts nowhere. So the daily limit changes nothing until it is reached, and denies all that follows
+    in its day: minutes are folded on their own, each in order, by the limits of session and address; a request that passes
+    them is allowed where its place among the passing ones of its action and day is within the daily limit. Places are the
+    sums of earlier minutes and the place within the minute, so no task sees a whole day."""
+    minute, day = F.floor(F.col("at") / 60), F.floor(F.col("at") / 86400)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "request_id"])
-        buckets = Buckets(session, ip, daily)
-        found = [buckets.consume(s, i, a) for s, i, a in zip(frame["session"], frame["ip"], frame["at"])]
-        return frame[["request_id"]].assign(allowed=[x for x, _ in found], retry_after=[y for _, y in found])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, buckets, passed = None, Buckets(session, ip, 0), 0
+        for batch in batches:
+            out = []
+            for action, at, s, i in zip(*(batch.column(c).to_pylist() for c in ("action", "at", "session", "ip"))):
+                if now != (action, at // 60):
+                    now, buckets, passed = (action, at // 60), Buckets(session, ip, 0), 0
+                allowed, wait = buckets.consume(s, i, at)
+                out.append((allowed, wait, passed))
+                passed += allowed
+            columns = [pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 3, (pa.bool_(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("request_id", "action", "at")), *columns], ["request_id", "action", "at", "passed", "wait", "before"])
 
-    rows = requests.withColumn("_span", F.floor(F.col("at") / span))
-    return rows.groupBy("action", "_span").applyInPandas(fold, "request_id long, allowed boolean, retry_after long")
+    # minutes are dealt out whole and come in order, so a task holds the counters of one minute at a time
+    rows = requests.select(F.col("request_id").cast("long"), "action", F.col("at").cast("long"), "session", "ip", minute.alias("_minute")).repartition("action", "_minute")
+    folded = rows.sortWithinPartitions("action", "_minute", "at", "request_id").mapInArrow(fold, "request_id long, action string, at long, passed boolean, wait long, before long")
+    if daily <= 0:
+        return folded.select("request_id", F.col("passed").alias("allowed"), F.col("wait").alias("retry_after"))
+    folded = folded.withColumns({"minute": minute, "day": day})
+    # one row a minute that has requests
+    sums = folded.groupBy("action", "day", "minute").agg(F.count_if("passed").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(W.partitionBy("action", "day").orderBy("minute").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = folded.join(sums.select("action", "minute", earlier.alias("earlier")), ["action", "minute"])
+    spent = F.col("earlier") + F.col("before") >= daily
+    left = F.greatest(F.lit(1), (F.col("day") + 1) * 86400 - F.col("at"))
+    return placed.select("request_id", (F.col("passed") & ~spent).alias("allowed"), F.when(spent, left).otherwise(F.col("wait")).cast("long").alias("retry_after"))

@@ -45,14 +45,63 @@ def _order() -> list[Column]:
     return [F.when(F.col("operation") == "delete", 0).otherwise(1), F.col("enqueued_at"), F.col("first_seq")]
 
 
-def claimed(queue: DataFrame, n: int) -> DataFrame:
-    """The next n jobs that haven't failed too often: deletions first, then by age."""
-    return queue.where(F.col("attempts") < MOST_ATTEMPTS).orderBy(*_order()).limit(n)
-
-
-def positions(queue: DataFrame) -> DataFrame:
-    """Jobs with their place within their kind, so no task orders the whole queue."""
-    return queue.withColumn("position", F.row_number().over(W.partitionBy("operation").orderBy("enqueued_at", "first_seq")))
+def claimed(queue: DataFrame, n: int | None) -> DataFrame:
+    """The next n jobs, or all, that haven't failed too often: deletions first, then by age."""
+    rows = queue.where(F.col("attempts") < MOST_ATTEMPTS)
+    return rows if n is None else rows.orderBy(*_order()).limit(n)
+
+
+def positions(queue: DataFrame, seconds: int = 3600) -> DataFrame:
+    """Jobs with their place in the queue, deletions first. Places are sums over ranges of age and the place within one, so no task orders the whole queue."""
+    kind, span = F.when(F.col("operation") == "delete", 0).otherwise(1), F.floor(F.col("enqueued_at") / seconds)
+    rows = queue.withColumns({"_kind": kind, "_span": span})
+    # one row for each range that has jobs
+    sums = rows.groupBy("_kind", "_span").agg(F.count(F.lit(1)).alias("n"))
+    before = sums.select("_kind", "_span", F.coalesce(F.sum("n").over(W.orderBy("_kind", "_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_kind", "_span").orderBy("enqueued_at", "first_seq"))
+    return rows.withColumn("_place", place).join(before, ["_kind", "_span"]).withColumn("position", F.col("_before") + F.col("_place")).drop("_kind", "_span", "_before", "_place")
+
+
+def cleared(queue: DataFrame) -> DataFrame:
+    return queue.limit(0)
+
+
+def drained(queue: DataFrame, stored: DataFrame, live: DataFrame, troubles: DataFrame, n: int | None, budget: float | None = None) -> DataFrame:
+    """page_key, revision, outcome, error of the next `n` jobs, or all: removed, indexed, skipped, failed or waiting.
+
+    `live` (page_id, content_hash; null where the policy forbids the page) has the pages that are there, `stored` (page_key,
+    content_hash) the index, and `troubles` (page_key, error) the jobs whose work failed. A deletion, and a page that isn't
+    there or isn't allowed any more, is removed; a page with the stored hash is skipped. Once a deletion fails, the jobs
+    behind it wait, as a move's upsert must not overtake it. With `budget`, jobs wait that begin when earlier ones have
+    cost (column `cost` of the queue) that much; only then, for the few jobs that one run claims, does a window order them all."""
+    cost = F.col("cost") if budget is not None else F.lit(0.0)
+    jobs = claimed(queue.withColumn("_cost", cost), n).select("page_key", "page_id", "operation", "revision", "_cost", F.struct(*_order()).alias("_order"))
+    jobs = jobs.join(troubles.select("page_key", F.col("error").alias("_error")), "page_key", "left")
+    pages = live.select("page_id", F.col("content_hash").alias("_new"), F.lit(True).alias("_there"))
+    old = stored.groupBy("page_key").agg(F.min("content_hash").alias("_old"))
+    # one row: the first deletion that failed
+    first = jobs.where((F.col("operation") == "delete") & F.col("_error").isNotNull()).agg(F.min("_order").alias("_first"))
+    rows = jobs.join(F.broadcast(first)).join(pages, "page_id", "left").join(old, "page_key", "left")
+    stopped = F.coalesce(F.col("_order") > F.col("_first"), F.lit(False))
+    spent = F.lit(False)
+    if budget is not None:
+        earlier = W.orderBy("_order").rowsBetween(W.unboundedPreceding, -1)
+        spent = F.coalesce(F.sum("_cost").over(earlier), F.lit(0.0)) >= budget
+    gone = (F.col("operation") == "delete") | F.col("_there").isNull() | F.col("_new").isNull()
+    outcome = F.when(stopped | spent, "waiting").when(F.col("_error").isNotNull(), "failed").when(gone, "removed").when(F.col("_new") == F.col("_old"), "skipped").otherwise("indexed")
+    return rows.withColumn("outcome", outcome).select("page_key", "revision", "outcome", F.when(F.col("outcome") == "failed", F.col("_error")).alias("error"))
+
+
+def after_drain(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The queue after a run: what was done is gone unless it changed meanwhile, and failures have an attempt more."""
+    done = outcomes.where(F.col("outcome").isin("removed", "indexed", "skipped"))
+    return failed(completed(queue, done), outcomes.where("outcome = 'failed'").select("page_key", "revision", "error"))
+
+
+def drain_result(outcomes: DataFrame) -> DataFrame:
+    """One row: indexed, skipped, deleted, failed and waiting jobs of a run."""
+    names = {"indexed": "indexed", "skipped": "skipped", "deleted": "removed", "failed": "failed", "waiting": "waiting"}
+    return outcomes.agg(*[F.count_if(F.col("outcome") == v).alias(k) for k, v in names.items()])
 
 
 def completed(queue: DataFrame, done: DataFrame) -> DataFrame:
@@ -74,11 +123,14 @@ def latest_failures(queue: DataFrame, n: int) -> DataFrame:
     return queue.where(F.col("attempts") >= MOST_ATTEMPTS).orderBy(F.desc("enqueued_at"), "page_key").limit(n)
 
 
-def rebuild_plan(stored: DataFrame, docs: DataFrame, most: int | None = None) -> DataFrame:
-    """page_key, operation: deletions of what isn't to be indexed any more, and upserts of the first `most` pages, or all."""
+def rebuild_plan(stored: DataFrame, docs: DataFrame, most: int | None = None, force: bool = False) -> DataFrame:
+    """page_key, operation: deletions of what isn't to be indexed any more, and upserts of the first `most` pages, or all.
+
+    A forced rebuild begins with an empty index and queue (`index.truncated`, `cleared`), so there is nothing to delete."""
     gone = stored.select("page_key").distinct().join(docs.select("page_key"), "page_key", "left_anti").select("page_key", F.lit("delete").alias("operation"))
     kept = docs.select("page_key") if most is None else docs.select("page_key").orderBy("page_key").limit(most)
-    return gone.union(kept.select("page_key", F.lit("upsert").alias("operation")))
+    kept = kept.select("page_key", F.lit("upsert").alias("operation"))
+    return kept if force else gone.union(kept)
 
 
 def lifecycle_events(pages: DataFrame) -> DataFrame:
@@ -93,6 +145,20 @@ def lifecycle_events(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(what).alias("e")).select("e.*")
 
 
+def moved_subtrees(moves: DataFrame, pages: DataFrame) -> DataFrame:
+    """Edits for `lifecycle_events` of every page at or below a moved page: old_key, old_id, new_key, new_id, allowed, at.
+
+    `moves` are (old_id, new_id, at), `pages` (page_key, page_id, allowed) the pages as they are now. A key that is the page's own
+    stays; one made of its id changes with it. Each page looks its few ancestors up, so a large subtree is no hot key."""
+    up = F.transform(F.sequence(F.lit(1), F.size(F.split("page_id", "/"))), lambda k: F.array_join(F.slice(F.split("page_id", "/"), 1, k), "/"))
+    below = pages.withColumn("new_id", F.explode(up)).join(moves.select("new_id", F.col("old_id").alias("_old"), "at"), "new_id")
+    old_id = F.concat("_old", F.expr("substring(page_id, length(new_id) + 1)"))
+    own = F.startswith("page_key", F.lit("page://"))
+    return below.select(
+        F.when(own, F.col("page_key")).otherwise(F.concat(F.lit("page-id://"), old_id)).alias("old_key"), old_id.alias("old_id"), F.col("page_key").alias("new_key"), F.col("page_id").alias("new_id"), "allowed", "at"
+    )
+
+
 def rekeyed(pages: DataFrame, old: str, new: str) -> DataFrame:
     """page_id, old_id of the pages below a moved page, which isn't any page whose name only begins alike."""
     return pages.where(F.startswith("page_id", F.lit(new + "/"))).select("page_id", F.concat(F.lit(old), F.substring("page_id", len(new) + 1, 100_000)).alias("old_id"))

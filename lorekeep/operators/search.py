@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import words as L
-from ..functions.vectors import dot, normalized
+from ..functions.texts import excerpt
 
 RRF = 60
 MOST_CHARS = 4000
@@ -34,8 +35,80 @@ def hit_key() -> Column:
     return F.concat("page_key", F.lit("\0"), F.col("chunk_index").cast("string"))
 
 
-def similarity(vector: list[float]) -> Column:
-    return dot(normalized("embedding"), F.array(*[F.lit(float(x)) for x in unit(vector)]))
+def _rows(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and unit vectors of those that are there and have no null, by length; squares are summed in order, as `dot` does."""
+    offsets, values = vectors.offsets.to_numpy(), vectors.values
+    whole = np.append(0, np.cumsum(values.is_null().to_numpy(zero_copy_only=False)))
+    own = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False) & (whole[offsets[1:]] == whole[offsets[:-1]]))
+    dims, flat = np.diff(offsets)[own], values.to_numpy(zero_copy_only=False)
+    for dim in np.unique(dims):
+        at = own[dims == dim]
+        rows = flat[offsets[at][:, None] + np.arange(dim)].astype(float)
+        squares = np.zeros(len(rows))
+        for j in range(dim):
+            squares += rows[:, j] * rows[:, j]
+        long = squares > 0
+        rows[long] *= (1 / np.sqrt(squares[long]))[:, None]
+        yield at, rows
+
+
+def _dots(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The dot product of each row with the other, over the shorter length and in order."""
+    out = np.zeros(len(rows))
+    for j in range(min(rows.shape[1], others.shape[-1])):
+        out += rows[:, j] * others[..., j]
+    return out
+
+
+#: What a chunk needs to be scored, and what is known of one that is scored.
+SCORED = ("id", "similarity", "lexical", "bm25")
+
+
+def _best(found: dict[str, np.ndarray], pool: int) -> dict[str, np.ndarray]:
+    """The rows that either list can take: the `pool` best by similarity, and by coverage."""
+    n = len(found["id"])
+    down = np.where(np.isnan(found["similarity"]), np.inf, -found["similarity"])
+    near = np.lexsort((found["id"], down))[:pool]
+    near = near[~np.isnan(found["similarity"][near])]
+    held = np.lexsort((found["id"], found["bm25"], -found["lexical"]))[:pool]
+    keep = np.zeros(n, bool)
+    keep[near] = True
+    keep[held[found["lexical"][held] > 0]] = True
+    return {k: v[keep] for k, v in found.items()}
+
+
+def scored(chunks: DataFrame, vector: list[float], query: list[str], pool: int, ranked: DataFrame | None = None) -> DataFrame:
+    """id, similarity, lexical, bm25 of the chunks that a list of `pool` can take, in one pass over vectors and text.
+
+    Each task keeps its best rows, so what leaves it is bounded by `pool`; the lists are cut again by who asks. Ids are long."""
+    wanted = np.array(unit(vector))
+    patterns = [L.word_pattern(q) for q in query]
+    text = F.lower(F.concat_ws("\n", "title", "chunk_text")) if query else F.lit("")
+    rows = chunks.select("id", "embedding", text.alias("text"))
+    rows = rows.withColumn("bm25", F.lit(float("inf"))) if ranked is None else rows.join(ranked.select("id", "bm25"), "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(float("inf"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] = {"id": np.zeros(0, np.int64), **{c: np.zeros(0) for c in SCORED[1:]}}
+        for batch in batches:
+            n = batch.num_rows
+            near, held = np.full(n, np.nan), np.zeros(n)
+            for at, unit_rows in _rows(batch.column("embedding")):
+                near[at] = _dots(unit_rows, wanted)
+            for pattern in patterns:
+                held += pc.match_substring_regex(batch.column("text"), pattern).to_numpy(zero_copy_only=False)
+            new = {"id": batch.column("id").to_numpy(), "similarity": near, "lexical": held / len(patterns) if patterns else held, "bm25": batch.column("bm25").to_numpy()}
+            kept = _best({k: np.concatenate([v, new[k]]) for k, v in kept.items()}, pool)
+        yield pa.RecordBatch.from_arrays([pa.array(kept[c]) for c in SCORED], list(SCORED))
+
+    found = rows.mapInArrow(run, "id long, similarity double, lexical double, bm25 double")
+    # dealt by id, so that both lists read one shuffle of few rows and the chunks are read once
+    return found.repartition("id").withColumn("similarity", F.when(~F.isnan("similarity"), F.col("similarity")))
+
+
+def _fetched(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """The chunks' columns for a few hits (id and others); the semi join lets a scan skip what it derives for other rows."""
+    few = F.broadcast(hits)
+    return chunks.join(few.select("id"), "id", "left_semi").join(few, "id")
 
 
 def vector_search(chunks: DataFrame, vector: list[float], k: int, threshold: float | None = None) -> DataFrame:
@@ -43,49 +116,53 @@ def vector_search(chunks: DataFrame, vector: list[float], k: int, threshold: flo
     and chunks without an embedding are never found."""
     if not vector or k < 1:
         return chunks.withColumn("similarity", F.lit(0.0)).limit(0)
-    found = chunks.where("embedding IS NOT NULL").withColumn("similarity", similarity(vector)).orderBy(F.desc("similarity"), "id").limit(k)
-    return found if threshold is None else found.where(F.col("similarity") >= threshold)
+    found = scored(chunks, vector, [], k).where("similarity IS NOT NULL").orderBy(F.desc("similarity"), "id").limit(k).select("id", "similarity")
+    return _fetched(chunks, found if threshold is None else found.where(F.col("similarity") >= threshold))
 
 
 def _blocks(rows: DataFrame, key: str, vector: str, most: int, name: str) -> DataFrame:
-    """Rows with a whole vector in blocks of at most `most`, by length of vector: <name>_ids and <name>_matrix, row-major doubles."""
-    whole = rows.select(key, normalized(vector).alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    """Unit vectors in blocks of at most `most`, by length of vector: <name>_ids and <name>_matrix, row-major doubles."""
     names = ["dim", "ids", "matrix"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(1)
-            offsets = vectors.offsets.to_numpy()
-            dims, values = np.diff(offsets), vectors.values.to_numpy()
-            for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                size = max(1, min(most, BLOCK_VALUES // max(int(dim), 1)))
+            for own, matrix in _rows(batch.column(1)):
+                dim = matrix.shape[1]
+                size = max(1, min(most, BLOCK_VALUES // max(dim, 1)))
                 for at in range(0, len(own), size):
-                    part = own[at : at + size]
-                    ids = batch.column(0).take(pa.array(part))
-                    matrix = values[offsets[part][:, None] + np.arange(dim)].astype("<f8").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), ids), pa.array([matrix], pa.binary())], names)
+                    ids = batch.column(0).take(pa.array(own[at : at + size]))
+                    part = matrix[at : at + size].astype("<f8").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([part], pa.binary())], names)
 
     kind = rows.schema[key].dataType.simpleString()
-    return whole.mapInArrow(pack, f"dim int, ids array<{kind}>, matrix binary").withColumnsRenamed({n: f"{name}_{n}" for n in names})
+    return rows.select(key, F.col(vector).cast("array<double>")).mapInArrow(pack, f"dim int, ids array<{kind}>, matrix binary").withColumnsRenamed({n: f"{name}_{n}" for n in names})
+
+
+#: Matrix products differ from sums in order by less than this for unit vectors.
+_SLACK = 1e-9
 
 
 def _best_of_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best chunks of a block for each query of a block; products are summed in order, as `dot` does."""
+    """The k best chunks of a block for each query of a block: a matrix product leaves few pairs, which are summed in order, as `dot` does."""
     for batch in batches:
         for row in range(batch.num_rows):
             cell = {n: batch.column(j)[row] for j, n in enumerate(batch.schema.names)}
             q_ids, c_ids = cell["q_ids"].values, cell["c_ids"].values
             q = np.frombuffer(cell["q_matrix"].as_py(), "<f8").reshape(len(q_ids), -1)
             c = np.frombuffer(cell["c_matrix"].as_py(), "<f8").reshape(len(c_ids), -1)
-            scores = np.zeros((len(q), len(c)))
-            for j in range(min(q.shape[1], c.shape[1])):
-                scores += q[:, j, None] * c[None, :, j]
+            dim = min(q.shape[1], c.shape[1])
+            rough = q[:, :dim] @ c[:, :dim].T
+            rough[np.isnan(rough)] = np.inf
+            take = min(k, rough.shape[1])
+            edge = np.partition(rough, rough.shape[1] - take, axis=1)[:, rough.shape[1] - take]
+            of, at = np.nonzero(rough >= edge[:, None] - _SLACK)
+            scores = _dots(q[of], c[at])
             down = -np.where(np.isnan(scores), np.inf, scores)
-            by_id = np.broadcast_to(c_ids.to_numpy(zero_copy_only=False), down.shape)
-            at = np.lexsort((by_id, down), axis=1)[:, :k]
-            of = np.repeat(np.arange(len(q)), at.shape[1])
-            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(of)), c_ids.take(pa.array(at.ravel())), pa.array(scores[of, at.ravel()])], ["query_id", "id", "similarity"])
+            order = np.lexsort((c_ids.to_numpy(zero_copy_only=False)[at], down, of))
+            of, at, scores = of[order], at[order], scores[order]
+            starts = np.searchsorted(of, np.arange(len(q)))
+            best = np.arange(len(of)) - starts[of] < k
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(of[best])), c_ids.take(pa.array(at[best])), pa.array(scores[best])], ["query_id", "id", "similarity"])
 
 
 def batch_vector_search(chunks: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -122,10 +199,10 @@ def plain_words(text: Column) -> Column:
 
 
 def bm25(chunks: DataFrame, query: list[str], title_weight: float = 2.0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id, bm25 of chunks that a query word is a prefix in: the lowest, that is best, over the query's words.
+    """id, bm25 of chunks that a query word, or a stem of one, is a prefix in: the lowest, that is best, over these terms.
 
-    One aggregation gives the statistics of all words; they are a single row."""
-    terms = [L.fold_word(q) for q in query]
+    One aggregation gives the statistics of all terms; they are a single row."""
+    terms = [*dict.fromkeys(t for q in query for t in L.stems(q))]
     rows = chunks.select("id", plain_words(F.col("title")).alias("t"), plain_words(F.col("chunk_text")).alias("x"))
 
     def hits(column: str, term: str) -> Column:
@@ -147,25 +224,22 @@ def bm25(chunks: DataFrame, query: list[str], title_weight: float = 2.0, k1: flo
 def hybrid_search(chunks: DataFrame, vector: list[float], query: list[str], wanted: int, threshold: float, ranked: DataFrame | None = None) -> DataFrame:
     """Hits of both lists by reciprocal rank fusion: all columns, similarity, lexical, bm25, semantic_rank, lexical_rank, score, rank.
 
-    Chunks without an embedding are found by their words alone; their similarity is null. `query` are tokens; without any it is a vector search. The threshold admits to the semantic list only. `ranked`
-    (id, bm25) breaks ties of coverage. Windows run over the two cut lists, never over the corpus."""
+    Chunks without an embedding are found by their words alone; their similarity is null. `query` are tokens; without any it is a vector search.
+    The threshold admits to the semantic list only. `ranked` (id, bm25) breaks ties of coverage; a chunk that it lacks comes behind those
+    of its coverage. The chunks are scored in one pass and read again for the hits; windows run over the two cut lists, never over the corpus."""
     if not query:
         found = vector_search(chunks, vector, wanted, threshold)
         rank = F.row_number().over(W.orderBy(F.desc("similarity"), "id"))
         return found.withColumns({"lexical": F.lit(0.0), "bm25": F.lit(float("inf")), "semantic_rank": rank, "lexical_rank": F.lit(None).cast("int"), "score": F.lit(0.0), "rank": rank})
     pool = pool_size(wanted)
-    semantic = vector_search(chunks, vector, pool, threshold).withColumns({"lexical": F.lit(0.0), "bm25": F.lit(float("inf"))})
-    semantic = semantic.withColumn("semantic_rank", F.row_number().over(W.orderBy(F.desc("similarity"), "id")))
-    if ranked is None:
-        lexical = lexical_candidates(chunks, query, pool)
-    else:
-        lexical = chunks.join(ranked, "id").withColumn("lexical", coverage(query)).where("lexical > 0").orderBy(F.desc("lexical"), "bm25", "id").limit(pool)
-    lexical = lexical.withColumn("similarity", similarity(vector)).withColumn("semantic_rank", F.lit(None).cast("int"))
-    # both lists hold whole rows of the same chunks, so the full outer merge is a union and a group of two rows at most
-    rest = [c for c in chunks.columns if c not in ("page_key", "chunk_index")]
-    merged = semantic.unionByName(lexical).groupBy("page_key", "chunk_index").agg(
-        *[F.first(c).alias(c) for c in rest], F.max("similarity").alias("similarity"), F.max("lexical").alias("lexical"), F.min("bm25").alias("bm25"), F.min("semantic_rank").alias("semantic_rank")
-    )
+    few = scored(chunks, vector, query, pool, ranked)
+    semantic = few.where("similarity IS NOT NULL").orderBy(F.desc("similarity"), "id").limit(pool).where(F.col("similarity") >= threshold)
+    # one of the semantic list alone counts as without words, whatever it holds
+    semantic = semantic.withColumns({"lexical": F.lit(0.0), "bm25": F.lit(float("inf")), "semantic_rank": F.row_number().over(W.orderBy(F.desc("similarity"), "id"))})
+    lexical = few.where("lexical > 0").orderBy(F.desc("lexical"), "bm25", "id").limit(pool).withColumn("semantic_rank", F.lit(None).cast("int"))
+    # both lists hold whole scores of the same chunks, so the full outer merge is a union and a group of two rows at most
+    merged = semantic.unionByName(lexical).groupBy("id").agg(F.max("similarity").alias("similarity"), F.max("lexical").alias("lexical"), F.min("bm25").alias("bm25"), F.min("semantic_rank").alias("semantic_rank"))
+    merged = _fetched(chunks, merged)
     key = hit_key()
     order = W.partitionBy(F.col("lexical") > 0).orderBy(F.desc("lexical"), "bm25", F.desc("similarity"), key)
     merged = merged.withColumn("lexical_rank", F.when(F.col("lexical") > 0, F.row_number().over(order)))
@@ -174,19 +248,34 @@ def hybrid_search(chunks: DataFrame, vector: list[float], query: list[str], want
     return merged.withColumn("score", score).withColumn("rank", F.row_number().over(W.orderBy(*final))).where(F.col("rank") <= wanted)
 
 
-def fresh_hits(hits: DataFrame, live: DataFrame) -> DataFrame:
-    """Hits whose page, found by key or else by id, still has their content hash; anything unclear is hidden."""
-    by_key = live.select("page_key", F.col("content_hash").alias("_k"))
-    by_id = live.select("page_id", F.col("content_hash").alias("_i"))
+def ranked_search(chunks: DataFrame, vector: list[float], query: list[str], wanted: int, threshold: float) -> DataFrame:
+    """`hybrid_search` where bm25, over words and their stems, breaks ties of coverage."""
+    return hybrid_search(chunks, vector, query, wanted, threshold, bm25(chunks, query) if query else None)
+
+
+def _with_live(hits: DataFrame, live: DataFrame) -> DataFrame:
+    """Hits with the page found by key, or else by id: _key, _id and _hash."""
+    page = F.struct("page_key", "page_id", "content_hash")
+    by_key = live.select("page_key", page.alias("_k"))
+    by_id = live.select("page_id", page.alias("_i"))
     joined = hits.join(by_key, "page_key", "left").join(by_id, "page_id", "left")
     known = F.coalesce(F.when(F.startswith("page_key", F.lit("page://")), F.col("_k")), F.col("_i"))
-    return joined.where((known == F.col("content_hash")) & (F.col("content_hash") != "")).drop("_k", "_i")
+    return joined.withColumns({"_key": known["page_key"], "_id": known["page_id"], "_hash": known["content_hash"]}).drop("_k", "_i")
+
+
+def fresh_hits(hits: DataFrame, live: DataFrame) -> DataFrame:
+    """Hits whose page, found by key or else by id, still has their content hash; anything unclear is hidden."""
+    return _with_live(hits, live).where((F.col("_hash") == F.col("content_hash")) & (F.col("content_hash") != "")).drop("_key", "_id", "_hash")
+
+
+def stale_pages_of(hits: DataFrame, live: DataFrame) -> DataFrame:
+    """page_key, page_id of the pages that are there but whose hits are hidden as they have another content hash: to be queued where they aren't yet."""
+    stale = (F.coalesce("content_hash", F.lit("")) == "") | (F.col("_hash") != F.col("content_hash"))
+    return _with_live(hits, live).where(F.col("_key").isNotNull() & stale).select(F.col("_key").alias("page_key"), F.col("_id").alias("page_id")).distinct()
 
 
 def entry(rank: str = "rank") -> Column:
     """A hit as a numbered entry of the context."""
-    from ..functions.texts import excerpt
-
     return F.concat(F.format_string("[%d] %s\nURL: %s\nSemantische Ähnlichkeit: %.2f\n", F.col(rank), F.col("title"), F.col("url"), F.col("similarity")), excerpt(F.col("chunk_text")), F.lit("\n\n"))
 
 

@@ -314,7 +314,7 @@ def index_stats(spark, d):
 @query("index_state", f"WITH {CHUNKS}, {STORED}, {STATS} SELECT CASE WHEN incompatible_pages > 0 THEN 'error' ELSE 'incomplete' END AS state, least(100, round(100.0 * compatible_pages / e.n))::INTEGER AS percent FROM stats, (SELECT count(*) AS n FROM docs) e")
 def index_state(spark, d):
     eligible = S.extracted(spark, d).agg(F.count(F.lit(1)).alias("eligible"))
-    facts = {"configured": F.lit(True), "lifecycle_error": F.lit(False), "pending": F.lit(0), "failed": F.lit(0), "stale": F.lit(0)}
+    facts = {"lifecycle_error": F.lit(""), "pending": F.lit(0), "failed": F.lit(0), "stale": F.lit(0)}
     one = index.statistics(_stored(spark, d), "fixture").join(F.broadcast(eligible)).withColumns(facts)
     return one.select(index.index_state().alias("state"), index.percent(F.col("compatible_pages"), F.col("eligible")).alias("percent"))
 
@@ -463,9 +463,15 @@ def context_budget(spark, d):
     return search.within_budget(hits.withColumn("entry", T.excerpt(F.col("chunk_text")))).select("id", "chars")
 
 
-@query("knowledge_search")
+@query(
+    "knowledge_search",
+    (HYBRID + f""", texts AS (SELECT *, trim(regexp_replace(chunk_text, '[\\s\\p{{Z}}]+', ' ', 'g')) AS x FROM hits WHERE rank <= 5),
+entries AS (SELECT *, printf('[%d] %s', rank, title) || chr(10) || 'URL: ' || url || chr(10) || 'Semantische Ähnlichkeit: ' || printf('%.2f', sim) || chr(10) || {_EX} || chr(10) || chr(10) AS entry FROM texts),
+sums AS (SELECT *, sum(length(entry)) OVER (ORDER BY rank) AS chars FROM entries)
+SELECT rank::INTEGER AS rank, page_id, url, title, round(sim, 6) AS similarity, entry FROM sums WHERE rank = 1 OR chars <= 4000""").replace("POOL", "80").replace("THRESHOLD", "0.25"),
+)
 def knowledge_search(spark, d):
-    return search.knowledge_search(S.chunks(spark, d), S.extracted(spark, d), _vector(spark, d), WORDS)
+    return _round(search.knowledge_search(S.chunks(spark, d), S.extracted(spark, d), _vector(spark, d), WORDS), "similarity")
 
 
 @query("related_summaries", f"WITH {DOCS}, l AS (SELECT page_key, unnest([doc_id + 1, doc_id + 3, doc_id + 2]) AS o, unnest([0, 1, 2]) AS pos FROM docs) SELECT l.page_key, string_agg(p.title || ': ' || substr(p.text, 1, 500), chr(10) ORDER BY pos) AS summaries FROM l JOIN docs p ON p.doc_id = o GROUP BY l.page_key")
@@ -523,9 +529,12 @@ def html_clean(spark, d):
     return S.table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query("hmac_keys")
+_PADS = [bytes(b ^ pad for b in b"secret".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@query("hmac_keys", f"SELECT event_id, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(user_id::VARCHAR)))) AS key FROM events")
 def hmac_keys(spark, d):
-    return S.table(spark, d, "events").select("event_id", T.keyed_hash("secret")(F.col("user_id").cast("string")).alias("key"))
+    return S.table(spark, d, "events").select("event_id", T.keyed_hash("secret", F.col("user_id").cast("string")).alias("key"))
 
 
 @query("run_results", "SELECT sum(1)::BIGINT AS indexed, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS failed, bool_or(user_id = 3) AS busy FROM events")
@@ -543,7 +552,16 @@ def rate_limit_single(spark, d):
     return limits.single_limit(_requests(spark, d), "session", 86400, 5).select("request_id", "allowed")
 
 
-@query("rate_limit_coupled")
+@query(
+    "rate_limit_coupled",
+    """WITH RECURSIVE r AS (SELECT event_id AS request_id, floor(epoch(ts))::BIGINT AS t, user_id AS s, user_id % 40 AS i, floor(epoch(ts) / 86400)::BIGINT AS day, floor(epoch(ts) / 60)::BIGINT AS minute FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY t, request_id) AS n FROM r),
+f AS (SELECT DISTINCT day, 0::BIGINT AS n, 0::BIGINT AS spent, -1::BIGINT AS minute, []::BIGINT[] AS ss, []::BIGINT[] AS ii, NULL::BIGINT AS request_id, false AS allowed, 0::BIGINT AS retry_after FROM o
+  UNION ALL SELECT day, n, spent + ok::BIGINT, minute, CASE WHEN ok THEN list_append(ss, s) ELSE ss END, CASE WHEN ok THEN list_append(ii, i) ELSE ii END, request_id, ok, CASE WHEN ok THEN 0 WHEN spent >= 300 THEN greatest(1, (day + 1) * 86400 - t) ELSE greatest(1, (minute + 1) * 60 - t) END
+  FROM (SELECT *, NOT (list_contains(ss, s) OR list_contains(ii, i) OR spent >= 300) AS ok FROM (
+    SELECT o.day, o.n, f.spent, o.minute, CASE WHEN f.minute = o.minute THEN f.ss ELSE [] END AS ss, CASE WHEN f.minute = o.minute THEN f.ii ELSE [] END AS ii, o.request_id, o.s, o.i, o.t FROM f JOIN o ON o.day = f.day AND o.n = f.n + 1)))
+SELECT request_id, allowed, retry_after FROM f WHERE n > 0""",
+)
 def rate_limit_coupled(spark, d):
     return limits.coupled_limits(_requests(spark, d), 1, 1, 300)
 
@@ -569,7 +587,13 @@ def enabled_tools(spark, d):
     return S.enabled_tools(S.table(spark, d, "events").select(F.col("event_type").alias("name"), (F.col("event_id") % 2 == 0).cast("string").alias("enabled"), F.col("event_id").alias("pos"), F.concat(F.lit("d"), "event_id").alias("definition")))
 
 
-@query("embed_documents")
+@query(
+    "embed_documents",
+    """WITH w AS (SELECT doc_id, ('0x' || substr(md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '[^ \\t\\n\\r\\f\\v]+'))), 1, 8))::BIGINT AS h FROM documents),
+c AS (SELECT doc_id, (h // 2) % 64 AS place, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS n FROM w GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(n * n)) AS long FROM c GROUP BY doc_id),
+g AS (SELECT doc_id, range AS place FROM documents, range(64))
+SELECT doc_id, 64 AS dims, list(round(coalesce(n / CASE WHEN long > 0 THEN long ELSE 1 END, 0)::FLOAT::DOUBLE, 6) ORDER BY place) AS embedding FROM g LEFT JOIN c USING (doc_id, place) LEFT JOIN l USING (doc_id) GROUP BY doc_id""",
+)
 def embed_documents(spark, d):
     return S.embedded(S.extracted(spark, d).select("doc_id", F.col("text").alias("chunk_text")), S.HashedEmbeddings()).select("doc_id", "dims", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
@@ -580,3 +604,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from . import upkeep  # noqa: E402,F401  adds its queries

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Mapping
 from typing import Protocol
 
@@ -65,13 +66,15 @@ def setting(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values])
 
 
-def clamp(value: int | float | None, low, high, default):
-    """A setting within its bounds."""
-    return default if value is None else min(high, max(low, value))
+#: Least, greatest and default value of the settings.
+LIMITS = {"top_k": (1, 20, 5), "min_similarity": (0.0, 1.0, 0.25), "max_chars": (500, 12000, 4000), "chunk_chars": (300, 4000, 1200), "overlap": (0, 1000, 200), "dims": (1, 32768, 1536)}
 
 
-#: Bounds and defaults of the settings.
-LIMITS = {"top_k": (1, 20, 5), "min_similarity": (0.0, 1.0, 0.25), "max_chars": (500, 12000, 4000), "chunk_chars": (300, 4000, 1200), "overlap": (0, 1000, 200), "dims": (1, 32768, 1536)}
+def bounded(name: str, value: Column) -> Column:
+    """A setting within its bounds; one that is null or no number is the default."""
+    low, high, default = LIMITS[name]
+    kind = "double" if isinstance(low, float) else "int"
+    return F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(value.try_cast("double"), F.lit(float(default))))).cast(kind)
 
 
 def enabled_tools(rows: DataFrame) -> DataFrame:
@@ -86,6 +89,11 @@ def upserted_meta(stored: DataFrame, changes: DataFrame) -> DataFrame:
     return every.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
+def meta_value(stored: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, value of `keys` (key, default): what is stored, or else the default."""
+    return keys.join(stored.select("key", "value"), "key", "left").select("key", F.coalesce("value", "default").alias("value"))
+
+
 class EmbeddingProvider(Protocol):
     """Vectors in the order of the texts."""
 
@@ -104,13 +112,13 @@ class HashedEmbeddings:
         self.dims = dims
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.dims), np.float32)
+        out = np.zeros((len(texts), self.dims))
         for row, text in zip(out, texts):
-            for w in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                row[h % self.dims] += 1 if h >> 63 else -1
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(norms > 0, norms, 1)).tolist()
+            for w in re.findall(r"[^ \t\n\r\f\v]+", text.lower()):
+                h = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+                row[h // 2 % self.dims] += 1 if h % 2 else -1
+        norms = np.sqrt((out * out).sum(1, keepdims=True))
+        return (out / np.where(norms > 0, norms, 1)).astype(np.float32).tolist()
 
 
 def embedded(rows: DataFrame, provider: EmbeddingProvider, batch: int = 96) -> DataFrame:
