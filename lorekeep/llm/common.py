@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,10 +42,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, tables that `written` makes are deleted at its end; those to `keep` outlive it, up to the scratch around it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        sc = spark.sparkContext
+        for name in _SCRATCH.pop():
+            path = sc._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """`df` written as a Parquet table in the shared folder and read again."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,14 +84,6 @@ def in_arrow(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Ite
     return rows.mapInArrow(lambda batches: function(small(batches)), schema)
 
 
-def small_batches(rows: DataFrame) -> DataFrame:
-    """`rows`, to be sent to Python in batches whose size bounds a worker's memory, however long the texts are."""
-    conf = rows.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return rows
-
-
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
@@ -84,13 +95,30 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A node with more than this share of all edges is a hub; so there are fewer than twice its inverse.
+HUB_SHARE = 1 / 1000
+#: Edges that are one key in any case.
+LEAST_HUB = 1000
+
+
+def _by_node(edges: DataFrame, least: DataFrame, hubs: list[tuple[int, int]]) -> DataFrame:
+    """`edges` (a, b) joined with `least` (a, m). A hub's edges are dealt over as many keys as it has such shares of the edges."""
+    if not hubs:
+        return edges.join(least, "a")
+    known = F.broadcast(edges.sparkSession.createDataFrame(hubs, "a long, keys long"))
+    dealt = edges.join(known, "a", "left").select("a", "b", F.when(F.col("keys").isNotNull(), F.pmod(F.xxhash64("b"), F.col("keys"))).otherwise(0).alias("key"))
+    spread = least.join(known, "a", "left").select("a", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("keys", F.lit(1)) - 1)).alias("key"))
+    return dealt.join(spread, ["a", "key"]).drop("key")
+
+
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """node, comp: each node of `edges` (a, b: long) with the smallest node that links lead to.
 
     Alternates large-star and small-star steps, each an aggregation and a join on nodes, until the edges stay as they
-    are; every round is checkpointed. A node with very many edges is a skewed join key that adaptive execution splits.
+    are; every round is a written table. Counts and least neighbours are aggregated before the shuffle, and the edges of hubs
+    are dealt over many keys. The driver holds the hubs alone, fewer than 2 / HUB_SHARE of them.
     """
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     seen = None
     for _ in range(most_rounds):
         state = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
@@ -98,11 +126,14 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
             break
         seen = (state.n, state.x)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        share = max(state.n * HUB_SHARE, LEAST_HUB)
+        degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        hubs = [(r.a, 1 + int(r.n / share)) for r in degrees.where(F.col("n") > share).collect()] if state.n > share else []
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        now = checkpointed(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
+        large = _by_node(both, least, hubs).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # each of these edges stems from one of its node's, so its hubs are among the known ones
+        small = _by_node(large, large.groupBy("a").agg(F.min("b").alias("m")), hubs).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        now = written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "components")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())

@@ -18,6 +18,7 @@ Only links between sets not joined before are kept, which leaves the components
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, in_arrow, table, text_or_empty, written
+from .common import components, in_arrow, scratch, table, text_or_empty, written
 from .tokens import slices
 
 WORDS = 5
@@ -36,9 +37,13 @@ PERCENT = 75
 BLOCK = 256
 #: Bins of a set's sketch.
 BINS = 128
-#: Slots of the table of counts that orders the tokens, and bits of the filter of the sets that are needed.
+#: Slots of the table of counts that orders the tokens, and tasks that sum such tables.
 SLOTS = 1 << 15
-FILTER_BITS = 1 << 23
+SUMS = 16
+#: Least and most bits of the filter of the sets that are needed: eight for each set, between these.
+FILTER_BITS = (1 << 20, 1 << 28)
+#: Sets that may share a 64-bit name with another one: a few hundred are likely among 10**11.
+MOST_CLASHES = 10_000
 _ODD = [np.uint64(xxhash.xxh3_64_intdigest(f"place {k}") | 1) for k in range(64)]
 
 
@@ -89,17 +94,29 @@ class Shingler:
             return x ^ (x >> np.uint64(32))
 
 
-def _name(tokens: np.ndarray) -> int:
-    """The 64-bit name of a set."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()))))
+def _name(tokens: np.ndarray, seed: int = 0) -> int:
+    """A 64-bit name of a set."""
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed))))
 
 
-def _levels(counts: dict[int, int]) -> np.ndarray:
+def _summed(packed: DataFrame) -> np.ndarray:
+    """The sum of packed vectors of counts: tasks sum what they have, and the driver one vector of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(zlib.decompress(x.as_py()), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["counts"])
+
+    sums = packed.repartition(SUMS).mapInArrow(run, "counts binary").collect()
+    return sum((np.frombuffer(r.counts, "<i8") for r in sums), np.zeros(SLOTS, np.int64))
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
     """For each slot the upper bits of its tokens: quarter octaves above the mean count."""
-    table = np.zeros(SLOTS, np.float64)
-    table[list(counts)] = list(counts.values())
-    mean = max(table.mean(), 1.0)
-    return np.clip(4 * np.log2(np.maximum(table / mean, 1)), 0, 31).astype(np.int64) << 58
+    mean = max(counts.mean(), 1.0)
+    return np.clip(4 * np.log2(np.maximum(counts / mean, 1)), 0, 31).astype(np.int64) << 58
 
 
 def _ordered(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -303,9 +320,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(nodes: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits of the nodes; what passes it by chance only costs a little."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    place = nodes.select(F.pmod("node", F.lit(FILTER_BITS)).alias("p"))
+    """A filter of the nodes, whose size goes with their number; what passes it by chance only costs a little."""
+    size = int(np.clip(1 << max(8 * nodes.count() - 1, 1).bit_length(), *FILTER_BITS))
+    bits = np.zeros(size // 8, np.uint8)
+    place = nodes.select(F.pmod("node", F.lit(size)).alias("p"))
     for r in place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect():
         # place 0 lies in bucket 0 alone; bucket k holds places (k - 1) * 32768 + 1 to k * 32768
         held = np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little"))
@@ -321,36 +339,53 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     whole sequence; a null or empty text has none and links with nothing: its component is itself. Two rows link when
     100 * overlap >= percent * union, equal sets among them. component_id is the smallest doc_id that links lead to.
     Repeated rows give a row each. A null doc_id takes its component's smallest doc_id, null if there is none. Other
-    columns are not read; an empty table gives no rows. Sets and shingles are told apart by 64- and 58-bit hashes.
+    columns are not read; an empty table gives no rows. Sets are told apart by two
+    64-bit hashes, shingles within two sets by 58 bits.
     """
+    with scratch(docs.sparkSession):
+        return written(_classes(docs, words, percent, block), "classes", keep=True)
+
+
+def _classes(docs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     texts = docs.select("doc_id", text_or_empty().alias("text"))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts, seen = Shingler(words), np.zeros(SLOTS, np.int64), set()
-        names = ["doc_id", "n", "node", "sketch", "slot", "count"]
+        names = ["doc_id", "n", "node", "twin", "sketch", "counts"]
         for batch in batches:
             sets = shingles.sets(batch.column(1).to_pylist())
             if sets:
                 counts += np.bincount(np.concatenate(sets) & (SLOTS - 1), minlength=SLOTS)
             n, nodes = len(sets), [_name(s) for s in sets]
-            new = set(_first_seen(nodes, seen))
+            # a set is known by both names here, so that of two sets with one name both have a sketch
+            new = set(_first_seen([(x, _name(s, 1)) for x, s in zip(nodes, sets)], seen))
             sketches = [sketch(s) if k in new else None for k, s in enumerate(sets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
-        slots = np.flatnonzero(counts).astype(np.int32)
-        n = len(slots)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(slots), pa.array(counts[slots])], names)
-
-    read = written(in_arrow(texts, sized, "doc_id long, n long, node long, sketch binary, slot int, count long"), "sets")
-    sized_docs = read.where("slot IS NULL").select("doc_id", "n", "node")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([_name(s, 1) for s in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.binary())], names)
+        # a task's counts are one row
+        nothing = [pa.nulls(1, pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([*nothing, pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.astype("<i8").tobytes(), 1)], pa.binary())], names)
+
+    read = written(in_arrow(texts, sized, "doc_id long, n long, node long, twin long, sketch binary, counts binary"), "sets")
+    levels = _levels(_summed(read.where("counts IS NOT NULL").select("counts")))
+    # different sets of one 64-bit name take their second name; there are none but in the very largest corpora
+    clash = read.where("counts IS NULL").groupBy("node").agg((F.min("twin") != F.max("twin")).alias("c")).where("c").select("node").limit(MOST_CLASHES + 1)
+    clashes = frozenset(r.node for r in clash.collect())
+    if len(clashes) > MOST_CLASHES:
+        raise RuntimeError("too many sets share a name")
+    renamed = F.when(F.col("node").isin(list(clashes)), F.col("twin")).otherwise(F.col("node")) if clashes else F.col("node")
+    read = read.where("counts IS NULL").withColumn("node", renamed)
+    sized_docs = read.select("doc_id", "n", "node")
     sketches = read.where("sketch IS NOT NULL").select("node", "n", "sketch").dropDuplicates(["node"])
-    # SLOTS rows at most, however many documents there are
-    levels = _levels({r.slot: r.n for r in read.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("count").alias("n")).collect()})
+
+    def name(tokens: np.ndarray) -> int:
+        first = _name(tokens)
+        return _name(tokens, 1) if first in clashes else first
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(words), set()
         for batch in batches:
             sets = [s for s in shingles.sets(batch.column(0).to_pylist()) if len(s)]
-            nodes = [_name(s) for s in sets]
+            nodes = [name(s) for s in sets]
             keep = _first_seen(nodes, seen)
             heads = [_ordered(sets[k], levels)[: len(sets[k]) - least_overlap(len(sets[k]), percent) + 1] for k in keep]
             lengths = [len(h) for h in heads]
@@ -367,8 +402,8 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
             shingles, seen = Shingler(words), set()
             for batch in batches:
                 sets = shingles.sets(batch.column(0).to_pylist())
-                names = np.array([_name(s) for s in sets], np.int64)
-                place = names % FILTER_BITS
+                names = np.array([name(s) for s in sets], np.int64)
+                place = names % (8 * len(bits))
                 asked = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).tolist()
                 asked = [asked[k] for k in _first_seen(names[asked].tolist(), seen)]
                 yield pa.RecordBatch.from_arrays([pa.array(names[asked]), pa.array([_ordered(sets[k], levels) for k in asked], pa.list_(pa.int64()))], ["node", "tokens"])
@@ -456,12 +491,12 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, all their columns, whose doc_id is their component's smallest; of equal rows one stays.
 
-    A null doc_id ranks behind all others, as a number drawn from its text."""
+    A null doc_id ranks behind all others, as a number drawn from its text. Any column names are kept, whatever they are."""
     key = F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64(text_or_empty()), F.lit(1 << 61)))
-    rows = docs.withColumn("_key", key)
-    classes = shingle_components(rows.select(F.col("_key").alias("doc_id"), "text"), words, percent)
-    chosen = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
-    return rows.join(chosen, "_key", "left_semi").dropDuplicates(["_key", "text"]).drop("_key")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), "text")
+    classes = shingle_components(rows.select(F.col("key").alias("doc_id"), "text"), words, percent)
+    chosen = classes.where("doc_id = component_id").select(F.col("doc_id").alias("key"))
+    return rows.join(chosen, "key", "left_semi").dropDuplicates(["key", "text"]).select("row.*")
 
 
 def op9_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
