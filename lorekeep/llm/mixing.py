@@ -107,7 +107,7 @@ def available(mass: np.ndarray, goal: np.ndarray, budget: float, axis: int) -> n
 
 def rake(mass: np.ndarray, goals: list[np.ndarray], keep: float, rounds: int = 1000, tolerance: float = 1e-10) -> np.ndarray:
     """Tokens to draw from each cell: at most its mass, `keep` of all in sum, and the goals' shares along every axis where
-    the cells have them. Where goals can't be met together, the last rounds' compromise stands."""
+    the cells have them. Where goals can't be met together, the round with the least deviation from any stands."""
     budget = keep * mass.sum()
     if not budget > 0:
         return np.zeros(mass.shape)
@@ -121,17 +121,21 @@ def rake(mass: np.ndarray, goals: list[np.ndarray], keep: float, rounds: int = 1
             out = out * f.reshape([-1 if k == axis else 1 for k in range(mass.ndim)])
         return out
 
+    best, least, since = np.minimum(scaled(), full), np.inf, 0
     for _ in range(rounds):
-        worst = 0.0
         for axis, want in enumerate(wanted):
             rows = np.moveaxis(scaled(), axis, 0).reshape(len(want), -1)
             most = np.moveaxis(full, axis, 0).reshape(len(want), -1)
-            worst = max(worst, float(np.abs(np.minimum(rows, most).sum(1) - want).max()) / budget)
             for k in range(len(want)):
                 factor[axis][k] *= _scale(rows[k], most[k], want[k])
-        if worst < tolerance:
+        now = np.minimum(scaled(), full)
+        worst = max(float(np.abs(np.moveaxis(now, axis, 0).reshape(len(want), -1).sum(1) - want).max()) for axis, want in enumerate(wanted)) / budget
+        since = 0 if worst < 0.99 * least else since + 1
+        if worst < least:
+            best, least = now, worst
+        if least < tolerance or since > 50:
             break
-    return np.minimum(scaled(), full)
+    return best
 
 
 def _scale(values: np.ndarray, most: np.ndarray, want: float) -> float:
