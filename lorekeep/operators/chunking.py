@@ -46,14 +46,14 @@ def pieces(text: str, target: int, overlap: int, most: int = MOST_CHUNKS) -> lis
     return out
 
 
-def chunked(docs: DataFrame, target: int = 1200, overlap: int = 200) -> DataFrame:
-    """`docs` (title, text and others) with chunk_index and chunk_text, a row for each chunk.
+def chunked(docs: DataFrame, target: int = 1200, overlap: int = 200, most: int | None = MOST_CHUNKS) -> DataFrame:
+    """`docs` (title, text and others) with chunk_index and chunk_text, a row for each chunk, the first `most` of a document or all.
 
     Where a chunk ends depends on the one before it, so a text is cut in one Arrow call; documents stay spread."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pieces(t, target, overlap) if t else [])
+        return texts.map(lambda t: pieces(t, target, overlap, most or len(t)) if t else [])
 
     rows = docs.select("*", F.posexplode(cut(chunk_normalized(F.col("text")))).alias("chunk_index", "_piece"))
     return rows.withColumn("chunk_text", with_title(F.col("title"), F.col("_piece"))).drop("_piece")

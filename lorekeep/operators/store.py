@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import words as L
-from ..functions.texts import content_hash, trimmed
+from ..functions.texts import content_hash, index_fingerprint, trimmed
 from ..sources import tables as S
 from . import chunking, index, queue, search
 
@@ -22,8 +22,9 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, pages: DataFrame, provider: S.EmbeddingProvider, chunk_chars: int = 1200, overlap: int = 200):
         self.spark, self.root, self.pages, self.provider = spark, root.rstrip("/"), pages, provider
-        self.sizes = (chunk_chars, overlap)
-        self.fingerprint = f"{provider.model}/{provider.dims}/{chunk_chars}/{overlap}"
+        self.sizes = (S.within("chunk_chars", chunk_chars), S.within("overlap", overlap))
+        made = index_fingerprint(F.lit(getattr(provider, "base_url", "")), F.lit(provider.dims), F.lit(provider.model), *map(F.lit, self.sizes))
+        self.fingerprint = spark.range(1).select(made.alias("f")).first().f
 
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
@@ -90,8 +91,8 @@ class Store:
         stale = index.stale_pages(self.chunks(), self.live()).agg(F.count(F.lit(1)).alias("stale"))
         return facts.join(stale).withColumn("lifecycle_error", F.lit("")).withColumn("state", index.index_state()).drop("lifecycle_error").first().asDict()
 
-    def find(self, text: str, top_k: int = 5, threshold: float = 0.25) -> DataFrame:
-        """The entries that a question finds among the chunks that the present settings can search."""
+    def find(self, text: str, top_k: int | None = None, threshold: float | None = None, most: int | None = None) -> DataFrame:
+        """The entries that a question finds among the chunks that the present settings can search; settings keep within their bounds."""
         fitting = S.compatible(self.chunks(), self.provider.model, self.provider.dims, self.fingerprint)
         tokens = self.spark.range(1).select(L.tokens(F.lit(text)).alias("t")).first().t
-        return search.knowledge_search(fitting, self.live(), self.provider.embed([text])[0], tokens, top_k, threshold)
+        return search.knowledge_search(fitting, self.live(), self.provider.embed([text])[0], tokens, S.within("top_k", top_k), S.within("min_similarity", threshold), S.within("max_chars", most))

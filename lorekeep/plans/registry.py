@@ -524,7 +524,12 @@ def blocks_text(spark, d):
     return S.table(spark, d, "documents").select("doc_id", T.blocks_text(blocks).alias("text"))
 
 
-@query("html_clean")
+_BARE = r"regexp_replace(regexp_replace(html, '(?i)<\s*(?:br\s*/?|/(?:p|h[1-6]|li|div)\s*)[^>]*>', chr(10), 'g'), '(?s)<!--.*?-->|</?[a-zA-Z!?][^<>]*(?:>|$)', '', 'g')"
+# the entities that the tables' pages hold
+_DECODED = f"replace(replace(replace(replace({_BARE}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query("html_clean", f"SELECT page_id, {NORMAL.format('t')} AS text FROM (SELECT page_id, {_DECODED} AS t FROM pages)")
 def html_clean(spark, d):
     return S.table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 

@@ -262,3 +262,25 @@ def run_errors(spark, d):
 )
 def rate_limit_per_minute(spark, d):
     return limits.coupled_limits(_requests(spark, d), 0, 1, 0).select("request_id", "allowed")
+
+
+@query(
+    "index_lists",
+    f"WITH {CHUNKS}, {STORED} SELECT list_sort(list(DISTINCT 'm' || id % 3)) AS models, list_sort(list(DISTINCT (dims + id % 2)::INTEGER)) AS dims, list_sort(list(DISTINCT fp)) AS fingerprints FROM stored",
+)
+def index_lists(spark, d):
+    rows = _stored(spark, d).withColumns({"embedding_model": F.concat(F.lit("m"), (F.col("id") % 3).cast("string")), "dims": (F.col("dims") + F.col("id") % 2).cast("int")})
+    return index.statistics(rows, "fixture").select("models", "dims", "fingerprints")
+
+
+@query(
+    "run_results_all",
+    "SELECT sum(event_id % 3)::BIGINT AS indexed, sum(event_id % 5)::BIGINT AS skipped, sum(event_id % 2)::BIGINT AS deleted, count(*) FILTER (event_type = 'error')::BIGINT AS failed, sum(event_id % 7)::BIGINT AS chunks,"
+    " sum(CASE WHEN event_type = 'error' THEN 2 ELSE 0 END)::BIGINT AS n_errors, bool_or(user_id = 3) AS busy FROM events",
+)
+def run_results_all(spark, d):
+    error = F.col("event_type") == "error"
+    rows = S.table(spark, d, "events").select(
+        *[(F.col("event_id") % n).alias(c) for c, n in (("indexed", 3), ("skipped", 5), ("deleted", 2), ("chunks", 7))], error.cast("int").alias("failed"), F.when(error, F.array(F.lit("a"), F.lit("b"))).alias("errors"), (F.col("user_id") == 3).alias("busy")
+    )
+    return index.merged_results(rows)

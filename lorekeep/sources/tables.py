@@ -77,6 +77,12 @@ def bounded(name: str, value: Column) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(value.try_cast("double"), F.lit(float(default))))).cast(kind)
 
 
+def within(name: str, value: float | None):
+    """`bounded` for a value of the caller's."""
+    low, high, default = LIMITS[name]
+    return default if value is None else min(high, max(low, value))
+
+
 def enabled_tools(rows: DataFrame) -> DataFrame:
     """Named and enabled tools of (name, enabled, pos, definition); a later row of a name replaces earlier ones."""
     named = rows.where((F.coalesce("name", F.lit("")) != "") & F.lower(F.col("enabled")).isin("1", "true", "on", "yes"))
@@ -103,6 +109,14 @@ class EmbeddingProvider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+def in_order(items: list[tuple[int, list[float]]], n: int) -> list[list[float]]:
+    """The vectors of (index, vector) items by index, as services may answer in any order; each of the n indexes must be there once."""
+    found = dict(items)
+    if len(items) != n or sorted(found) != list(range(n)):
+        raise ValueError("the provider's indexes aren't those of the texts")
+    return [found[k] for k in range(n)]
+
+
 class HashedEmbeddings:
     """A provider without a network: counts of hashed words, so equal texts have equal vectors."""
 

@@ -108,6 +108,23 @@ def test_search_reads_chunks_in_one_pass(spark):
     assert wide and all("chunk_text" not in line.split("MapInArrow")[1] for line in wide)
 
 
+def test_provider_order():
+    assert tables.in_order([(1, [2.0]), (0, [1.0])], 2) == [[1.0], [2.0]]
+    for items in ([(0, [1.0])], [(0, [1.0]), (0, [2.0])], [(0, [1.0]), (2, [2.0])]):
+        with pytest.raises(ValueError):
+            tables.in_order(items, 2)
+    assert [tables.within("top_k", v) for v in (None, 0, 7, 99)] == [5, 1, 7, 20]
+
+
+def test_long_documents_have_no_cap_where_none_is_asked_for(spark):
+    from lorekeep.operators import chunking
+
+    text = "A sentence of some words. " * 12_000
+    df = spark.createDataFrame([("t", text)], "title string, text string")
+    want = len(chunking.pieces(text, 1200, 200, most=10**9))
+    assert chunking.chunked(df).count() == chunking.MOST_CHUNKS < want == chunking.chunked(df, most=None).count()
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, []), (5, [2.0, 0.0]), (6, [0.0, 0.0]), (7, [1.0])]
     c = spark.createDataFrame([(k, f"p{k}", 0, "t", "x", v) for k, v in rows], "id long, page_key string, chunk_index int, title string, chunk_text string, embedding array<float>")
