@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_arrow, table, text_or_empty
+from .common import in_arrow, scratch, table, text_or_empty, written
 
 #: Labelled rows that a fit uses at most, those whose doc_ids have the smallest hashes.
 MAX_LABELLED = 20_000
@@ -121,15 +121,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """A model from at most `max_labelled` rows of `labels` (doc_id, quality) that aren't held out, and their documents.
 
     A fifth of them calibrates, the rest fits the ridge. Null labels and labels without a document are passed over; with
-    labels of one kind only, or none, every score is their mean, or 0.5.
+    labels of one kind only, or none, every score is their mean, or 0.5. The sample's statistics are kept until the fit stands.
     """
+    with scratch(docs.sparkSession):
+        return _fitted(docs, labels, max_labelled)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Model:
     chosen = (
         labels.where(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
     # the sample has max_labelled rows of two numbers at most
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    known = checkpointed(_with_statistics(rows.select("doc_id", "y", "text"), "doc_id long, y double").repartition(PARTS))
+    known = written(_with_statistics(rows.select("doc_id", "y", "text"), "doc_id long, y double").repartition(PARTS), "labelled")
     known = known.withColumn("tuning", F.pmod(F.xxhash64("doc_id", F.lit("tuning")), F.lit(5)) == 0)
     each = [F.col("stats")[k] for k in range(N_STATISTICS)]
     seen = known.agg(F.avg("y").alias("y"), F.min("y").alias("low"), F.max("y").alias("high"), F.array(*map(F.avg, each)).alias("mean"), F.array(*map(F.stddev_pop, each)).alias("scale")).first()
