@@ -121,9 +121,8 @@ def _decoded(text: pd.Series) -> pd.Series:
 def html_text(markup: Column) -> Column:
     """`clean_html` as an expression: patterns run in Spark, and only entities, for which it has no function, go to Python, for rows that hold one."""
     text = F.regexp_replace(F.regexp_replace(markup, "(?i)" + _BREAK.pattern, "\n"), "(?s)" + _TAG.pattern, "")
-    # a row without an entity sends a null
-    held = text.rlike(_ENTITY.pattern)
-    return chunk_normalized(F.when(held, _decoded(F.when(held, text))).otherwise(text))
+    # a row without an entity sends a null, and then its text stands
+    return chunk_normalized(F.coalesce(_decoded(F.when(F.contains(markup, F.lit("&")), text)), text))
 
 
 def keyed_hash(secret: str, value: Column) -> Column:

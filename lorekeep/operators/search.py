@@ -83,7 +83,7 @@ def scored(chunks: DataFrame, vector: list[float], query: list[str], pool: int,
     Each task keeps its best rows, so what leaves it is bounded by `pool`; the lists are cut again by who asks. Ids are long."""
     wanted = np.array(unit(vector))
     patterns = [L.word_pattern(q) for q in query]
-    text = F.lower(F.concat_ws("\n", "title", "chunk_text")) if query else F.lit("")
+    text = _searched() if query else F.lit("")
     rows = chunks.select("id", "embedding", text.alias("text"))
     rows = rows.withColumn("bm25", F.lit(float("inf"))) if ranked is None else rows.join(ranked.select("id", "bm25"), "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(float("inf"))))
 
@@ -91,12 +91,10 @@ def scored(chunks: DataFrame, vector: list[float], query: list[str], pool: int,
         kept: dict[str, np.ndarray] = {"id": np.zeros(0, np.int64), **{c: np.zeros(0) for c in SCORED[1:]}}
         for batch in batches:
             n = batch.num_rows
-            near, held = np.full(n, np.nan), np.zeros(n)
+            near, held = np.full(n, np.nan), _shares(batch.column("text"), patterns) if patterns else np.zeros(n)
             for at, unit_rows in _rows(batch.column("embedding")):
                 near[at] = _dots(unit_rows, wanted)
-            for pattern in patterns:
-                held += pc.match_substring_regex(batch.column("text"), pattern).to_numpy(zero_copy_only=False)
-            new = {"id": batch.column("id").to_numpy(), "similarity": near, "lexical": held / len(patterns) if patterns else held, "bm25": batch.column("bm25").to_numpy()}
+            new = {"id": batch.column("id").to_numpy(), "similarity": near, "lexical": held, "bm25": batch.column("bm25").to_numpy()}
             kept = _best({k: np.concatenate([v, new[k]]) for k, v in kept.items()}, pool)
         yield pa.RecordBatch.from_arrays([pa.array(kept[c]) for c in SCORED], list(SCORED))
 
@@ -182,7 +180,27 @@ def batch_vector_search(chunks: DataFrame, queries: DataFrame, k: int, shard_row
 
 
 def coverage(query: list[str]) -> Column:
-    return L.coverage(query, L.tokens(F.concat_ws("\n", "title", "chunk_text")))
+    """The share of query words that title or text match: one pattern a word over Arrow batches, which gives what `words.coverage` gives."""
+    if not query:
+        return F.lit(0.0)
+    patterns = [L.word_pattern(q) for q in query]
+
+    @F.arrow_udf("double")
+    def held(texts: pa.Array) -> pa.Array:
+        return pa.array(_shares(texts, patterns))
+
+    return held(_searched())
+
+
+def _searched() -> Column:
+    return F.lower(F.concat_ws("\n", "title", "chunk_text"))
+
+
+def _shares(texts: pa.Array, patterns: list[str]) -> np.ndarray:
+    hits = np.zeros(len(texts))
+    for pattern in patterns:
+        hits += pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+    return hits / len(patterns)
 
 
 def lexical_candidates(chunks: DataFrame, query: list[str], pool: int) -> DataFrame:

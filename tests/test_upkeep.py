@@ -76,8 +76,10 @@ def test_coverage_is_the_expression(spark):
     chunks = tables.chunks(spark, SF)
     for query in (["thing", "nationen", "welchen", "uber"], ["größe"]):
         got = {r.id: r.lexical for r in search.scored(chunks, [1.0] * 64, query, 10_000).collect()}
-        want = {r.id: r.c for r in chunks.select("id", search.coverage(query).alias("c")).collect()}
+        words_of = words.tokens(F.concat_ws("\n", "title", "chunk_text"))
+        want = {r.id: r.c for r in chunks.select("id", words.coverage(query, words_of).alias("c")).collect()}
         assert got == want
+        assert {r.id: r.c for r in chunks.select("id", search.coverage(query).alias("c")).collect()} == want
 
 
 def test_ranked_search_finds_stems_as_sqlite_does(spark):
