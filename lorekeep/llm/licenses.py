@@ -1,8 +1,11 @@
 """Licence scan by a trained paragraph classifier (operator 6).
 
 A logistic regression on sparse word n-grams tells licence families and "unknown" apart, line by line and over windows of
-lines that no blank line parts, as notices are usually wrapped. It is trained on variants of short licence notices and on paragraphs of a bounded sample of documents; its probabilities are
-calibrated by a temperature on variants kept aside. A prediction stands only where a template of the family confirms it.
+lines that no blank line parts, as notices are usually wrapped. It is trained on variants of short licence notices, on near
+misses (notices of licences that are no family here) and on paragraphs of a bounded sample of documents; its probabilities are
+calibrated by a temperature on variants kept aside. A prediction stands only where a template of the family confirms it: the
+paragraph holds most of the template's pairs of words, the words that tell the family from its kin (versions, modifiers) are
+among what was matched, and words of its kin are not.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import in_arrow, table, text_or_empty
 
 UNKNOWN = "unknown"
-#: Documents whose paragraphs teach what no licence looks like, paragraphs of each, and characters of each.
-SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS, SAMPLE_CHARS = 300, 20, 2000
+#: Documents whose paragraphs teach what no licence looks like, paragraphs of each, and the longest paragraph taken.
+SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS, SAMPLE_CHARS = 300, 20, 20_000
 MIN_PROBABILITY = 0.5
 MIN_SIMILARITY = 0.6
 #: A wrapped notice lies within so many times the words of its template.
@@ -30,22 +33,37 @@ SEED = 6
 
 #: Notices of each family, as their licences or common usage word them.
 TEMPLATES = {
+    "agpl": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Released under the BSD 3-Clause License.",
-        "Licensed under the BSD 2-Clause License.",
-    ],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0."],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Licensed under the BSD License."],
+    "bsd-2-clause": ["Licensed under the BSD 2-Clause License.", "Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "bsd-3-clause": ["Released under the BSD 3-Clause License.", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "This work is licensed under the GNU General Public License, version 2.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
+    "isc": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "SPDX-License-Identifier: ISC"],
+    "lgpl": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -57,6 +75,36 @@ TEMPLATES = {
     "public-domain": ["This work is dedicated to the public domain under CC0 1.0 Universal.", "This is free and unencumbered software released into the public domain."],
     "reserved": ["All rights reserved.", "Copyright 2020 the authors. All rights reserved.", "No part of this publication may be reproduced without prior written permission."],
 }
+#: Notices of licences that are no family here.
+NEAR_MISSES = [
+    "Licensed under the Apache License, Version 1.1.", "Licensed under the Apache License, Version 1.0.", "Licensed under the Mozilla Public License, version 1.1.",
+    "Licensed under the Eclipse Public License, version 2.0.", "Licensed under the zlib License.", "Licensed under the Artistic License 2.0.", "Licensed under the BSD 4-Clause License.",
+    "Released under the Boost Software License, Version 1.0.", "This work is licensed under the GNU Free Documentation License, version 1.3.", "Licensed under the European Union Public Licence, version 1.2.",
+    "The rights of all readers are reserved for another day.", "Permission was granted to the visitors of the garden.", "The public domain of the king lies in the north.",
+]
+_NC, _SA, _ND = {"nc", "noncommercial"}, {"sa", "sharealike"}, {"nd", "noderivatives", "noderivs"}
+_BY, _KIN = {"by", "attribution"}, {"lesser", "library", "lgpl", "affero", "agpl"}
+#: What a match must hold, a word of each set, and what it must not.
+MARKS = {
+    "agpl": ([{"affero", "agpl"}], {"lesser", "lgpl"}),
+    "apache-2.0": ([{"apache"}, {"2.0", "v2", "v2.0"}], {"1.0", "1.1"}),
+    "bsd": ([{"bsd", "redistribution"}], {"4"}),
+    "bsd-2-clause": ([{"bsd"}, {"2"}], {"3", "4"}),
+    "bsd-3-clause": ([{"bsd"}, {"3"}], {"2", "4"}),
+    "cc-by": ([_BY], _NC | _SA | _ND),
+    "cc-by-nc": ([_BY, _NC], _SA | _ND),
+    "cc-by-nc-nd": ([_BY, _NC, _ND], _SA),
+    "cc-by-nc-sa": ([_BY, _NC, _SA], _ND),
+    "cc-by-nd": ([_BY, _ND], _NC | _SA),
+    "cc-by-sa": ([_BY, _SA], _NC | _ND),
+    "gpl": ([{"general", "gpl"}], _KIN),
+    "isc": ([{"isc", "distribute"}], {"mit"}),
+    "lgpl": ([{"lesser", "library", "lgpl"}], {"affero", "agpl"}),
+    "mit": ([{"mit", "deal", "obtaining"}], {"isc"}),
+    "mpl-2.0": ([{"mozilla"}, {"2.0"}], {"1.0", "1.1"}),
+    "public-domain": ([{"domain"}], set()),
+    "reserved": ([{"reserved", "reproduced"}], set()),
+}
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _FAMILIES = [*sorted(TEMPLATES), UNKNOWN]
 
@@ -101,10 +149,26 @@ class Scanner:
             np.add.at(scores, at, self.weights[np.concatenate([np.array(r, np.intp) for r in rows if r])])
         return _softmax(scores / self.temperature)
 
-    def similarity(self, words: list[str], family: str) -> tuple[float, str]:
-        """The largest share of a template's pairs of words that the paragraph holds, among the family's templates."""
-        pairs = set(zip(words, words[1:]))
-        return max((len(pairs & t) / len(t), name) for f, name, t in self.templates if f == family)
+    def similarity(self, words: list[str], family: str, marked: bool = True) -> tuple[float, str]:
+        """The largest share of a template's pairs of words that the paragraph holds, among the family's templates, with `marked` those whose match has its marks."""
+        pairs = list(zip(words, words[1:]))
+        there = set(pairs)
+        best = (0.0, "")
+        for f, name, t in self.templates:
+            if f == family:
+                found = (len(there & t) / len(t), name)
+                if found > best and (found[0] <= 0 or not marked or self._marked(words, [k for k, p in enumerate(pairs) if p in t], family)):
+                    best = found
+        return best
+
+    @staticmethod
+    def _marked(words: list[str], at: list[int], family: str) -> bool:
+        """Whether what was matched, from the first pair to the last, holds the family's marks and none of its kin's."""
+        must, never = MARKS[family]
+        end = at[-1] + 2
+        # a modifier that follows the last matched word belongs to it
+        held = words[at[0] : end + (words[end - 1] in _BY)]
+        return all(not m.isdisjoint(held) for m in must) and never.isdisjoint(held)
 
     def wrapped(self, lines: list[list[str]], min_similarity: float) -> list[tuple[int, int, list[str]]]:
         """First line, last line and words of each place where a run of lines holds `min_similarity` of a template's pairs
@@ -153,7 +217,7 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(paragraphs: list[str], variants: int = 60, rounds: int = 400, decay: float = 1e-3) -> Scanner:
+def train(paragraphs: list[str], variants: int = 40, rounds: int = 300, decay: float = 1e-3) -> Scanner:
     """A scanner from the templates and paragraphs that aren't licences; those that hold a template are left out."""
     rng = np.random.default_rng(SEED)
     vocabulary: dict = {}
@@ -187,6 +251,10 @@ def train(paragraphs: list[str], variants: int = 60, rounds: int = 400, decay: f
                 add(around() + kept + around() if rng.random() < 0.5 else kept, family)
     for words in others:
         add(words, UNKNOWN)
+    for text in NEAR_MISSES:
+        words = words_of(text)
+        for _ in range(variants // 2):
+            add(around() + words + around() if rng.random() < 0.5 else words, UNKNOWN)
     for _ in range(40 * variants):
         # single words of notices in other company say nothing
         add(around() + [known[k] for k in rng.integers(0, len(known), rng.integers(0, 4))] + around(), UNKNOWN)
@@ -211,13 +279,14 @@ def train(paragraphs: list[str], variants: int = 60, rounds: int = 400, decay: f
     return Scanner(vocabulary, weights.astype(float), bias.astype(float), min(np.geomspace(0.25, 4, 33), key=loss), templates)
 
 
-def sample_paragraphs(docs: DataFrame) -> list[str]:
-    """Paragraphs of the SAMPLE_DOCUMENTS documents whose doc_ids have the smallest hashes; for training alone."""
-    few = F.transform(F.slice(F.split(text_or_empty(), "\n"), 1, SAMPLE_PARAGRAPHS), lambda p: F.substring(p, 1, SAMPLE_CHARS))
+def sample_paragraphs(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, paragraphs: int = SAMPLE_PARAGRAPHS, chars: int = SAMPLE_CHARS) -> list[str]:
+    """Whole paragraphs, drawn by hash, of the documents whose doc_ids have the smallest hashes; for training alone. Longer ones than `chars` are not drawn."""
+    lines = F.filter(F.split(text_or_empty(), "\n"), lambda p: (F.trim(p) != "") & (F.char_length(p) <= chars))
+    drawn = F.slice(F.array_sort(F.transform(lines, lambda p, k: F.struct(F.xxhash64("doc_id", k).alias("h"), p.alias("p")))), 1, paragraphs)
     # the ids are chosen first, so tasks send texts of chosen documents alone
-    chosen = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE_DOCUMENTS)
-    found = docs.join(F.broadcast(chosen.distinct()), "doc_id").select("h", few.alias("p")).orderBy("h").limit(SAMPLE_DOCUMENTS).collect()
-    return [p for r in found for p in r.p if p.strip()]
+    chosen = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(documents)
+    found = docs.join(F.broadcast(chosen.distinct()), "doc_id").select("h", F.transform(drawn, lambda x: x["p"]).alias("p")).orderBy("h").limit(documents).collect()
+    return [p for r in found for p in r.p]
 
 
 def scan(docs: DataFrame, scanner: Scanner, min_probability: float = MIN_PROBABILITY, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -249,7 +318,7 @@ def scan(docs: DataFrame, scanner: Scanner, min_probability: float = MIN_PROBABI
             inside = [x for x in found if x["confirmed"] and first <= x["paragraph"] <= last]
             if similarity < min_similarity or any(x["family"] == family for x in inside):
                 continue
-            gone = [x for x in inside if scanner.similarity(words, x["family"])[0] >= x["similarity"]]
+            gone = [x for x in inside if scanner.similarity(words, x["family"], marked=False)[0] >= x["similarity"]]
             found = [x for x in found if x not in gone]
             found.append({"paragraph": first, "family": family, "probability": float(row[k]), "template": template, "similarity": similarity, "confirmed": True})
         return sorted(found, key=lambda x: x["paragraph"])
