@@ -43,6 +43,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 _SCRATCH: list[list[str]] = []
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
@@ -59,12 +60,19 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """`df` written as a Parquet table in the shared folder and read again."""
+    """`df` written as a Parquet table in the shared folder and read again.
+
+    Meanwhile the session sends Arrow batches of 8 MB at most, which bounds the memory of executors whatever is set else."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     if len(_SCRATCH) > keep:
         _SCRATCH[-1 - keep].append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, str(8 << 20))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -114,20 +122,19 @@ def _by_node(edges: DataFrame, least: DataFrame, hubs: list[tuple[int, int]]) ->
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """node, comp: each node of `edges` (a, b: long) with the smallest node that links lead to.
 
-    Alternates large-star and small-star steps, each an aggregation and a join on nodes, until the edges stay as they
-    are; every round is a written table. Counts and least neighbours are aggregated before the shuffle, and the edges of hubs
-    are dealt over many keys. The driver holds the hubs alone, fewer than 2 / HUB_SHARE of them.
+    Alternates large-star and small-star steps, each an aggregation and a join on nodes, until every node has one edge to
+    a root; every round is a written table. Counts and least neighbours are aggregated before the shuffle, and the edges of
+    hubs are dealt over many keys. The driver holds the hubs alone, fewer than 2 / HUB_SHARE of them.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    seen = None
     for _ in range(most_rounds):
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if (state.n, state.x) == seen:
+        both = now.select("a", "b", F.lit(1).alias("up")).union(now.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("up")))
+        degrees = both.groupBy("a").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n"))
+        state = degrees.agg(F.bool_and((F.col("up") == 0) | (F.col("n") == 1)).alias("stars"), F.sum("up").alias("n")).first()
+        if state.stars is None or state.stars:
             break
-        seen = (state.n, state.x)
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.drop("up")
         share = max(state.n * HUB_SHARE, LEAST_HUB)
-        degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         hubs = [(r.a, 1 + int(r.n / share)) for r in degrees.where(F.col("n") > share).collect()] if state.n > share else []
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = _by_node(both, least, hubs).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

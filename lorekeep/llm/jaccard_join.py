@@ -375,7 +375,8 @@ def _classes(docs: DataFrame, words: int, percent: int, block: int) -> DataFrame
     renamed = F.when(F.col("node").isin(list(clashes)), F.col("twin")).otherwise(F.col("node")) if clashes else F.col("node")
     read = read.where("counts IS NULL").withColumn("node", renamed)
     sized_docs = read.select("doc_id", "n", "node")
-    sketches = read.where("sketch IS NOT NULL").select("node", "n", "sketch").dropDuplicates(["node"])
+    # a table of its own, so that joins with it are plain ones, whose hot keys adaptive execution splits
+    sketches = written(read.where("sketch IS NOT NULL").select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
 
     def name(tokens: np.ndarray) -> int:
         first = _name(tokens)
@@ -483,7 +484,9 @@ def _classes(docs: DataFrame, words: int, percent: int, block: int) -> DataFrame
         joined = components(search(rest).union(joined.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
     classes = sized_docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # a large component is one key: aggregated before the shuffle, then joined as a plain table
+    classes = written(classes, "sets-by-component")
+    least = written(classes.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     classes = classes.join(least, "comp").select("node", "component_id")
     return sized_docs.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -504,4 +507,18 @@ def op9_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_prefix_tree_join": op9_prefix_tree_join}
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs that share a shingle, and all that links lead to.
+ORACLE_SQL = {
+    "op9_prefix_tree_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+links AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT l.y, r.low FROM r JOIN links l ON l.x = r.node WHERE r.low < l.y),
+c AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id"""
+}
