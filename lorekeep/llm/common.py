@@ -53,10 +53,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        sc = spark.sparkContext
         for name in _SCRATCH.pop():
-            path = sc._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            _deleted(spark, name)
+
+
+def _deleted(spark: SparkSession, name: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -73,7 +77,17 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH_BYTES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(rows: DataFrame) -> None:
+    """Deletes a table that `written` gave, before its scratch ends."""
+    for paths in _SCRATCH:
+        if rows._written_path in paths:
+            paths.remove(rows._written_path)
+    _deleted(rows.sparkSession, rows._written_path)
 
 
 def partitions(spark: SparkSession) -> int:
