@@ -63,7 +63,7 @@ def _deleted(spark: SparkSession, name: str) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, compression: str = "snappy") -> DataFrame:
     """`df` written as a Parquet table in the shared folder and read again.
 
     Meanwhile the session sends Arrow batches of 8 MB at most, which bounds the memory of executors whatever is set else."""
@@ -74,7 +74,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     before = spark.conf.get(_BATCH_BYTES)
     spark.conf.set(_BATCH_BYTES, str(8 << 20))
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(_BATCH_BYTES, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -82,6 +82,22 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return out
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str, order: str, name: str) -> Iterator[DataFrame]:
+    """`df` as a table in the shared folder, bucketed by `key` and in `order` within it, for passes that group or join by the
+    key without a shuffle of its rows. It is deleted at the end."""
+    spark, n = df.sparkSession, partitions(df.sparkSession)
+    name, path = f"{name}_{uuid.uuid4().hex}", shared_path(spark, name)
+    try:
+        # one file for each bucket
+        rows = df.repartition(n, key).sortWithinPartitions(key, order)
+        rows.write.bucketBy(n, key).sortBy(key, order).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _deleted(spark, path)
+
+
 def discard(rows: DataFrame) -> None:
     """Deletes a table that `written` gave, before its scratch ends."""
     for paths in _SCRATCH:

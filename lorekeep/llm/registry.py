@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "exact_topk", "sharding", "token_counts", "quality_rules", "licenses", "token_files", "quality_model", "jaccard_join", "packing", "centroids", "turn_repair")
+MODULES = ("mixing", "exact_topk", "sharding", "token_counts", "quality_rules", "licenses", "token_files", "quality_model", "jaccard_join", "packing", "centroids", "substrings", "turn_repair")
 
 
 def _gather(what: str) -> dict:
