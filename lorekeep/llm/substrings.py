@@ -28,9 +28,9 @@ from .common import bucketed, partitions, scratch, table, text_or_empty, written
 
 WORDS = 35
 #: Bytes of texts of a block, and windows of a range of columns, about; both bound what a task holds.
-BLOCK_BYTES, RANGE_WINDOWS = 4 << 20, 8_000_000
-#: Blocks and ranges for each partition, so that partitions are even.
-SPREAD = 4
+BLOCK_BYTES, RANGE_WINDOWS = 4 << 20, 4_000_000
+#: Blocks for each partition at least, so that partitions are even; and ranges at least.
+SPREAD, LEAST_RANGES = 2, 8
 #: Columns of the sketch for each byte of text: 64 for each word or so.
 COLUMNS_A_BYTE = 12
 #: Odd bases of the two rolling hashes of windows, and their inverses.
@@ -204,7 +204,8 @@ def dedup_substrings(docs: DataFrame, words: int = WORDS, block_bytes: int = BLO
     size = docs.agg(F.sum(F.octet_length(text)).cast("long")).first()[0] or 0
     width = min(62, max(33, (size * COLUMNS_A_BYTE).bit_length()))
     blocks = max(SPREAD * partitions(spark), -(-size // block_bytes))
-    ranges = min(1 << 31, max(SPREAD * partitions(spark), -(-size // (6 * range_windows))))
+    # ranges grow with the windows alone, as every block may send a slice to each
+    ranges = min(1 << 31, max(LEAST_RANGES, -(-size // (6 * range_windows))))
     rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("at"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("at"), F.lit(blocks)))
     # rows are named and dealt once and then read from the table, so their names and order stay
