@@ -66,6 +66,30 @@ def statistics(stored: DataFrame, fingerprint: str) -> DataFrame:
     ).withColumn("incompatible_pages", F.greatest(F.lit(0), F.col("pages") - F.col("compatible_pages")))
 
 
+def partial_states(stored: DataFrame, bucket: Column) -> DataFrame:
+    """What `statistics` needs of each bucket, where a page's chunks lie in one: a row for each bucket and configuration (fingerprint,
+    model, dims) with its chunks, pages, the time of its last one, and those pages counted here and under no earlier configuration of the
+    page (own_pages), or of its fingerprint (fit_pages). States of other buckets are simply added."""
+    config = F.struct(F.col("index_fingerprint").alias("fingerprint"), F.col("embedding_model").alias("model"), F.col("dims"))
+    each = stored.select(bucket.alias("bucket"), "page_key", config.alias("config"), "indexed_at").groupBy("bucket", "page_key", "config").agg(F.count(F.lit(1)).alias("chunks"), F.max("indexed_at").alias("last"))
+    pages = each.groupBy("bucket", "page_key").agg(F.sort_array(F.collect_list(F.struct("config", "chunks", "last"))).alias("c"))
+    at = pages.select("bucket", "c", F.posexplode("c").alias("pos", "one"))
+    fresh = (F.col("pos") == 0) | ~F.get("c", F.greatest(F.col("pos") - 1, F.lit(0)))["config"]["fingerprint"].eqNullSafe(F.col("one.config.fingerprint"))
+    return at.groupBy("bucket", "one.config").agg(
+        F.sum("one.chunks").alias("chunks"), F.count(F.lit(1)).alias("pages"), F.max("one.last").alias("last"), F.count_if(F.col("pos") == 0).alias("own_pages"), F.count_if(fresh).alias("fit_pages")
+    ).select("bucket", "config.*", "chunks", "pages", "last", "own_pages", "fit_pages")
+
+
+def merged_statistics(states: DataFrame, fingerprint: str) -> DataFrame:
+    """The row of `statistics` from the states of all buckets."""
+    fits = F.col("fingerprint") == fingerprint
+    total = lambda c, where=None: F.coalesce(F.sum(c if where is None else F.when(where, F.col(c))), F.lit(0))
+    return states.agg(
+        total("chunks").alias("chunks"), total("own_pages").alias("pages"), total("chunks", fits).alias("compatible_chunks"), total("fit_pages", fits).alias("compatible_pages"),
+        F.sort_array(F.collect_set("model")).alias("models"), F.sort_array(F.collect_set("dims")).alias("dims"), F.sort_array(F.collect_set("fingerprint")).alias("fingerprints"), F.max("last").alias("last_indexed"),
+    ).withColumn("incompatible_pages", F.greatest(F.lit(0), F.col("pages") - F.col("compatible_pages")))
+
+
 def index_state() -> Column:
     """The state of (pages, compatible_pages, eligible, pending, failed, stale, lifecycle_error: a text): the first that holds of
 
@@ -99,6 +123,11 @@ def run_errors(results: DataFrame, most: int = MOST_ERRORS) -> DataFrame:
     return results.select(F.explode("errors").alias("error")).orderBy("error").limit(most)
 
 
+def all_errors(results: DataFrame, run: str) -> DataFrame:
+    """run, place, error: every error of every run, which in order of (run, place) stand as they came."""
+    return results.select(run, F.posexplode("errors").alias("place", "error"))
+
+
 def related_summaries(links: DataFrame, pages: DataFrame, most: int = 500, policy: Column | None = None) -> DataFrame:
     """page_key, summaries: those of each page's related pages (array `related`), in order, without pages that aren't there or that `policy` hides."""
     shown = pages if policy is None else pages.where(policy)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpointed
+
 MOST_ATTEMPTS = 3
 
 
@@ -41,25 +43,33 @@ def inserted_missing(queue: DataFrame, rows: DataFrame) -> DataFrame:
     return queue.unionByName(rows.join(queue.select("page_key"), "page_key", "left_anti").select(*queue.columns))
 
 
-def _order() -> list[Column]:
+def order() -> list[Column]:
+    """Deletions first, then by age, then as they first came."""
     return [F.when(F.col("operation") == "delete", 0).otherwise(1), F.col("enqueued_at"), F.col("first_seq")]
 
 
 def claimed(queue: DataFrame, n: int | None) -> DataFrame:
     """The next n jobs, or all, that haven't failed too often: deletions first, then by age."""
     rows = queue.where(F.col("attempts") < MOST_ATTEMPTS)
-    return rows if n is None else rows.orderBy(*_order()).limit(n)
+    return rows if n is None else rows.orderBy(*order()).limit(n)
+
+
+def placed(rows: DataFrame, *by: Column | str) -> DataFrame:
+    """`rows` with `position`, from 1, in the order of `by`. Rows are cut into ranges of the whole order, of which the driver only learns the
+    bounds that Spark samples; each range is numbered by itself, behind the counts of those before it, of which there is one a task."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_range", F.spark_partition_id())
+    ranged = checkpointed(ranged.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_range").cast("long"), 33)))
+    sums = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = sums.select("_range", (F.sum("n").over(W.orderBy("_range")) - F.col("n")).alias("_before"))
+    return ranged.join(F.broadcast(before), "_range").withColumn("position", F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
 
 
-def positions(queue: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Jobs with their place in the queue, deletions first. Places are sums over ranges of age and the place within one, so no task orders the whole queue."""
-    kind, span = F.when(F.col("operation") == "delete", 0).otherwise(1), F.floor(F.col("enqueued_at") / seconds)
-    rows = queue.withColumns({"_kind": kind, "_span": span})
-    # one row for each range that has jobs
-    sums = rows.groupBy("_kind", "_span").agg(F.count(F.lit(1)).alias("n"))
-    before = sums.select("_kind", "_span", F.coalesce(F.sum("n").over(W.orderBy("_kind", "_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_kind", "_span").orderBy("enqueued_at", "first_seq"))
-    return rows.withColumn("_place", place).join(before, ["_kind", "_span"]).withColumn("position", F.col("_before") + F.col("_place")).drop("_kind", "_span", "_before", "_place")
+def positions(queue: DataFrame) -> DataFrame:
+    """Jobs with their place in the queue, deletions first; jobs of one time are spread like others."""
+    names = ["_first", "_since", "_seq"]
+    rows = queue.withColumns(dict(zip(names, order())))
+    return placed(rows, *names).drop(*names)
 
 
 def cleared(queue: DataFrame) -> DataFrame:
@@ -74,8 +84,10 @@ def drained(queue: DataFrame, stored: DataFrame, live: DataFrame, troubles: Data
     there or isn't allowed any more, is removed; a page with the stored hash is skipped. Once a deletion fails, the jobs
     behind it wait, as a move's upsert must not overtake it. With `budget`, jobs wait that begin when earlier ones have
     cost (column `cost` of the queue) that much; only then, for the few jobs that one run claims, does a window order them all."""
+    if budget is not None and n is None:
+        raise ValueError("a budget needs a number of jobs")
     cost = F.col("cost") if budget is not None else F.lit(0.0)
-    jobs = claimed(queue.withColumn("_cost", cost), n).select("page_key", "page_id", "operation", "revision", "_cost", F.struct(*_order()).alias("_order"))
+    jobs = claimed(queue.withColumn("_cost", cost), n).select("page_key", "page_id", "operation", "revision", "_cost", F.struct(*order()).alias("_order"))
     jobs = jobs.join(troubles.select("page_key", F.col("error").alias("_error")), "page_key", "left")
     pages = live.select("page_id", F.col("content_hash").alias("_new"), F.lit(True).alias("_there"))
     old = stored.groupBy("page_key").agg(F.min("content_hash").alias("_old"))
@@ -94,14 +106,14 @@ def drained(queue: DataFrame, stored: DataFrame, live: DataFrame, troubles: Data
 
 def after_drain(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The queue after a run: what was done is gone unless it changed meanwhile, and failures have an attempt more."""
-    done = outcomes.where(F.col("outcome").isin("removed", "indexed", "skipped"))
+    done = outcomes.where(F.col("outcome").isin("removed", "withdrawn", "indexed", "skipped"))
     return failed(completed(queue, done), outcomes.where("outcome = 'failed'").select("page_key", "revision", "error"))
 
 
 def drain_result(outcomes: DataFrame) -> DataFrame:
-    """One row: indexed, skipped, deleted, failed and waiting jobs of a run."""
-    names = {"indexed": "indexed", "skipped": "skipped", "deleted": "removed", "failed": "failed", "waiting": "waiting"}
-    return outcomes.agg(*[F.count_if(F.col("outcome") == v).alias(k) for k, v in names.items()])
+    """One row: indexed, skipped, deleted, failed and waiting jobs of a run; a page that is there but not to be indexed (withdrawn) is skipped."""
+    names = {"indexed": ["indexed"], "skipped": ["skipped", "withdrawn"], "deleted": ["removed"], "failed": ["failed"], "waiting": ["waiting"]}
+    return outcomes.agg(*[F.count_if(F.col("outcome").isin(v)).alias(k) for k, v in names.items()])
 
 
 def completed(queue: DataFrame, done: DataFrame) -> DataFrame:
@@ -161,4 +173,4 @@ def moved_subtrees(moves: DataFrame, pages: DataFrame) -> DataFrame:
 
 def rekeyed(pages: DataFrame, old: str, new: str) -> DataFrame:
     """page_id, old_id of the pages below a moved page, which isn't any page whose name only begins alike."""
-    return pages.where(F.startswith("page_id", F.lit(new + "/"))).select("page_id", F.concat(F.lit(old), F.substring("page_id", len(new) + 1, 100_000)).alias("old_id"))
+    return pages.where(F.startswith("page_id", F.lit(new + "/"))).select("page_id", F.concat(F.lit(old), F.right("page_id", F.char_length("page_id") - len(new))).alias("old_id"))

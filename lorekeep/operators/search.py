@@ -305,6 +305,10 @@ def within_budget(entries: DataFrame, most: int = MOST_CHARS, rank: str = "rank"
 
 def knowledge_search(chunks: DataFrame, live: DataFrame, vector: list[float], query: list[str], top_k: int = 5, threshold: float = 0.25, most: int = MOST_CHARS) -> DataFrame:
     """Fresh hits within the budget: rank, page_id, url, title, similarity, entry. More are searched than asked for, as some may be stale."""
-    hits = fresh_hits(hybrid_search(chunks, vector, query, pool_size(top_k), threshold), live)
+    return entries_of(fresh_hits(hybrid_search(chunks, vector, query, pool_size(top_k), threshold), live), top_k, most)
+
+
+def entries_of(hits: DataFrame, top_k: int, most: int = MOST_CHARS) -> DataFrame:
+    """The first `top_k` hits of one search within the budget, as entries."""
     hits = hits.withColumn("rank", F.row_number().over(W.orderBy("rank"))).where(F.col("rank") <= top_k)
     return within_budget(hits.withColumn("entry", entry()), most).select("rank", "page_id", "url", "title", "similarity", "entry")

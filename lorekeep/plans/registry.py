@@ -611,4 +611,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import upkeep  # noqa: E402,F401  adds its queries
+from . import stores, upkeep  # noqa: E402,F401  add their queries

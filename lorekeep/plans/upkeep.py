@@ -135,7 +135,7 @@ def drain_result(spark, d):
 
 @query("queue_positions", f"WITH {EVENTS}, {DEBOUNCED} SELECT page_key, row_number() OVER (ORDER BY CASE operation WHEN 'delete' THEN 0 ELSE 1 END, enqueued_at, first_seq)::BIGINT AS position FROM q")
 def queue_positions(spark, d):
-    return queue.positions(_queue(spark, d), 86400).select("page_key", F.col("position").cast("long").alias("position"))
+    return queue.positions(_queue(spark, d)).select("page_key", F.col("position").cast("long").alias("position"))
 
 
 @query("queue_clear", f"WITH {EVENTS}, {DEBOUNCED} SELECT page_key, revision FROM q WHERE false")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections.abc import Iterator, Mapping
 from typing import Protocol
 
@@ -152,3 +153,65 @@ def embedded(rows: DataFrame, provider: EmbeddingProvider, batch: int = 96) -> D
     kept = rows.drop("embedding", "dims")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInPandas(run, f"{schema}, embedding array<float>, dims int")
+
+
+class Answered:
+    """What a provider says to a batch of texts: tried again with growing waits, brought into the texts' order, and checked."""
+
+    def __init__(self, provider: EmbeddingProvider, tries: int = 3, wait: float = 0.5):
+        self.provider, self.tries, self.wait = provider, tries, wait
+
+    def once(self, texts: list[str]) -> list[list[float]]:
+        # a service that answers in any order gives (index, vector) items
+        items = getattr(self.provider, "embed_items", None)
+        found = in_order(items(texts), len(texts)) if items else self.provider.embed(texts)
+        if len(found) != len(texts) or any(len(v) != self.provider.dims for v in found):
+            raise ValueError("the provider gave other vectors than asked for")
+        return found
+
+    def __call__(self, texts: list[str]) -> tuple[list[list[float]] | None, str | None]:
+        """The vectors, or else the last error's text."""
+        said = None
+        for n in range(self.tries):
+            if n:
+                time.sleep(self.wait * 2 ** (n - 1))
+            try:
+                return self.once(texts), None
+            except Exception as error:  # noqa: BLE001
+                said = str(error) or type(error).__name__
+        return None, said
+
+
+def embedded_or_failed(rows: DataFrame, provider: EmbeddingProvider, batch: int = 96, tries: int = 3, wait: float = 0.5, deadline: float | None = None) -> DataFrame:
+    """`rows` (page_key, chunk_text) with embedding, dims, error and late.
+
+    Batches are filled across pages and Arrow batches. One that fails after all tries is asked for page by page, so that a page
+    fails for its own texts alone; its rows have the error and no vector. From `deadline` (seconds of the clock) on, rows are late and
+    not asked for. A task that is run again asks again."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = Answered(provider, tries, wait)
+
+        def answered(frame: pd.DataFrame) -> pd.DataFrame:
+            n = len(frame)
+            if deadline is not None and time.time() >= deadline:
+                return frame.assign(embedding=[None] * n, dims=pd.array([None] * n, "Int32"), error=None, late=True)
+            vectors, error = ask(frame["chunk_text"].tolist())
+            pages = frame["page_key"].unique()
+            if vectors is None and len(pages) > 1:
+                return pd.concat([answered(frame[frame["page_key"] == p]) for p in pages])
+            dims = pd.array([None if vectors is None else provider.dims] * n, "Int32")
+            return frame.assign(embedding=vectors or [None] * n, dims=dims, error=error, late=False)
+
+        held: pd.DataFrame | None = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            while len(held) >= batch:
+                yield answered(held.iloc[:batch])
+                held = held.iloc[batch:]
+        if held is not None and len(held):
+            yield answered(held)
+
+    kept = rows.drop("embedding", "dims", "error", "late")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInPandas(run, f"{schema}, embedding array<float>, dims int, error string, late boolean")
