@@ -118,6 +118,33 @@ def vector_search(chunks: DataFrame, vector: list[float], k: int, threshold: flo
     return _fetched(chunks, found if threshold is None else found.where(F.col("similarity") >= threshold))
 
 
+def similarities(chunks: DataFrame, vector: list[float]) -> DataFrame:
+    """id, similarity of chunks, null where there is no vector."""
+    return pair_similarities(chunks.select("id", "embedding").withColumn("vector", F.array(*map(F.lit, map(float, vector))).cast("array<double>")))
+
+
+def pair_similarities(pairs: DataFrame) -> DataFrame:
+    """`pairs` with the cosine similarity of `embedding` and `vector` in place of both; null where one isn't there or has a null."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name not in ("embedding", "vector"))
+    names = [c for c in pairs.columns if c not in ("embedding", "vector")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides: list[dict[int, np.ndarray]] = [{}, {}]
+            for side, name in zip(sides, ("embedding", "vector")):
+                for at, rows in _rows(batch.column(name)):
+                    side |= dict(zip(at.tolist(), rows))
+            out: list[float | None] = [None] * batch.num_rows
+            for k in sides[0].keys() & sides[1].keys():
+                dot = 0.0
+                for x, y in zip(sides[0][k].tolist(), sides[1][k].tolist()):
+                    dot += x * y
+                out[k] = dot
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.float64())], [*names, "similarity"])
+
+    return pairs.select(*names, F.col("embedding").cast("array<double>"), F.col("vector").cast("array<double>")).mapInArrow(run, f"{schema}, similarity double")
+
+
 def _blocks(rows: DataFrame, key: str, vector: str, most: int, name: str) -> DataFrame:
     """Unit vectors in blocks of at most `most`, by length of vector: <name>_ids and <name>_matrix, row-major doubles."""
     names = ["dim", "ids", "matrix"]
@@ -251,10 +278,16 @@ def hybrid_search(chunks: DataFrame, vector: list[float], query: list[str], want
         return found.withColumns({"lexical": F.lit(0.0), "bm25": F.lit(float("inf")), "semantic_rank": rank, "lexical_rank": F.lit(None).cast("int"), "score": F.lit(0.0), "rank": rank})
     pool = pool_size(wanted)
     few = scored(chunks, vector, query, pool, ranked)
+    return fused(chunks, few, few.where("lexical > 0").orderBy(F.desc("lexical"), "bm25", "id").limit(pool), wanted, threshold)
+
+
+def fused(chunks: DataFrame, few: DataFrame, lexical: DataFrame, wanted: int, threshold: float) -> DataFrame:
+    """The hits of `few`, of which the semantic list is cut, and the lexical list (both id, similarity, lexical, bm25), by reciprocal rank fusion."""
+    pool = pool_size(wanted)
     semantic = few.where("similarity IS NOT NULL").orderBy(F.desc("similarity"), "id").limit(pool).where(F.col("similarity") >= threshold)
     # one of the semantic list alone counts as without words, whatever it holds
-    semantic = semantic.withColumns({"lexical": F.lit(0.0), "bm25": F.lit(float("inf")), "semantic_rank": F.row_number().over(W.orderBy(F.desc("similarity"), "id"))})
-    lexical = few.where("lexical > 0").orderBy(F.desc("lexical"), "bm25", "id").limit(pool).withColumn("semantic_rank", F.lit(None).cast("int"))
+    semantic = semantic.select("id", "similarity").withColumns({"lexical": F.lit(0.0), "bm25": F.lit(float("inf")), "semantic_rank": F.row_number().over(W.orderBy(F.desc("similarity"), "id"))})
+    lexical = lexical.select("id", "similarity", "lexical", "bm25").withColumn("semantic_rank", F.lit(None).cast("int"))
     # both lists hold whole scores of the same chunks, so the full outer merge is a union and a group of two rows at most
     merged = semantic.unionByName(lexical).groupBy("id").agg(F.max("similarity").alias("similarity"), F.max("lexical").alias("lexical"), F.min("bm25").alias("bm25"), F.min("semantic_rank").alias("semantic_rank"))
     merged = _fetched(chunks, merged)

@@ -611,4 +611,5 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import stores, upkeep  # noqa: E402,F401  add their queries
+from . import upkeep  # noqa: E402,F401  these add their queries
+from . import lists, stores  # noqa: E402,F401
