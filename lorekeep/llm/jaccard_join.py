@@ -244,14 +244,12 @@ def hopeful_groups(sketches: list[bytes], n: np.ndarray, comp: np.ndarray, perce
             k = up[k]
         return k
 
-    lengths = np.array([len(x) for x in sketches])
+    lengths, doublings = np.array([len(x) for x in sketches]), max(1, (-(-100 // percent) - 1).bit_length())
     for bins in np.unique(lengths).tolist():
-        # sets that link differ in size by less than two, so in length of sketch by one doubling at most
-        own, longer = np.flatnonzero(lengths == bins), np.flatnonzero(lengths == 2 * bins)
-        rows = _matrix([sketches[k] for k in own], bins)
-        if len(longer):
-            rows = np.vstack([rows, _matrix([sketches[k] for k in longer], bins)])
-        at = np.concatenate([own, longer])
+        # sets that link differ in size by 100 / percent at most, so in length of sketch by as many doublings as that takes
+        of_length = [np.flatnonzero(lengths == bins << k) for k in range(doublings + 1)]
+        own, at = of_length[0], np.concatenate(of_length)
+        rows = np.vstack([_matrix([sketches[k] for k in same], bins) for same in of_length if len(same)])
         for k in range(len(own)):
             other = np.arange(k + 1, len(at))
             x, y = at[k], at[other]

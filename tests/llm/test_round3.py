@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import centroids, substrings, turn_repair
+from lorekeep.llm import centroids, jaccard_join, substrings, turn_repair
 
 # --- 11: centroid clustering
 
@@ -272,3 +272,41 @@ def test_damage_and_lost_conversations(spark):
     alone = turn_repair.repair(df.limit(3), F.lit(False)).collect()
     assert [(r.gaps, r.blank, r.illegal, r.cost, r.audit, r.repaired) for r in alone] == [(0, 0, 0, 0, "", [])]
     assert turn_repair.repair(df.limit(0)).count() == 0
+
+
+# --- 9: links of sets that differ much in size
+
+
+@pytest.mark.parametrize("percent", [30, 40, 50, 90])
+def test_links_below_half(spark, percent):
+    """Pairs at the edge of the threshold whose common words many other texts hold too."""
+    common = [f"c{k}" for k in range(1000)]
+    texts = []
+    for k in range(4):
+        n = 1000 * 100 // percent - (5 if k % 2 else -60)
+        own = common[:]
+        texts += [own[k:], own[k:] + [f"x{k}_{j}" for j in range(max(0, n - 1000))]]
+    texts += [common[j * 3 : j * 3 + 300] + [f"y{j}_{i}" for i in range(700)] for j in range(60)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    up = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+    got = jaccard_join.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(up))
+
+
+def test_groups_over_several_doublings():
+    rng = np.random.default_rng(8)
+    base = np.sort(rng.integers(0, 1 << 58, 6000))
+    sets = [np.sort(x) for x in (base[:1000], base[:2400], base, rng.integers(0, 1 << 58, 1000), base[:3000])]
+    n, comp = np.array([len(s) for s in sets]), np.arange(5)
+    for percent in (15, 30, 40, 75):
+        groups = jaccard_join.hopeful_groups([jaccard_join.sketch(s) for s in sets], n, comp, percent)
+        together = {frozenset((a, b)) for g in groups for a in g for b in g if a < b}
+        for a in range(5):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                assert 100 * both < percent * (n[a] + n[b] - both) or frozenset((a, b)) in together
