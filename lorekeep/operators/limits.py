@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpointed
+
 
 def single_limit(requests: DataFrame, key: str, seconds: int, limit: int) -> DataFrame:
     """Requests (request_id, at, key) with `allowed`: the first `limit` of each key and window of so many seconds."""
@@ -43,7 +45,7 @@ def coupled_limits(requests: DataFrame, session: int, ip: int, daily: int) -> Da
     in its day: minutes are folded on their own, each in order, by the limits of session and address; a request that passes
     them is allowed where its place among the passing ones of its action and day is within the daily limit. Places are the
     sums of earlier minutes and the place within the minute, so no task sees a whole day."""
-    minute, day = F.floor(F.col("at") / 60), F.floor(F.col("at") / 86400)
+    minute = F.floor(F.col("at") / 60)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, buckets, passed = None, Buckets(session, ip, 0), 0
@@ -63,11 +65,22 @@ def coupled_limits(requests: DataFrame, session: int, ip: int, daily: int) -> Da
     folded = rows.sortWithinPartitions("action", "_minute", "at", "request_id").mapInArrow(fold, "request_id long, action string, at long, passed boolean, wait long, before long")
     if daily <= 0:
         return folded.select("request_id", F.col("passed").alias("allowed"), F.col("wait").alias("retry_after"))
+    # kept once, as both the minutes' sums and the requests are read from it
+    return daily_limited(checkpointed(folded), daily)
+
+
+def daily_limited(folded: DataFrame, daily: int, spent: DataFrame | None = None) -> DataFrame:
+    """request_id, allowed, retry_after under the daily limit, of requests (request_id, action, at, passed, wait, before) of whole minutes
+    that the other limits let pass or not; `spent` (action, day, n) is what passed in minutes before all of these."""
+    minute, day = F.floor(F.col("at") / 60), F.floor(F.col("at") / 86400)
     folded = folded.withColumns({"minute": minute, "day": day})
     # one row a minute that has requests
     sums = folded.groupBy("action", "day", "minute").agg(F.count_if("passed").alias("n"))
     earlier = F.coalesce(F.sum("n").over(W.partitionBy("action", "day").orderBy("minute").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = folded.join(sums.select("action", "minute", earlier.alias("earlier")), ["action", "minute"])
-    spent = F.col("earlier") + F.col("before") >= daily
+    sums = sums.select("action", "day", "minute", earlier.alias("earlier"))
+    if spent is not None:
+        sums = sums.join(spent.select("action", "day", F.col("n").alias("_n")), ["action", "day"], "left").withColumn("earlier", F.col("earlier") + F.coalesce("_n", F.lit(0)))
+    placed = folded.join(sums.select("action", "minute", "earlier"), ["action", "minute"])
+    over = F.col("earlier") + F.col("before") >= daily
     left = F.greatest(F.lit(1), (F.col("day") + 1) * 86400 - F.col("at"))
-    return placed.select("request_id", (F.col("passed") & ~spent).alias("allowed"), F.when(spent, left).otherwise(F.col("wait")).cast("long").alias("retry_after"))
+    return placed.select("request_id", (F.col("passed") & ~over).alias("allowed"), F.when(over, left).otherwise(F.col("wait")).cast("long").alias("retry_after"))

@@ -1,3 +1,4 @@
+import os
 import random
 import sqlite3
 
@@ -160,11 +161,33 @@ def test_streams(spark, tmp_path):
     s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     jobs.debounce(s, lambda b: got.extend(b.collect()), str(tmp_path / "ck")).awaitTermination(60)
     assert sorted(got) == sorted(queue.debounced(df).collect())
-    req = spark.createDataFrame([(k, k // 3, "a", "s", "i") for k in range(30)], "request_id long, at long, action string, session string, ip string")
-    req.write.parquet(str(tmp_path / "req"))
-    out = jobs.coupled_limits_stream(spark.readStream.schema(req.schema).parquet(str(tmp_path / "req")), 4, 0, 9)
-    out.writeStream.format("memory").queryName("limits").trigger(availableNow=True).start().awaitTermination(60)
-    assert sorted(spark.table("limits").collect()) == sorted(limits.coupled_limits(req, 4, 0, 9).collect())
+
+
+def test_limits_of_a_stream_that_arrives_shuffled(spark, tmp_path):
+    rng = random.Random(9)
+    start = 86_400 * 3 - 900
+    rows = [(k, start + k // 2, rng.choice("ab"), f"s{rng.randint(0, 12)}", f"i{rng.randint(0, 4)}") for k in range(3000)]
+    schema = "request_id long, at long, action string, session string, ip string"
+    # up to eight minutes late, over a day's end; then what closes the last minutes
+    late = sorted(rows, key=lambda r: r[1] + rng.randint(0, 480))
+    parts = [late[k : k + 500] for k in range(0, 3000, 500)] + [[(9_000 + k, start + 86_400 + k * 3600, "end", "s", "i")] for k in range(2)]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in (tmp_path / f"part{k}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{k}-{f.name}")
+            os.utime(tmp_path / "in" / f"{k}-{f.name}", (1_000_000 + k, 1_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds all done
+        jobs.coupled_limits_stream(stream, 3, 25, 300, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(240)
+    stage = jobs.DailyLimit(spark, str(tmp_path / "out"), 300)
+    want = limits.coupled_limits(spark.createDataFrame(rows, schema), 3, 25, 300)
+    assert sorted(stage.answers().where("request_id < 9000").collect()) == sorted(want.collect())
+    assert 0 < want.where("allowed").count() < 3000 and want.where("retry_after > 60").count() > 0
+    # a batch that is run again changes nothing
+    number = int(stage.tables.head().meta["batch"])
+    stage(spark.createDataFrame([(1, "a", start, True, 0, 0)], jobs.MINUTE), number)
+    assert stage.tables.head().meta["batch"] == str(number) and stage.answers().where("request_id = 1").count() == 1
 
 
 def test_embedding_provider(spark):
