@@ -175,19 +175,25 @@ def _best_of_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
             q_ids, c_ids = cell["q_ids"].values, cell["c_ids"].values
             q = np.frombuffer(cell["q_matrix"].as_py(), "<f8").reshape(len(q_ids), -1)
             c = np.frombuffer(cell["c_matrix"].as_py(), "<f8").reshape(len(c_ids), -1)
-            dim = min(q.shape[1], c.shape[1])
-            rough = q[:, :dim] @ c[:, :dim].T
-            rough[np.isnan(rough)] = np.inf
-            take = min(k, rough.shape[1])
-            edge = np.partition(rough, rough.shape[1] - take, axis=1)[:, rough.shape[1] - take]
-            of, at = np.nonzero(rough >= edge[:, None] - _SLACK)
-            scores = _dots(q[of], c[at])
-            down = -np.where(np.isnan(scores), np.inf, scores)
-            order = np.lexsort((c_ids.to_numpy(zero_copy_only=False)[at], down, of))
-            of, at, scores = of[order], at[order], scores[order]
-            starts = np.searchsorted(of, np.arange(len(q)))
-            best = np.arange(len(of)) - starts[of] < k
-            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(of[best])), c_ids.take(pa.array(at[best])), pa.array(scores[best])], ["query_id", "id", "similarity"])
+            of, at, scores = best_of_cell(q, c, c_ids.to_numpy(zero_copy_only=False), k)
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(of)), c_ids.take(pa.array(at)), pa.array(scores)], ["query_id", "id", "similarity"])
+
+
+def best_of_cell(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, rows of c and similarities of the k best of c for each of q, ties by id; of unit vectors that may differ in length."""
+    dim = min(q.shape[1], c.shape[1])
+    rough = q[:, :dim] @ c[:, :dim].T
+    rough[np.isnan(rough)] = np.inf
+    take = min(k, rough.shape[1])
+    edge = np.partition(rough, rough.shape[1] - take, axis=1)[:, rough.shape[1] - take]
+    of, at = np.nonzero(rough >= edge[:, None] - _SLACK)
+    scores = _dots(q[of], c[at])
+    down = -np.where(np.isnan(scores), np.inf, scores)
+    order = np.lexsort((ids[at], down, of))
+    of, at, scores = of[order], at[order], scores[order]
+    starts = np.searchsorted(of, np.arange(len(q)))
+    best = np.arange(len(of)) - starts[of] < k
+    return of[best], at[best], scores[best]
 
 
 def batch_vector_search(chunks: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:

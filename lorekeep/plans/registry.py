@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import texts as T
 from ..functions import words as L
 from ..functions.vectors import cosine_from_distance, dot, normalized
-from ..operators import chunking, index, limits, queue, search
+from ..operators import chunking, index, limits, pruned, queue, search
 from ..sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,14 @@ def vector_batch_topk_every20(spark, d):
     return _round(search.batch_vector_search(S.chunks(spark, d), asked, 5), "similarity")
 
 
+@query("vector_batch_topk_pruned", SQL["vector_batch_topk_every20"])
+def vector_batch_topk_pruned(spark, d):
+    asked = S.table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    chunks = S.chunks(spark, d)
+    hits, _ = pruned.pruned_search(pruned.clustered(chunks, pruned.fit(chunks)), asked, 5)
+    return _round(hits, "similarity")
+
+
 @query("vector_normalize", "SELECT vec_id, list_transform(list_transform(embedding::DOUBLE[], lambda x: x * (1 / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))))), lambda x: round(x, 6)) AS unit FROM embeddings")
 def vector_normalize(spark, d):
     return S.table(spark, d, "embeddings").select("vec_id", F.transform(normalized("embedding"), lambda x: F.round(x, 6)).alias("unit"))
