@@ -115,14 +115,13 @@ def clean_html(markup: str) -> str:
 
 @F.pandas_udf(StringType())
 def _decoded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _ENTITY.sub(lambda m: html.unescape(m[0]), t), na_action="ignore")
+    return text.map(lambda t: _ENTITY.sub(lambda m: html.unescape(m[0]), t) if "&" in t else t, na_action="ignore")
 
 
 def html_text(markup: Column) -> Column:
-    """`clean_html` as an expression: patterns run in Spark, and only entities, for which it has no function, go to Python, for rows that hold one."""
+    """`clean_html` as an expression: patterns run in Spark, once a row, and only entities, for which it has no function, are decoded in Python."""
     text = F.regexp_replace(F.regexp_replace(markup, "(?i)" + _BREAK.pattern, "\n"), "(?s)" + _TAG.pattern, "")
-    # a row without an entity sends a null, and then its text stands
-    return chunk_normalized(F.coalesce(_decoded(F.when(F.contains(markup, F.lit("&")), text)), text))
+    return chunk_normalized(_decoded(text))
 
 
 def keyed_hash(secret: str, value: Column) -> Column:

@@ -237,9 +237,9 @@ def _shares(texts: pa.Array, patterns: list[str]) -> np.ndarray:
 
 
 def lexical_candidates(chunks: DataFrame, query: list[str], pool: int) -> DataFrame:
-    """Chunks that hold a query word, the best `pool` by coverage."""
-    found = chunks.withColumn("lexical", coverage(query)).withColumn("bm25", F.lit(float("inf")))
-    return found.where("lexical > 0").orderBy(F.desc("lexical"), "bm25", "id").limit(pool)
+    """Chunks that hold a query word, the best `pool` by coverage. Only ids and texts are read for that, and then the rows of the best."""
+    found = chunks.select("id", coverage(query).alias("lexical")).where("lexical > 0").orderBy(F.desc("lexical"), "id").limit(pool)
+    return _fetched(chunks, found.withColumn("bm25", F.lit(float("inf"))))
 
 
 _ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")

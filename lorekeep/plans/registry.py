@@ -620,4 +620,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 from . import upkeep  # noqa: E402,F401  these add their queries
-from . import lists, nested, stores  # noqa: E402,F401
+from . import lists, nested, pieces, stores  # noqa: E402,F401

@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.store import Store
 from ..sources import tables as S
 from ..sources.folders import Folders, checkpointed, shared_folder
+from .providers import BEGIN, Failing, Refusing
 from .registry import CUT, query
 
-_BEGIN = "00"
-
-
-class Refusing(S.HashedEmbeddings):
-    """A provider that refuses texts by their md5."""
-
-    model = "refusing"
-
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        for name in (hashlib.md5(t.encode(), usedforsecurity=False).hexdigest() for t in texts):
-            if name.startswith(_BEGIN):
-                raise RuntimeError(f"refused {name}")
-        return super().embed(texts)
-
-
-class Failing:
-    """Deletions of keys whose md5 begins with 0 fail."""
-
-    def remove(self, page_key: str) -> None:
-        if hashlib.md5(page_key.encode(), usedforsecurity=False).hexdigest().startswith("0"):
-            raise RuntimeError(f"kept {page_key}")
-
-
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return S.extracted(spark, d).select(
         "doc_id", "page_key", "page_id", "url", "title", "text", (F.lit(1_700_000_000) + F.col("doc_id")).alias("modified"), F.lit(False).alias("is_draft"), F.lit(True).alias("is_listed"),
@@ -58,7 +34,7 @@ def _store(spark: SparkSession, root: str, pages: DataFrame, remover=None) -> St
 #: Chunks of the pages that may be indexed; `bad` are those of which a chunk is refused, with the first one's error.
 _FILLED = CUT[: CUT.index("SELECT doc_id, chunk_index::INTEGER")] + f""", made AS (SELECT n.doc_id, chunk_index::INTEGER AS chunk_index, md5(CASE WHEN n.title = '' OR starts_with(p, n.title) THEN p ELSE n.title || chr(10) || chr(10) || p END) AS chunk
   FROM numbered n JOIN docs d ON d.doc_id = n.doc_id WHERE n.doc_id % 11 <> 0 AND length(trim(d.text, ' ' || chr(9) || chr(10) || chr(13) || chr(11))) >= 80),
-bad AS (SELECT doc_id, 'refused ' || arg_min(chunk, chunk_index) AS error FROM made WHERE starts_with(chunk, '{_BEGIN}') GROUP BY doc_id),
+bad AS (SELECT doc_id, 'refused ' || arg_min(chunk, chunk_index) AS error FROM made WHERE starts_with(chunk, '{BEGIN}') GROUP BY doc_id),
 good AS (SELECT m.*, d.page_key, d.page_id, d.url FROM made m JOIN docs d USING (doc_id) WHERE m.doc_id NOT IN (SELECT doc_id FROM bad))
 """
 

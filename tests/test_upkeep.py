@@ -198,3 +198,17 @@ def test_store(spark, tmp_path, capsys):
     main([str(tmp_path / "cli"), str(tmp_path / "pages"), "search", "garden workshop"])
     out = capsys.readouterr().out
     assert '"state": "ready"' in out and "URL: /p/" in out
+
+
+def test_candidates_read_ids_and_texts_alone(spark):
+    plan = search.lexical_candidates(tables.read_chunks(spark, _stored_chunks(spark)), ["garden"], 5)._jdf.queryExecution().optimizedPlan().toString()
+    limited = plan[plan.index("GlobalLimit"):]
+    assert "embedding" not in limited and "chunk_text" in limited
+
+
+def _stored_chunks(spark):
+    from lorekeep.sources.folders import shared_folder
+
+    path = shared_folder(spark, "chunks")
+    tables.chunks(spark, SF).select(*[c.split()[0] for c in tables.CHUNKS.split(", ")]).write.parquet(path)
+    return path
