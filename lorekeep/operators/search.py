@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import words as L
 from ..functions.texts import excerpt
+from ..sources.folders import checkpointed
 
 RRF = 60
 MOST_CHARS = 4000
@@ -260,7 +261,8 @@ def bm25(chunks: DataFrame, query: list[str], title_weight: float = 2.0, k1: flo
         return F.size(F.filter(column, lambda w: F.startswith(w, F.lit(term))))
 
     counts = [hits("t", q) * title_weight + hits("x", q) for q in terms]
-    rows = rows.select("id", (F.size("t") + F.size("x")).alias("len"), *[c.cast("double").alias(f"f{k}") for k, c in enumerate(counts)])
+    # texts are read once; what is left of them, a few numbers a chunk, is kept for the statistics and the scores
+    rows = checkpointed(rows.select("id", (F.size("t") + F.size("x")).alias("len"), *[c.cast("double").alias(f"f{k}") for k, c in enumerate(counts)]))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
     both = rows.join(F.broadcast(stats))
 
