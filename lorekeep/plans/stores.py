@@ -92,11 +92,12 @@ def store_statistics(spark, d):
 
 @query(
     "store_failed_deletion",
-    """WITH jobs AS (SELECT doc_id, 'page://' || doc_id AS page_key, 1000 + doc_id % 50 AS since FROM documents),
-placed AS (SELECT *, row_number() OVER (ORDER BY since, doc_id) AS place, starts_with(md5(page_key), '0') AS bad FROM jobs WHERE doc_id % 3 = 0),
+    _FILLED + """, jobs AS (SELECT doc_id, 'page://' || doc_id AS page_key, 1000 + doc_id % 50 AS since FROM documents),
+placed AS (SELECT *, row_number() OVER (ORDER BY since, doc_id) AS place, md5(page_key) < '2' AS bad FROM jobs WHERE doc_id % 3 = 0),
 first AS (SELECT coalesce(min(place), 1000000000) AS f FROM placed WHERE bad)
 SELECT page_key, CASE WHEN place = f THEN 1 ELSE 0 END AS attempts, CASE WHEN place = f THEN 'kept ' || page_key END AS last_error FROM placed, first WHERE place >= f
-UNION ALL SELECT page_key, 0, NULL FROM jobs, first WHERE doc_id % 3 = 1 AND f < 1000000000""",
+UNION ALL SELECT page_key, 0, NULL FROM jobs, first WHERE doc_id % 3 = 1 AND f < 1000000000
+UNION ALL SELECT d.page_key, 1, error FROM bad JOIN docs d USING (doc_id), first WHERE doc_id % 3 = 1 AND f = 1000000000""",
 )
 def store_failed_deletion(spark, d):
     """A batch of a stream's events: deletions of every third page, upserts of every third. Behind the first deletion that fails all wait."""
