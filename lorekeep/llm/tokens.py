@@ -5,15 +5,16 @@ over the white space behind it. So a text is cut before each run of white space;
 pieces, its keys, joined. A worker's table holds the ids of keys that come again. The other keys of a slice of texts are
 split by the tokenizer's own pattern and merged together in one call, parted by a character that no such text holds.
 
-Merges run on the file's own vocabulary, whose ids stand in the order of its merges. Only texts that hold the string of
-an added token, or a character on whose class the library's regular expressions and these may differ, go to the library
-whole; `Encoder.left_out` counts them.
+Merges run on the file's own vocabulary, whose ids stand in the order of its merges. Only keys that hold the string of
+an added token, or a character on whose class the library's regular expressions and these may differ, are left to the
+library, one by one, and the rest of their texts is not; `Encoder.left_out` counts such keys.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,23 +29,37 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 TABLE_ROWS = 300_000
 #: Longer keys are encoded but not kept.
 KEPT_CHARS = 48
-#: Parts keys and pre-tokens; no plain text holds it.
+#: Parts keys and pre-tokens; a key that holds it is left to the library.
 SEP = "\x7f"
 
 # The splitting rules of the two kinds of file; SEP is told apart from punctuation and from what follows white space.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x7f]+|\s+(?![^\s\x7f])|\s+|\x7f"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| "
 WORD_END = "</w>"
-#: Characters on whose classes the library's tables and the others' agree; a text that holds any other is left to the library.
-_PLAIN = re.compile(
-    "[\\x00-\\x1b\\x20-\\x7e\u00a0-\u0377\u0384-\u0386\u0388-\u038a\u038e-\u03a1\u03a3-\u052f\u0e01-\u0e3a"
-    "\u2010-\u2027\u2030-\u205e\u20a0-\u20ba\u2190-\u23cf\u2500-\u26ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fcb\uac00-\ud7a3"
-    "\U0001f300-\U0001f320\U0001f600-\U0001f64f]*"
-)
-#: Where one of these is in a text, its white space isn't single spaces and line feeds alone.
-_UNEVEN = ("  ", "\n\n", "\n ", " \n", "\t", "\x0b", "\x0c", "\r", "\u00a0")
-_SPACES = re.compile(r"\s+")
-_CUT = re.compile(r"(?<=\S)\s")
+#: White space to the library, where keys are cut; the control characters of _ODD may be white space elsewhere or part keys.
+_RARE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = f"\t-\r {_RARE}"
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", SEP)
+#: Where one of these is in an ASCII text, its white space isn't single spaces and line feeds alone.
+_UNEVEN = ("  ", "\n\n", "\n ", " \n", "\t", "\x0b", "\x0c", "\r")
+_OTHER_SPACE = re.compile(f"[\t\x0b-\r{_RARE}]|[\n ]{{2}}")
+_SPACES = re.compile(f"[{_SPACE}]+")
+_CUT = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
+#: The last code point looked at by `_agreed`; beyond lie planes without letters.
+_LAST = 0x323AF
+
+
+def _agreed() -> re.Pattern:
+    """Runs of characters whose class (letter, number, white space, other) is the same in Unicode 3.2 and now, so that engines of any
+    version between agree on it. Code points without a character now may get one in an engine's newer tables."""
+
+    def kind(name: str) -> str:
+        return name[0] if name[0] in "LNZ" else ""
+
+    old = unicodedata.ucd_3_2_0.category
+    same = [(now := unicodedata.category(c := chr(k))) not in ("Cn", "Cs") and kind(now) == kind(old(c)) and c not in _ODD for k in range(_LAST + 1)]
+    edges = np.flatnonzero(np.diff([False, *same, False])).tolist()
+    return re.compile("[" + "".join(rf"\U{a:08x}-\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2])) + "]*")
 
 
 def _byte_letters() -> list[str]:
@@ -102,19 +117,45 @@ class Encoder:
         self.split = regex.compile(WORD_PATTERN if self.drops_space else BYTE_PATTERN).findall
         self.table = Table(pa.array([""], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64))
         self.count_tables: dict[int, Table] = {}
+        self.agreed = _agreed().fullmatch
         self.left_out = self.seen = 0
 
-    def library(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def library(self, keys: list[str]) -> list[list[int]]:
+        """The library's own ids of keys that the method leaves to it."""
+        self.left_out += len(keys)
+        return [e.ids for e in self.tokenizer.encode_batch(keys, add_special_tokens=False)]
 
-    def plain(self, text: str) -> bool:
-        return bool(_PLAIN.fullmatch(text)) and not any(s in text for s in self.special)
+    def proven(self, keys: list[str]) -> np.ndarray:
+        """Which keys the method may take: their characters, as the file's normalizer leaves them, are agreed on, and no added token is in them."""
+
+        def fine(text: str) -> bool:
+            if any(s in text for s in self.special) or not self.agreed(text):
+                return False
+            return not self.drops_space or text.isascii() or bool(self.agreed(self.tokenizer.normalizer.normalize_str(text)))
+
+        # almost always all are, which one look at all of them tells
+        return np.ones(len(keys), bool) if fine(" ".join(keys)) else np.fromiter(map(fine, keys), bool, len(keys))
 
     def merged(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of keys, none of them empty, joined, and each key's number of ids."""
-        if not len(keys):
+        names = keys.to_pylist()
+        proven = self.proven(names)
+        if proven.all():
+            return self._merged(names)
+        values, own = self._merged([k for k, p in zip(names, proven) if p])
+        left = self.library([k for k, p in zip(names, proven) if not p])
+        sizes = np.zeros(len(names), np.int64)
+        sizes[proven], sizes[~proven] = own, [len(x) for x in left]
+        values = np.concatenate([values, *(np.array(x, "<u4") for x in left)])
+        starts = np.zeros(len(names), np.int64)
+        starts[proven] = np.cumsum(own) - own
+        starts[~proven] = int(own.sum()) + np.cumsum(sizes[~proven]) - sizes[~proven]
+        return _ragged(values, starts, sizes, np.arange(len(names))), sizes
+
+    def _merged(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not keys:
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        joined = (" " if self.drops_space else SEP).join(keys.to_pylist())
+        joined = (" " if self.drops_space else SEP).join(keys)
         if self.drops_space:
             joined = SEP.join(self.split(self.tokenizer.normalizer.normalize_str(joined))) + f"{SEP} "
         found = np.array(self.merge(joined + SEP), "<u4")
@@ -122,11 +163,17 @@ class Encoder:
         return found[~stops], np.diff(np.flatnonzero(stops), prepend=-1) - 1
 
     def keyed(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """The keys of plain texts, and where in them each text begins."""
+        """The keys of texts, and where in them each text begins."""
+        odd = [k for k, t in enumerate(texts) if any(c in t for c in _ODD)]
         if self.drops_space:
             keys = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
         else:
             keys = pc.split_pattern(pa.array(map(_marked, texts), pa.large_string()), SEP)
+        if odd:
+            lists = keys.to_pylist()
+            for k in odd:
+                lists[k] = (_SPACES.split if self.drops_space else _cut)(texts[k])
+            keys = pa.array(lists, pa.large_list(pa.large_string()))
         return pc.dictionary_encode(keys.flatten()), keys.offsets.to_numpy() - keys.offsets[0].as_py()
 
     def _looked_up(self, keys: pa.DictionaryArray, table: Table, made) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,60 +193,59 @@ class Encoder:
         table.add(rest.take(pa.array(kept)), _ragged(values, starts, sizes, lost[kept]) if len(ids) else ids, counts[kept])
         return values, starts, sizes
 
-    def _by_text(self, texts: list[str], most: int) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
-        """Which texts are plain, the keys of these, and the bounds of each one's keys."""
-        plain = np.fromiter(map(self.plain, texts), bool, len(texts))
+    def _by_text(self, texts: list[str], most: int) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The keys of texts, and the bounds of each one's keys."""
         self.seen += len(texts)
-        self.left_out += len(texts) - int(plain.sum())
-        cut = [parts(t, most) for t, p in zip(texts, plain) if p]
+        cut = [parts(t, most) for t in texts]
         keys, bounds = self.keyed([x for c in cut for x in c])
-        return plain, keys, bounds[np.cumsum([0, *map(len, cut)])]
+        return keys, bounds[np.cumsum([0, *map(len, cut)])]
 
     def ids(self, texts: list[str], most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts as unsigned 32-bit integers, and each text's number of ids."""
-        plain, keys, bounds = self._by_text(texts, most)
+        keys, bounds = self._by_text(texts, most)
         values, starts, sizes = self._looked_up(keys, self.table, self.merged)
         at = keys.indices.to_numpy()
-        flat = _ragged(values, starts, sizes, at)
         ends = np.concatenate([[0], np.cumsum(sizes[at])])[bounds]
-        if plain.all():
-            return flat, np.diff(ends)
-        out, inner, counts = [np.zeros(0, "<u4")], iter(zip(ends[:-1], ends[1:])), np.zeros(len(texts), np.int64)
-        for k, (text, p) in enumerate(zip(texts, plain)):
-            out.append(flat[slice(*next(inner))] if p else np.array(self.library(text), "<u4"))
-            counts[k] = len(out[-1])
-        return np.concatenate(out), counts
+        return _ragged(values, starts, sizes, at), np.diff(ends)
 
     def counts(self, texts: list[str], whole: frozenset[str], most: int = 2_000_000) -> np.ndarray:
         """Each text's number of ids; keys and pre-tokens in `whole` are one id, and only the rest is merged."""
 
         def made(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            pieces = self.split(SEP.join(keys.to_pylist()) + SEP) if len(keys) else []
+            names = keys.to_pylist()
+            proven = self.proven(names)
+            kept = [k for k, p in zip(names, proven) if p]
+            pieces = self.split(SEP.join(kept) + SEP) if kept else []
             one = np.array([p in whole for p in pieces], np.int64)
             stops = np.array([p == SEP for p in pieces], bool)
             unknown = np.flatnonzero((one == 0) & ~stops)
             one[unknown] = self.merged(pa.array([pieces[k] for k in unknown.tolist()], pa.large_string()))[1]
-            return np.zeros(0, "<u4"), np.diff(np.cumsum(one * ~stops)[stops], prepend=0)
+            sizes = np.zeros(len(names), np.int64)
+            sizes[proven] = np.diff(np.cumsum(one * ~stops)[stops], prepend=0)
+            sizes[~proven] = [len(x) for x in self.library([k for k, p in zip(names, proven) if not p])]
+            return np.zeros(0, "<u4"), sizes
 
         if id(whole) not in self.count_tables:
             proven = sorted(whole)
             self.count_tables = {id(whole): Table(pa.array(["", *proven], pa.large_string()), np.zeros(0, "<u4"), np.array([0, *[1] * len(proven)], np.int64))}
-        plain, keys, bounds = self._by_text(texts, most)
+        keys, bounds = self._by_text(texts, most)
         sizes = self._looked_up(keys, self.count_tables[id(whole)], made)[2]
-        out = np.zeros(len(texts), np.int64)
-        out[plain] = np.diff(np.concatenate([[0], np.cumsum(sizes[keys.indices.to_numpy()])])[bounds])
-        for k in np.flatnonzero(~plain):
-            out[k] = len(self.library(texts[k]))
-        return out
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[keys.indices.to_numpy()])])[bounds])
 
 
 def _marked(text: str) -> str:
     """SEP before each run of white space."""
-    if any(x in text for x in _UNEVEN):
+    if any(x in text for x in _UNEVEN) if text.isascii() else _OTHER_SPACE.search(text):
         return _SPACES.sub(SEP + r"\g<0>", text)
     return text.replace(" ", f"{SEP} ").replace("\n", f"{SEP}\n")
 
 
+def _cut(text: str) -> list[str]:
+    """The text cut before each run of white space; SEP may be in it."""
+    at = [m.start() for m in _SPACES.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
+
+
 def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The runs values[starts[i] : starts[i] + sizes[i]] of each i in `at`, joined."""
     own = sizes[at]

@@ -49,7 +49,7 @@ def test_all_white_space_goes_by_the_method(name, texts):
             assert flat[at : at + n].tolist() == lib.encode(text, add_special_tokens=False).ids
             at += n
     assert enc.left_out == 0 and enc.seen == 2 * len(given)
-    # only an added token's string, or an unproven character, is left to the library
+    # only a key with an added token's string, or with an unproven character, is left to the library
     assert enc.ids(["<|endoftext|> x", "\x1c", "fine"])[1].tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in ("<|endoftext|> x", "\x1c", "fine")]
     assert enc.left_out == 2
     if name.startswith("byte"):
@@ -58,6 +58,44 @@ def test_all_white_space_goes_by_the_method(name, texts):
         assert enc.counts(given, whole).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in given]
 
 
+SCRIPTS = [
+    "你好。今天天气很好，我们去公园吧！", "東京、日本（とうきょう）　全角スペース", "ＡＢＣ，中文 １２３", "🚀 launch 🎉🎉 👍🏽 done", "שלום עולם, מה שלומך?", "مرحبا بالعالم، كيف الحال؟",
+    "नमस्ते दुनिया। यह ठीक है", "สวัสดีชาวโลก วันนี้", "Привет, мир — «да»", "Γειά σου ΚΟΣΜΟΣ", "안녕하세요 세계", "a\u2003b\u3000 c\x85d\u2028e",
+]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_scripts_stay_in_the_method_key_by_key(name):
+    path = common.tokenizer_path(name)
+    enc, lib = tokens.Encoder(path), Tokenizer.from_file(path)
+    size = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(3)
+    mixed = ["".join(rng.choice(SCRIPTS)[rng.randint(0, 9) :] + rng.choice([" ", "", "\n", "\u3000", "plain words "]) for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    flat, counts = enc.ids([*SCRIPTS, *mixed])
+    assert flat.tolist() == [i for t in [*SCRIPTS, *mixed] for i in lib.encode(t, add_special_tokens=False).ids]
+    assert enc.left_out == 0
+    # of a text with an unproven key, that key alone is left out
+    rest = ["zero\u200bwidth " + SCRIPTS[0] + " and the rest", "a\x7fb c", "\x1c \x1f x\x1dy z", "<|endoftext|>", "x<|endoftext|>y z <|EndOfText|>", "\ufeffmark", "\u1e9e \U0002f800 \ua7ce new", "", "\x7f", " \x7f "]
+    flat, counts = enc.ids(rest)
+    assert counts.tolist() == list(map(size, rest))
+    assert flat.tolist() == [i for t in rest for i in lib.encode(t, add_special_tokens=False).ids]
+    assert 0 < enc.left_out <= 13
+    if name.startswith("byte"):
+        assert enc.counts([*SCRIPTS, *mixed, *rest], token_counts.whole_tokens(path)).tolist() == list(map(size, [*SCRIPTS, *mixed, *rest]))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_agreed_character_is_split_as_the_library_splits_it(name):
+    path = common.tokenizer_path(name)
+    enc, lib = tokens.Encoder(path), Tokenizer.from_file(path)
+    agreed = [c for k in range(0x110000) if not 0xD800 <= k < 0xE000 and enc.agreed(c := chr(k))]
+    assert len(agreed) > 100_000
+    given = [f"a{c}b{c}1{c}!{c} {c}" for c in agreed]
+    flat, counts = enc.ids(given)
+    want = [e.ids for e in lib.encode_batch(given, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and flat.tolist() == [i for w in want for i in w]
+
+
 def test_very_long_text(spark):
     long = " ".join(f"word{k % 977} and, more." for k in range(150_000))
     df = spark.createDataFrame([(1, long), (2, "x" * 300_000), (3, None)], "doc_id long, text string")
