@@ -40,9 +40,9 @@ WORD_END = "</w>"
 _RARE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = f"\t-\r {_RARE}"
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", SEP)
-#: Where one of these is in an ASCII text, its white space isn't single spaces and line feeds alone.
+#: Where one of these or of the rare ones is in a text, its white space isn't single spaces and line feeds alone.
 _UNEVEN = ("  ", "\n\n", "\n ", " \n", "\t", "\x0b", "\x0c", "\r")
-_OTHER_SPACE = re.compile(f"[\t\x0b-\r{_RARE}]|[\n ]{{2}}")
+_RARE_SPACE = re.compile(f"[{_RARE}]")
 _SPACES = re.compile(f"[{_SPACE}]+")
 _CUT = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
 #: The last code point looked at by `_agreed`; beyond lie planes without letters.
@@ -129,9 +129,11 @@ class Encoder:
         """Which keys the method may take: their characters, as the file's normalizer leaves them, are agreed on, and no added token is in them."""
 
         def fine(text: str) -> bool:
-            if any(s in text for s in self.special) or not self.agreed(text):
+            if any(s in text for s in self.special):
                 return False
-            return not self.drops_space or text.isascii() or bool(self.agreed(self.tokenizer.normalizer.normalize_str(text)))
+            # one look at each character: normalizing composes characters of one version to none of a later one
+            found = " ".join(set(text))
+            return bool(self.agreed(found)) and (not self.drops_space or bool(self.agreed(self.tokenizer.normalizer.normalize_str(found))))
 
         # almost always all are, which one look at all of them tells
         return np.ones(len(keys), bool) if fine(" ".join(keys)) else np.fromiter(map(fine, keys), bool, len(keys))
@@ -235,7 +237,7 @@ class Encoder:
 
 def _marked(text: str) -> str:
     """SEP before each run of white space."""
-    if any(x in text for x in _UNEVEN) if text.isascii() else _OTHER_SPACE.search(text):
+    if any(x in text for x in _UNEVEN) or (not text.isascii() and _RARE_SPACE.search(text)):
         return _SPACES.sub(SEP + r"\g<0>", text)
     return text.replace(" ", f"{SEP} ").replace("\n", f"{SEP}\n")
 
