@@ -194,3 +194,14 @@ def test_embedding_provider(spark):
     df = spark.createDataFrame([("a b",), ("a b",), ("",)], "chunk_text string")
     rows = tables.embedded(df, tables.HashedEmbeddings(8), batch=2).collect()
     assert len(rows) == 3 and rows[0].embedding == rows[1].embedding and rows[0].dims == 8
+
+
+def test_unit_vectors_are_those_of_the_sql_to_the_sign_of_zero(spark, tmp_path):
+    import duckdb
+
+    rows = [(0, [1.0, -1e-8, 1e-8]), (1, [0.0, 0.0]), (2, [3.0, None, 4.0]), (3, None), (4, []), (5, [None]), (6, [-0.0, -2.5])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.QUERIES["vector_normalize"](spark, str(tmp_path)).orderBy("vec_id").collect()
+    sql = registry.SQL["vector_normalize"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet' ORDER BY vec_id")
+    want = duckdb.sql(sql).fetchall()
+    assert repr([(r.vec_id, r.unit) for r in got]) == repr([(i, u) for i, u in want]) and "-0.0" in repr(want)
