@@ -226,3 +226,12 @@ def test_all_errors_of_runs(spark):
     runs = spark.createDataFrame([(1, ["b", "a"]), (2, []), (3, None), (4, ["a"] * 150)], "run long, errors array<string>")
     got = [(r.run, r.place, r.error) for r in index.all_errors(runs, "run").orderBy("run", "place").collect()]
     assert got == [(1, 0, "b"), (1, 1, "a")] + [(4, k, "a") for k in range(150)]
+
+
+def test_vectors_leave_a_task_as_they_are_asked_for(spark):
+    """A task holds the vectors of one batch, however many rows Arrow brings at once."""
+    rows = spark.range(1000).selectExpr("concat('page://', id div 3) AS page_key", "concat('word ', id) AS chunk_text").coalesce(1)
+    for made in (tables.embedded(rows, tables.HashedEmbeddings(4), batch=96), tables.embedded_or_failed(rows, tables.HashedEmbeddings(4), batch=96, wait=0)):
+        want = {r.chunk_text: r.embedding for r in made.collect()}
+        assert len(want) == 1000 and all(len(v) == 4 for v in want.values())
+        assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
