@@ -1,11 +1,15 @@
 """The store: commits, metadata of moved pages, failures of single pages, deadlines, streams and statistics."""
 
+import hashlib
+import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import index, queue
+from lorekeep.functions.texts import chunk_normalized
+from lorekeep.operators import chunking, index, queue
 from lorekeep.operators.store import Store
 from lorekeep.sources import tables
 from lorekeep.sources.folders import Folders
@@ -235,3 +239,60 @@ def test_vectors_leave_a_task_as_they_are_asked_for(spark):
         want = {r.chunk_text: r.embedding for r in made.collect()}
         assert len(want) == 1000 and all(len(v) == 4 for v in want.values())
         assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def counted_pages(spark, n):
+    """Pages, and an accumulator of the texts that were read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    pages = made_pages(spark, n)
+    return pages.withColumn("text", F.udf(read, "string").asNondeterministic()("text")), seen
+
+
+def test_a_rebuild_reads_texts_once_to_queue_them(spark, tmp_path):
+    pages, seen = counted_pages(spark, 12)
+    store = store_of(spark, tmp_path, pages)
+    store.enqueue(queue.rebuild_plan(store.chunks(), store.live()), 0)
+    assert store.queue().count() == 12 and seen.value == 12
+
+
+def test_a_drain_without_embeddings_reads_texts_once(spark, tmp_path):
+    store_of(spark, tmp_path, made_pages(spark, 12)).rebuild()
+    pages, seen = counted_pages(spark, 12)
+    moved = store_of(spark, tmp_path, pages.withColumn("page_id", F.concat(F.lit("new/"), "page_id")))
+    moved.enqueue(moved.pages.select("page_key", F.lit("upsert").alias("operation")), 1)
+    seen.value = 0
+    assert moved.drain(None)["skipped"] == 12 and seen.value == 12
+    assert moved.chunks().where("startswith(page_id, 'new/')").count() == moved.chunks().count() > 0
+
+
+def test_few_buckets_are_written_by_many_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = store_of(spark, tmp_path, made_pages(spark, 40), buckets=2)
+        store.rebuild()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    found = store.tables.head().tables["chunks"]
+    assert len(found) == 2 and store.chunks().select("page_key").distinct().count() == 40
+    assert all(sum(n.startswith("part-") for n in Folders(spark).names(p)) > 1 for p in found.values())
+
+
+def test_hashed_words_are_those_of_md5():
+    text = "Dear Ada \x0b\fdear  BOB\tİx\x1cy\n" + " ".join(f"w{k}" for k in range(50))
+    out = np.zeros(6)
+    for w in re.findall(r"[^ \t\n\r\f\v]+", text.lower()):
+        h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+        out[h // 2 % 6] += 1 if h % 2 else -1
+    assert tables.HashedEmbeddings(6).embed([text, ""]) == [(out / np.sqrt((out * out).sum())).astype(np.float32).tolist(), [0.0] * 6]
+
+
+def test_texts_are_normalized_as_columns_are(spark):
+    texts = ["a \t b", " a\r\nb\rc ", "a\n\n\n\nb", "x \n \n \n y\x0b", "a\n \n\nb", "", " ", "a  b\x00", "plain", "a\r \r\n\r\tb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chunk_normalized(F.col("t")).alias("n")).collect()
+    assert [chunking.normalized(r.t) for r in rows] == [r.n for r in rows]
