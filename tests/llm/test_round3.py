@@ -310,3 +310,13 @@ def test_groups_over_several_doublings():
             for b in range(a):
                 both = len(np.intersect1d(sets[a], sets[b]))
                 assert 100 * both < percent * (n[a] + n[b] - both) or frozenset((a, b)) in together
+
+
+def test_workers_give_back_what_a_task_has_freed(monkeypatch):
+    from types import SimpleNamespace
+
+    from lorekeep.llm import common
+
+    said = []
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda name: SimpleNamespace(malloc_trim=said.append))
+    assert [*common.released(iter([1, 2]))] == [1, 2] and said == [0]
