@@ -1,8 +1,8 @@
 """Exact top-k search by integer inner product (operator 2).
 
 Candidates are packed into shards of a fixed number of vectors and queries into tiles. A grid cell, one shard and one
-tile, is a matrix product; each cell keeps its k best per query, and the lists of a query are merged in two levels, so
-no task gathers more than k rows a cell of its branch.
+tile, is a matrix product; a tile keeps its k best per query over the shards of a branch that it meets one after the
+other, and the lists of a query's branches are merged.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import partitions, table
@@ -64,11 +65,16 @@ def _packed(rows: DataFrame, block_rows: int, name: str) -> DataFrame:
     return rows.mapInArrow(pack, "dim int, ids binary, matrix binary").withColumnsRenamed({"ids": f"{name}_ids", "matrix": f"{name}_matrix"})
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, shard: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of one shard for every query of a tile: positions of queries, candidate ids, scores. ids are ascending."""
+def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, shard: np.ndarray, k: int, edge: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of one shard for every query of a tile: positions of queries, candidate ids, scores. ids are ascending.
+
+    Where each query has k rows already, `edge` is the score of its last; then all that reach it are given, which are few."""
     bound = float(np.abs(queries).max(initial=0)) * float(np.abs(shard).max(initial=0)) * shard.shape[1]
     scores = (queries.astype(np.float64) @ shard.T.astype(np.float64)).astype(np.int64) if bound < EXACT else queries @ shard.T
     own = query_ids[:, None] == ids[None, :]
+    if edge is not None:
+        rows, at = np.nonzero((scores >= edge[:, None]) & ~own)
+        return rows, ids[at], scores[rows, at]
     n = scores.shape[1]
     take = min(k, n)
     if bound < 2.0**62 / max(n, 1):
@@ -86,19 +92,41 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, shard: np
 
 
 def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            q, c = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["c_ids"], "<i8")
-            at, ids, scores = _best(q, _wide(row["q_matrix"], len(q)), c, _wide(row["c_matrix"], len(c)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(ids), pa.array(scores), pa.array(np.full(len(at), row["branch"], np.int32))], ["query_id", "vec_id", "score", "branch"])
+    """The k best for each query of a tile, of the shards that it meets one after the other."""
+    asked: bytes | None = None
 
+    def best() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(q[of]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
-def _merged(lists: DataFrame, k: int, *by: str) -> DataFrame:
-    """The k best of each group; a group holds at most k rows for each list that meets in it."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k)
-    return lists.groupBy(*by).agg(best.alias("best")).select(*by, F.posexplode("best").alias("at", "b")).select(
-        *by, (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.down")).alias("score")
-    )
+    for batch in batches:
+        names = batch.schema.names
+        for row in range(batch.num_rows):
+            cell = {name: batch.column(j)[row].as_py() for j, name in enumerate(names)}
+            if cell["q_ids"] != asked:
+                if asked is not None:
+                    yield best()
+                asked, q = cell["q_ids"], np.frombuffer(cell["q_ids"], "<i8")
+                queries = _wide(cell["q_matrix"], len(q))
+                of, ids, scores, edge = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), None
+            c = np.frombuffer(cell["c_ids"], "<i8")
+            found = _best(q, queries, c, _wide(cell["c_matrix"], len(c)), k, edge)
+            of, ids, scores = (np.concatenate(x) for x in zip((of, ids, scores), found))
+            # ~ turns the order round, as - would, without an overflow
+            order = np.lexsort((ids, ~scores, of))
+            of, ids, scores = of[order], ids[order], scores[order]
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            full = scores[place == k - 1]
+            edge = full if len(full) == len(q) else None
+            of, ids, scores = of[place < k], ids[place < k], scores[place < k]
+    if asked is not None:
+        yield best()
+
+
+def grid(tasks: int, rows: int, shards: int, asked: int, tiles: int, k: int) -> tuple[int, int]:
+    """Branches of shards and of tiles, together about `tasks`, cut so that least is copied: shards go to each branch of tiles, and
+    each branch of shards has the tiles and gives their lists."""
+    across = max(1, min(tasks, tiles, round((tasks * asked * (1 + k / 4) / max(rows, 1)) ** 0.5)))
+    return max(1, min(shards, tasks // across)), across
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS, branches: int | None = None) -> DataFrame:
@@ -113,14 +141,24 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
     clean = candidates.select("vec_id", quantised().alias("_v")).where(F.col("vec_id").isNotNull() & F.col("_v").isNotNull())
     asked = queries.select("vec_id", quantised().alias("_v")).where(F.col("vec_id").isNotNull() & F.col("_v").isNotNull())
     asked = asked.groupBy("vec_id").agg(F.min("_v").alias("_v"))
-    # The tiles are the stated query set in blocks. Each shard lies in one branch and each tile is copied to every branch,
-    # so the work is even whatever the vectors are, and only the packed tiles are copied.
-    n = branches or partitions(spark)
-    shards = _packed(clean, shard_rows, "c").withColumn("branch", F.pmod(F.xxhash64("c_ids"), F.lit(n)).cast("int"))
-    tiles = _packed(asked, tile_rows, "q").withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    grid = shards.join(tiles, ["dim", "branch"]).select("branch", "c_ids", "c_matrix", "q_ids", "q_matrix")
-    lists = grid.mapInArrow(lambda batches: _cells(batches, k), "query_id long, vec_id long, score long, branch int")
-    return _merged(_merged(lists, k, "query_id", "branch").drop("rank"), k, "query_id")
+    # Each shard lies in one branch of shards and each tile in one of tiles, and each is copied to the other side's, so the work is
+    # even whatever the vectors are. The copies aren't in Spark's estimates, by which it would send all of them through the driver;
+    # a merge join holds one cell at a time.
+    n, m = candidates.select("vec_id").count(), queries.select("vec_id").count()
+    down, across = grid(branches or partitions(spark), n, -(-n // shard_rows), m, -(-m // tile_rows), k)
+
+    def part(key: str, of: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(of)).cast("int")
+
+    def each(of: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+
+    shards = _packed(clean, shard_rows, "c").withColumn("_other", each(across)).withColumn("branch", part("c_ids", down) * across + F.col("_other")).drop("_other")
+    tiles = _packed(asked, tile_rows, "q").withColumn("_other", each(down)).withColumn("branch", F.col("_other") * across + part("q_ids", across)).drop("_other")
+    cells = tiles.hint("merge").join(shards, ["dim", "branch"]).select("q_ids", "q_matrix", "c_ids", "c_matrix")
+    lists = cells.mapInArrow(lambda batches: _cells(batches, k), "query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_tiled_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
